@@ -41,8 +41,13 @@ def null_tokens(df: DataFrame, columns: Iterable[str] | None = None, tokens=RAW_
 
 
 def dedup_raw(df: DataFrame) -> DataFrame:
-    """Exact duplicates on the six raw text columns (``source`` ignored, NULLs equal)."""
-    return df.dropDuplicates(RAW_KEY)
+    """Exact duplicates on the six raw text columns (``source`` ignored, NULLs equal).
+
+    Returns the six key columns only: a plain ``distinct`` keeps the aggregate a
+    hash aggregate with map-side combine (carrying ``source`` along would force a
+    sort-based ``first`` aggregate), and nothing downstream reads ``source``.
+    """
+    return df.select(*RAW_KEY).distinct()
 
 
 def parse_times(df: DataFrame) -> DataFrame:

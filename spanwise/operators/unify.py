@@ -145,18 +145,18 @@ def uncovered_fine(fine: DataFrame, base: DataFrame, cap_seconds: int, key: str
         F.lit(0).alias("_kind"),
         F.struct(*[F.col(c) for c in fine_cols]).alias("_row"),
     )
-    stream = b.unionByName(probes, allowMissingColumns=True).withColumn("_c", tc.time_bucket("_t", chunk_seconds))
+    # one explicit (key, chunk) exchange; the window and both chunk summaries read it
+    stream = (
+        b.unionByName(probes, allowMissingColumns=True)
+        .withColumn("_c", tc.time_bucket("_t", chunk_seconds))
+        .repartition("_k", "_c")
+    )
     w = Window.partitionBy("_k", "_c").orderBy("_t", "_kind").rowsBetween(_UNB, 0)
     scanned = stream.withColumn("_lpm", F.max("_be").over(w)).filter(F.col("_kind") == 0)
 
-    chunks = b.withColumn("_c", tc.time_bucket("_t", chunk_seconds)).groupBy("_k", "_c").agg(F.max("_be").alias("_cm"))
-    # carry for a probe chunk = max base end in all earlier chunks; probe chunks without
-    # base rows are covered by taking the carry at the next base chunk boundary below.
-    probe_chunks = probes.select("_k", tc.time_bucket("_t", chunk_seconds).alias("_c")).distinct()
-    keys = chunks.select("_k", "_c", "_cm").unionByName(
-        probe_chunks.withColumn("_cm", F.lit(None).cast(chunks.schema["_cm"].dataType))
-    )
-    carry = keys.groupBy("_k", "_c").agg(F.max("_cm").alias("_cm")).select(
+    # carry into a chunk = max base end over all earlier chunks (chunks with probes
+    # but no base rows are kept so that they receive a carry too)
+    carry = stream.groupBy("_k", "_c").agg(F.max("_be").alias("_cm")).select(
         "_k", "_c",
         F.max("_cm").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)).alias("_carry"),
     )
