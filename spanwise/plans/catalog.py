@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.operators import clean, describe, seasonal, temporal, unify
+from spanwise.operators import clean, cross_region, describe, seasonal, temporal, unify
 from spanwise.plans import pipeline
 from spanwise.plans.oracle import with_pipeline
 from spanwise.sources.binding import binding_profile, raw_alerts_from_events
@@ -352,6 +352,156 @@ def q_rolling(spark, sf_dir):
     return seasonal.rolling_7d(frame(spark, sf_dir))
 
 
+# ---- cross-region -------------------------------------------------------------
+
+_STARTS = """
+, s AS (SELECT region, started_at, epoch_us(started_at) AS us, row_number() OVER () AS id
+        FROM af WHERE region IS NOT NULL AND started_at IS NOT NULL)
+"""
+
+
+@register("co_occurrence", _STARTS + """
+, n AS (SELECT region, count(*) AS n FROM s GROUP BY 1),
+h AS (SELECT x.region AS a, y.region AS b, count(DISTINCT x.id) AS h FROM s x JOIN s y
+      ON y.region <> x.region AND y.us BETWEEN x.us - 7200000000 AND x.us + 7200000000 GROUP BY 1, 2),
+m AS (SELECT p.region AS region_a, q.region AS region_b, coalesce(h.h, 0) / p.n AS m
+      FROM n p JOIN n q ON true LEFT JOIN h ON h.a = p.region AND h.b = q.region)
+SELECT m1.region_a, m1.region_b,
+       CASE WHEN m1.region_a = m1.region_b THEN NULL ELSE (m1.m + m2.m) / 2.0 END AS value
+FROM m m1 JOIN m m2 ON m1.region_a = m2.region_b AND m1.region_b = m2.region_a""")
+def q_cooc(spark, sf_dir):
+    return cross_region.co_occurrence(frame(spark, sf_dir), 2.0)
+
+
+_DENSE = """
+, bnd AS (
+  SELECT min(floor(epoch_us(started_at) / 3600000000.0)) AS lo,
+         greatest(max(ceil(epoch_us(finished_at) / 3600000000.0)),
+                  max(CASE WHEN finished_at IS NULL THEN ceil(epoch_us(started_at) / 3600000000.0) + 1 END)) AS hi
+  FROM af),
+cells AS (
+  SELECT DISTINCT region, b FROM (
+    SELECT region, unnest(generate_series(
+      CAST(floor(epoch_us(started_at) / 3600000000.0) AS BIGINT),
+      CAST(coalesce(ceil(epoch_us(finished_at) / 3600000000.0), (SELECT hi FROM bnd)) AS BIGINT) - 1)) AS b
+    FROM af WHERE region IS NOT NULL)),
+regs AS (SELECT DISTINCT region FROM af WHERE region IS NOT NULL),
+grid AS (SELECT region, unnest(generate_series(CAST((SELECT lo FROM bnd) AS BIGINT), CAST((SELECT hi FROM bnd) AS BIGINT))) AS b FROM regs),
+dense AS (SELECT g.region, g.b, CASE WHEN c.b IS NULL THEN 0 ELSE 1 END AS active
+          FROM grid g LEFT JOIN cells c ON c.region = g.region AND c.b = g.b)
+"""
+
+
+@register("lag_correlation", _DENSE + """
+, lags AS (SELECT CAST(unnest(generate_series(-6, 6)) AS INTEGER) AS lag),
+pr AS (SELECT x.region AS region_a, y.region AS region_b, l.lag,
+              CAST(count(*) AS DOUBLE) AS n, CAST(sum(x.active) AS DOUBLE) AS sx, CAST(sum(y.active) AS DOUBLE) AS sy,
+              CAST(sum(x.active * y.active) AS DOUBLE) AS sxy
+       FROM dense x JOIN lags l ON true JOIN dense y ON y.b = x.b - l.lag AND y.region <> x.region
+       GROUP BY 1, 2, 3),
+r AS (SELECT *, n * sxy - sx * sy AS num, sqrt((n * sx - sx * sx) * (n * sy - sy * sy)) AS den FROM pr)
+SELECT region_a, region_b, lag AS lag_hours, round_even(CASE WHEN den > 0 THEN num / den END, 4) + 0.0 AS correlation FROM r""")
+def q_lag_corr(spark, sf_dir):
+    return cross_region.lag_correlation(frame(spark, sf_dir), 6)
+
+
+_DAILY = """
+, dd AS (SELECT DISTINCT date FROM af WHERE region IS NOT NULL),
+rr AS (SELECT DISTINCT region FROM af WHERE region IS NOT NULL),
+cc AS (SELECT date, region, count(*) AS n FROM af WHERE region IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT dd.date, rr.region, CAST(coalesce(cc.n, 0) AS DOUBLE) AS x
+      FROM dd JOIN rr ON true LEFT JOIN cc ON cc.date = dd.date AND cc.region = rr.region)
+"""
+
+_PEARSON_SELECT = """
+, pr AS (SELECT a.region AS region_a, b.region AS region_b, CAST(count(*) AS DOUBLE) AS n,
+                sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS sxx, sum(b.x * b.x) AS syy, sum(a.x * b.x) AS sxy
+         FROM {src} a JOIN {src} b ON a.date = b.date GROUP BY 1, 2),
+r AS (SELECT *, n * sxy - sx * sy AS num, sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS den FROM pr)
+SELECT region_a, region_b, round_even(CASE WHEN den > 0 THEN num / den END, 3) + 0.0 AS value FROM r"""
+
+
+@register("corr_spearman", _DAILY + """
+, rk AS (SELECT date, region, rank() OVER (PARTITION BY region ORDER BY x)
+                + (count(*) OVER (PARTITION BY region, x) - 1) / 2.0 AS x FROM g)
+""" + _PEARSON_SELECT.format(src="rk"))
+def q_spearman(spark, sf_dir):
+    return cross_region.rank_correlation(frame(spark, sf_dir), "spearman")
+
+
+@register("corr_pearson", _DAILY + _PEARSON_SELECT.format(src="g"))
+def q_pearson(spark, sf_dir):
+    return cross_region.rank_correlation(frame(spark, sf_dir), "pearson")
+
+
+@register("corr_kendall", _DAILY + """
+, df AS (SELECT x1.region, x1.date AS d1, x2.date AS d2, sign(x2.x - x1.x) AS sg
+         FROM g x1 JOIN g x2 ON x1.region = x2.region AND x1.date < x2.date),
+k AS (SELECT a.region AS region_a, b.region AS region_b, sum(a.sg * b.sg) AS s,
+             CAST(count(*) FILTER (WHERE a.sg <> 0) AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE b.sg <> 0) AS DOUBLE) AS nb
+      FROM df a JOIN df b ON a.d1 = b.d1 AND a.d2 = b.d2 GROUP BY 1, 2)
+SELECT region_a, region_b, round_even(CASE WHEN sqrt(na * nb) > 0 THEN s / sqrt(na * nb) END, 3) + 0.0 AS value FROM k""")
+def q_kendall(spark, sf_dir):
+    return cross_region.rank_correlation(frame(spark, sf_dir), "kendall")
+
+
+_WAVES = _STARTS + """
+, tt AS (SELECT DISTINCT us AS t FROM s),
+cand AS (SELECT tt.t FROM tt JOIN s ON s.us BETWEEN tt.t AND tt.t + 10800000000
+         GROUP BY tt.t HAVING count(DISTINCT s.region) >= 5),
+chain AS (
+  WITH RECURSIVE ch(t) AS (
+    SELECT min(t) FROM cand
+    UNION ALL
+    SELECT (SELECT min(c.t) FROM cand c WHERE c.t > ch.t + 10800000000) FROM ch WHERE ch.t IS NOT NULL)
+  SELECT t FROM ch WHERE t IS NOT NULL),
+mem AS (SELECT chain.t, s.region, min(s.started_at) AS started_at
+        FROM chain JOIN s ON s.us BETWEEN chain.t AND chain.t + 10800000000 GROUP BY 1, 2),
+wv AS (SELECT t, min(started_at) AS wave_start, max(started_at) AS last_start, count(*) AS regions_hit,
+              arg_min(region, (started_at, region)) AS first_region,
+              list({'region': region, 'started_at': started_at} ORDER BY started_at, region) AS sequence
+       FROM mem GROUP BY t),
+waves AS (SELECT wave_start, strftime(timezone('Europe/Kyiv', timezone('UTC', wave_start)), '%Y-%m-%d') AS date,
+                 first_region, CAST(regions_hit AS INTEGER) AS regions_hit,
+                 round_even(date_diff('microsecond', wave_start, last_start) / 3600000000.0, 2) AS duration_h, sequence
+          FROM wv)
+"""
+
+
+@register("waves", _WAVES + "SELECT * FROM waves")
+def q_waves(spark, sf_dir):
+    return cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz)
+
+
+@register("wave_sequence", _WAVES + """
+SELECT wave_start, CAST(p.pos - 1 AS INTEGER) AS position, p.item.region AS region, p.item.started_at AS started_at
+FROM waves, LATERAL (SELECT unnest(sequence) AS item, generate_subscripts(sequence, 1) AS pos) p""")
+def q_wave_sequence(spark, sf_dir):
+    return cross_region.wave_sequence(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
+
+
+@register("wave_detail", _WAVES + """
+, top AS (SELECT * FROM waves ORDER BY date DESC, regions_hit DESC, wave_start DESC LIMIT 100)
+SELECT wave_start, CAST(p.pos - 1 AS INTEGER) AS position, p.item.region AS region, p.item.started_at AS started_at,
+       round_even(date_diff('microsecond', wave_start, p.item.started_at) / 60000000.0, 1) AS minutes_from_first
+FROM top, LATERAL (SELECT unnest(sequence) AS item, generate_subscripts(sequence, 1) AS pos) p""")
+def q_wave_detail(spark, sf_dir):
+    return cross_region.wave_detail(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz), 100)
+
+
+@register("wave_frames", _WAVES + """
+, sq AS (SELECT wave_start, p.item.region AS region,
+                date_diff('microsecond', wave_start, p.item.started_at) / 1000000.0 AS sec
+         FROM waves, LATERAL (SELECT unnest(sequence) AS item) p),
+tot AS (SELECT wave_start, max(sec) AS tot FROM sq GROUP BY 1),
+f AS (SELECT sq.wave_start, sq.region, CAST(floor(sq.sec / 300) AS INTEGER) AS f0,
+             greatest(CAST(floor(tot.tot / 60.0 / 5) AS INTEGER) + 2, 2) AS nf
+      FROM sq JOIN tot USING (wave_start))
+SELECT wave_start, CAST(unnest(generate_series(f0, nf - 1)) AS INTEGER) AS frame, region FROM f WHERE f0 <= nf - 1""")
+def q_wave_frames(spark, sf_dir):
+    return cross_region.wave_frames(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
