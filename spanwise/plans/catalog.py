@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.operators import clean, cross_region, describe, seasonal, temporal, unify
+from spanwise.operators import (clean, coverage, cross_region, describe, quality, reconcile, seasonal, shape,
+                                survival, temporal, unify)
 from spanwise.plans import pipeline
 from spanwise.plans.oracle import with_pipeline
-from spanwise.sources.binding import binding_profile, raw_alerts_from_events
+from spanwise.sources.binding import binding_profile, raw_alerts_from_events, second_source_from_events
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -502,6 +503,244 @@ def q_wave_frames(spark, sf_dir):
     return cross_region.wave_frames(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
 
 
+# ---- coverage -----------------------------------------------------------------
+
+@register("unit_coverage", """
+, u AS (SELECT region, unit_name, started_at AS us, finished_at AS ue FROM units
+        WHERE region IS NOT NULL AND started_at IS NOT NULL),
+tot AS (SELECT region, count(DISTINCT unit_name) AS tot FROM u GROUP BY 1),
+ek AS (SELECT DISTINCT region, started_at, finished_at FROM af),
+cnt AS (SELECT ek.region, ek.started_at, ek.finished_at, count(DISTINCT u.unit_name) AS unit_count
+        FROM ek JOIN u ON u.region = ek.region AND CASE WHEN ek.finished_at IS NULL THEN u.us >= ek.started_at
+             ELSE u.us < ek.finished_at AND (u.ue IS NULL OR u.ue > ek.started_at) END
+        GROUP BY 1, 2, 3)
+SELECT e.region, e.started_at, e.finished_at, e.duration_min, coalesce(c.unit_count, 0) AS unit_count,
+       round_even(coalesce(c.unit_count, 0) / coalesce(t.tot, 1), 4) AS unit_fraction
+FROM af e
+LEFT JOIN cnt c ON c.region = e.region AND c.started_at = e.started_at AND c.finished_at IS NOT DISTINCT FROM e.finished_at
+LEFT JOIN tot t ON t.region = e.region""")
+def q_coverage(spark, sf_dir):
+    eps = frame(spark, sf_dir).select("region", "started_at", "finished_at", "duration_min")
+    return coverage.episode_unit_coverage(units(spark, sf_dir), eps)
+
+
+# ---- survival -----------------------------------------------------------------
+
+def _km_sql(rows_cte: str) -> str:
+    """KM curve per label from a CTE ``kr(label, t, ev)`` (exact ratio; no censored rows)."""
+    return rows_cte + """
+, kt AS (SELECT label, count(*) AS nn, sum(1 - ev) AS cens FROM kr GROUP BY 1),
+kp AS (SELECT label, t, sum(m) AS m, sum(d) AS d FROM (
+         SELECT label, t, count(*) AS m, sum(ev) AS d FROM kr GROUP BY 1, 2
+         UNION ALL SELECT label, 0.0, 0, 0 FROM kt) GROUP BY 1, 2),
+k1 AS (SELECT kp.*, kt.nn, kt.cens,
+              sum(m) OVER (PARTITION BY kp.label ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n,
+              sum(d) OVER (PARTITION BY kp.label ORDER BY t ROWS UNBOUNDED PRECEDING) AS dcum
+       FROM kp JOIN kt USING (label)),
+k2 AS (SELECT *, (nn - dcum) / nn AS survival,
+              max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY t ROWS UNBOUNDED PRECEDING) AS alld,
+              sum(CASE WHEN n > d THEN d / (n * (n - d)) ELSE 0.0 END) OVER (PARTITION BY label ORDER BY t ROWS UNBOUNDED PRECEDING) AS vv
+       FROM k1),
+km AS (SELECT label, t AS timeline, survival,
+              CASE WHEN survival > 0 AND survival < 1 AND alld = 0
+                   THEN round_even(exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(vv) / ln(survival))), 10)
+                   ELSE 1.0 END AS ci_lower,
+              CASE WHEN survival > 0 AND survival < 1 AND alld = 0
+                   THEN round_even(exp(-exp(ln(-ln(survival)) + 1.959963984540054 * sqrt(vv) / ln(survival))), 10)
+                   ELSE 1.0 END AS ci_upper
+       FROM k2)
+"""
+
+
+_KM_ALL = _km_sql("""
+, kr AS (SELECT 'all' AS label, CAST(duration_min AS DOUBLE) AS t,
+                CASE WHEN coalesce(censored, false) THEN 0 ELSE 1 END AS ev
+         FROM af WHERE duration_min IS NOT NULL AND duration_min >= 0)""")
+
+
+def _km_strata_sql(col: str) -> str:
+    return _km_sql(f"""
+, big AS (SELECT {col} FROM af WHERE {col} IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
+kr AS (SELECT CAST({col} AS VARCHAR) AS label, CAST(duration_min AS DOUBLE) AS t,
+              CASE WHEN coalesce(censored, false) THEN 0 ELSE 1 END AS ev
+       FROM af WHERE duration_min IS NOT NULL AND duration_min >= 0 AND {col} IN (SELECT {col} FROM big))""")
+
+
+def km_all(spark, sf_dir):
+    return survival.kaplan_meier(frame(spark, sf_dir))
+
+
+def km_hour(spark, sf_dir):
+    return survival.kaplan_meier_stratified(frame(spark, sf_dir), "hour")
+
+
+@register("km_curve", _KM_ALL + "SELECT * FROM km")
+def q_km(spark, sf_dir):
+    return km_all(spark, sf_dir)
+
+
+@register("km_by_hour", _km_strata_sql("hour") + "SELECT * FROM km")
+def q_km_hour(spark, sf_dir):
+    return km_hour(spark, sf_dir)
+
+
+@register("km_by_dow", _km_strata_sql("dow") + "SELECT * FROM km")
+def q_km_dow(spark, sf_dir):
+    return survival.kaplan_meier_stratified(frame(spark, sf_dir), "dow")
+
+
+@register("km_hazard", _km_strata_sql("hour") + """
+, hz AS (SELECT label, timeline, survival,
+                lead(survival) OVER (PARTITION BY label ORDER BY timeline) AS sn,
+                lead(timeline) OVER (PARTITION BY label ORDER BY timeline) AS tn FROM km)
+SELECT label, timeline,
+       CASE WHEN sn IS NOT NULL AND tn - timeline > 0 AND survival > 0 AND sn <= survival
+            THEN -(sn - survival) / ((tn - timeline) * survival) END AS hazard
+FROM hz""")
+def q_km_hazard(spark, sf_dir):
+    return survival.hazard(km_hour(spark, sf_dir))
+
+
+@register("km_median_remaining", _KM_ALL + """
+SELECT a.label, a.timeline AS elapsed,
+       (SELECT min(b.timeline) FROM km b WHERE b.label = a.label AND b.survival <= a.survival / 2.0) - a.timeline
+         AS median_remaining
+FROM km a""")
+def q_km_remaining(spark, sf_dir):
+    return survival.median_remaining(km_all(spark, sf_dir))
+
+
+@register("km_median", _km_strata_sql("hour") + """
+SELECT label, coalesce(min(timeline) FILTER (WHERE survival <= 0.5), 600.0) AS median_min,
+       min(timeline) FILTER (WHERE survival <= 0.5) IS NULL AS capped
+FROM km GROUP BY label""")
+def q_km_median(spark, sf_dir):
+    return survival.km_median(km_hour(spark, sf_dir))
+
+
+@register("km_truncated", _km_strata_sql("hour") + """
+, fb AS (SELECT label, min(timeline) FILTER (WHERE survival < 0.05) AS fb FROM km GROUP BY label),
+xm AS (SELECT least(600.0, max(timeline)) AS x_max FROM km)
+SELECT km.label, km.timeline, km.survival, km.ci_lower, km.ci_upper, xm.x_max
+FROM km JOIN fb USING (label) JOIN xm ON true WHERE fb.fb IS NULL OR km.timeline <= fb.fb""")
+def q_km_truncated(spark, sf_dir):
+    return survival.km_truncated(km_hour(spark, sf_dir))
+
+
+# ---- quality ------------------------------------------------------------------
+
+_DIM_SQL = "(VALUES " + ", ".join(f"('{r}')" for r in PROFILE.region_names) + ") AS dim(region)"
+_EXCL_SQL = "(VALUES " + ", ".join(f"('{r}')" for r in PROFILE.excluded) + ") AS ex(region)"
+
+_GAPS = f"""
+, found AS (SELECT DISTINCT region FROM episodes_d WHERE region IS NOT NULL),
+gaps AS (
+  SELECT 'unknown' AS kind, region FROM found
+  WHERE region NOT IN (SELECT region FROM {_DIM_SQL}) AND region NOT IN (SELECT region FROM {_EXCL_SQL})
+  UNION ALL
+  SELECT 'missing' AS kind, region FROM {_DIM_SQL}
+  WHERE region NOT IN (SELECT region FROM {_EXCL_SQL}) AND region NOT IN (SELECT region FROM found))
+"""
+
+
+@register("region_gaps", _GAPS + "SELECT kind, region FROM gaps")
+def q_gaps(spark, sf_dir):
+    return quality.region_gaps(episodes(spark, sf_dir), PROFILE)
+
+
+@register("quality_report", _GAPS + f"""
+, one AS (SELECT count(*) AS n_rows,
+                 count(*) FILTER (WHERE finished_at < started_at) AS n_order,
+                 count(*) FILTER (WHERE duration_min < 0) AS n_neg,
+                 count(*) FILTER (WHERE duration_min = 0) AS n_zero,
+                 count(*) FILTER (WHERE started_at < TIMESTAMP '{PROFILE.official_start} 00:00:00') AS n_early
+          FROM episodes_d),
+dup AS (SELECT coalesce(sum(c - 1), 0) AS n_dup FROM (
+          SELECT count(*) AS c FROM episodes_d GROUP BY region, started_at, finished_at)),
+g AS (SELECT count(*) FILTER (WHERE kind = 'unknown') AS n_unknown, count(*) FILTER (WHERE kind = 'missing') AS n_missing FROM gaps),
+r AS (
+  SELECT 0 AS position, 'schema' AS "check", 'raise' AS severity, 0 AS n_bad
+  UNION ALL SELECT 1, 'row_count', 'raise', CASE WHEN n_rows < {PROFILE.min_rows} THEN n_rows ELSE 0 END FROM one
+  UNION ALL SELECT 2, 'date_order', 'raise', n_order FROM one
+  UNION ALL SELECT 3, 'negative_duration', 'raise', n_neg FROM one
+  UNION ALL SELECT 4, 'zero_duration', 'warn', n_zero FROM one
+  UNION ALL SELECT 5, 'duplicates', 'raise', n_dup FROM dup
+  UNION ALL SELECT 6, 'unknown_regions', 'warn', n_unknown FROM g
+  UNION ALL SELECT 7, 'missing_regions', 'warn', n_missing FROM g
+  UNION ALL SELECT 8, 'coverage_start', 'warn', n_early FROM one)
+SELECT CAST(position AS INTEGER) AS position, "check", severity, CAST(n_bad AS BIGINT) AS n_bad, n_bad = 0 AS passed FROM r""")
+def q_quality(spark, sf_dir):
+    return quality.quality_report(episodes(spark, sf_dir), PROFILE)
+
+
+# ---- reconciliation -----------------------------------------------------------
+
+def second(spark, sf_dir):
+    return reconcile.second_source(second_source_from_events(pipeline.read_table(spark, sf_dir, "events")), PROFILE)
+
+
+_SECOND = """
+, sd AS (SELECT DISTINCT region, started_at, kind FROM second_raw),
+sc AS (SELECT coalesce(a.canonical, sd.region) AS region,
+              TRY_CAST(sd.started_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS started_at, sd.kind
+       FROM sd LEFT JOIN alias_map a ON a.variant = sd.region),
+vol AS (SELECT * FROM sc WHERE started_at >= TIMESTAMP '2022-03-15 00:00:00'),
+cmp AS (
+  SELECT coalesce(o.region, v.region) AS region, coalesce(o.official, 0) AS official, coalesce(v.volunteer, 0) AS volunteer
+  FROM (SELECT region, count(*) AS official FROM episodes_d WHERE region IS NOT NULL GROUP BY 1) o
+  FULL OUTER JOIN (SELECT region, count(*) AS volunteer FROM vol WHERE region IS NOT NULL GROUP BY 1) v
+  ON o.region = v.region),
+cmp2 AS (SELECT region, official, volunteer,
+                round_even(official / CASE WHEN volunteer = 0 THEN 1 ELSE volunteer END, 2) AS ratio_off_vol
+         FROM cmp WHERE region IS NOT NULL AND region NOT IN ('""" + "', '".join(PROFILE.excluded) + """'))
+"""
+
+
+@register("scan_second_source", _SECOND + "SELECT region, started_at, kind FROM vol")
+def q_second(spark, sf_dir):
+    return second(spark, sf_dir)
+
+
+@register("source_compare", _SECOND + "SELECT region, official, volunteer, ratio_off_vol FROM cmp2")
+def q_source_compare(spark, sf_dir):
+    return reconcile.compare_sources(episodes(spark, sf_dir), second(spark, sf_dir), PROFILE)
+
+
+@register("source_spearman", _SECOND + """
+, rk AS (SELECT rank() OVER (ORDER BY official) + (count(*) OVER (PARTITION BY official) - 1) / 2.0 AS x,
+                rank() OVER (ORDER BY volunteer) + (count(*) OVER (PARTITION BY volunteer) - 1) / 2.0 AS y FROM cmp2),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM rk),
+r AS (SELECT CASE WHEN sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) > 0
+                  THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END AS rho FROM s)
+SELECT round_even(rho, 6) + 0.0 AS rho, coalesce(rho >= 0.8, false) AS agree FROM r""")
+def q_source_spearman(spark, sf_dir):
+    return reconcile.source_spearman(reconcile.compare_sources(episodes(spark, sf_dir), second(spark, sf_dir), PROFILE))
+
+
+# ---- presentation shaping -----------------------------------------------------
+
+@register("timeline_sample", """
+, st AS (SELECT count(*) AS nrows, count(DISTINCT region) AS nreg, max(greatest(started_at, finished_at)) AS latest FROM af),
+rk AS (SELECT af.*, row_number() OVER (PARTITION BY region ORDER BY duration_min DESC NULLS LAST, started_at) AS rn FROM af)
+SELECT region, started_at, finished_at, duration_min, coalesce(finished_at, st.latest) AS plot_end
+FROM rk JOIN st ON true WHERE st.nrows <= 400 OR rn <= greatest(1, floor(400 / st.nreg))""")
+def q_timeline_sample(spark, sf_dir):
+    return shape.timeline_sample(frame(spark, sf_dir), 400)
+
+
+_DIM_FULL = "(VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]})" for r in PROFILE.regions) + \
+    ") AS dim(region, name_en, lat, lon)"
+
+
+@register("region_metric_map", f"""
+, m AS (SELECT region, count(started_at) AS alert_count FROM af WHERE region IS NOT NULL GROUP BY region)
+SELECT dim.region, dim.name_en, CAST(dim.lat AS DOUBLE) AS lat, CAST(dim.lon AS DOUBLE) AS lon, m.alert_count,
+       m.alert_count IS NOT NULL AS has_data
+FROM {_DIM_FULL} LEFT JOIN m ON m.region = dim.region""")
+def q_region_map(spark, sf_dir):
+    return shape.region_metric_map(describe.regional_breakdown(frame(spark, sf_dir)), PROFILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
