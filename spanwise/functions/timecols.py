@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 
 _EPOCH = "1970-01-01 00:00:00"
 
-# date, optional time, optional fraction, optional zone offset (Z, +HH, +HH:MM, +HHMM)
-_STAMP = (
-    r"^\s*(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)"
-    r"\s*(Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
-)
+# zone offset after a clock time: +HH, +HH:MM or +HHMM (Z and no offset mean UTC)
+_OFFSET = r"\d:\d\d(?::\d\d(?:\.\d+)?)?\s*([+-]\d\d(?::?\d\d)?)\s*$"
 
 
 def col_of(c) -> Column:
@@ -32,20 +29,20 @@ def epoch_ntz() -> Column:
 def parse_instant(c) -> Column:
     """Parse text to a UTC instant, NULL when the text is not a timestamp.
 
-    Each row is parsed on its own (mixed formats in one column are fine).  Text
-    without an offset is taken as UTC.  The offset is applied explicitly, so the
-    session time zone plays no part.
+    Each row is parsed on its own (mixed formats in one column are fine): the
+    wall-clock part by ``try_cast`` to TIMESTAMP_NTZ (which reads the ISO forms
+    and ignores a zone suffix), the offset by one small regex on the tail and
+    applied explicitly, so the session time zone plays no part.  Text without an
+    offset (or with ``Z``) is UTC.  Kept small on purpose: it runs twice per raw
+    record inside whole-stage code generation.
     """
     s = col_of(c).cast("string")
-    local_part = F.regexp_extract(s, _STAMP, 1)
-    zone = F.regexp_extract(s, _STAMP, 2)
-    local = F.when(local_part != "", F.replace(local_part, F.lit("T"), F.lit(" "))).try_cast("timestamp_ntz")
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    hh = F.when(F.length(digits) >= 2, F.substring(digits, 1, 2).cast("int")).otherwise(F.lit(0))
-    mm = F.when(F.length(digits) >= 4, F.substring(digits, 3, 2).cast("int")).otherwise(F.lit(0))
-    offset_min = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(sign * (hh * 60 + mm))
-    return F.timestamp_add("MINUTE", -offset_min, local)
+    local = s.try_cast("timestamp_ntz")
+    zone = F.regexp_extract(s, _OFFSET, 1)
+    hh = F.substring(zone, 2, 2).try_cast("int")
+    mm = F.coalesce(F.substring(F.replace(zone, F.lit(":"), F.lit("")), 4, 2).try_cast("int"), F.lit(0))
+    minutes = (hh * 60 + mm) * F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    return F.when(zone == "", local).otherwise(F.timestamp_add("MINUTE", -minutes, local))
 
 
 def epoch_micros(c) -> Column:

@@ -122,9 +122,25 @@ def filter_region_date(df: DataFrame, regions=None, start=None, end=None, tz: st
     return out
 
 
+def dedup_parse(df: DataFrame) -> DataFrame:
+    """P3 + P4 in one hash aggregate: distinct raw text rows, instants parsed per row.
+
+    The parsed instants are aggregate outputs (``min`` of a function of the group
+    key, i.e. that function's value), so the "start parsed" filter stays above the
+    aggregate.  Written as a projection after ``distinct``, Catalyst would push the
+    filter below the aggregate and inline it into the source projection, evaluating
+    the parser twice per raw row in one oversized (non-codegen) expression.
+    """
+    out = df.groupBy(*RAW_KEY).agg(
+        F.min(tc.parse_instant("started_at")).alias("_s"),
+        F.min(tc.parse_instant("finished_at")).alias("_e"),
+    )
+    return out.filter(F.col("_s").isNotNull()).select(
+        "oblast", "raion", "hromada", "level", F.col("_s").alias("started_at"), F.col("_e").alias("finished_at")
+    )
+
+
 def prepare_records(raw: DataFrame, profile: Profile) -> DataFrame:
     """S1 output -> parsed, capped records (P1-P5), all levels."""
     df = require_columns(normalise_headers(raw), RAW_REQUIRED, "load")
-    df = dedup_raw(df)
-    df = parse_times(df)
-    return cap_duration(df, profile.cap_seconds)
+    return cap_duration(dedup_parse(df), profile.cap_seconds)

@@ -60,10 +60,14 @@ def units(spark, sf_dir) -> DataFrame:
     return _stored(spark, sf_dir, "units", lambda: units_plan(spark, sf_dir))
 
 
-def episodes(spark, sf_dir) -> DataFrame:
+def episodes_plan(spark, sf_dir) -> DataFrame:
     return pipeline.episodes_from_units(units(spark, sf_dir))
 
 
+def episodes(spark, sf_dir) -> DataFrame:
+    return _stored(spark, sf_dir, "episodes", lambda: episodes_plan(spark, sf_dir))
+
+
 def frame(spark, sf_dir) -> DataFrame:
     return _stored(spark, sf_dir, "frame", lambda: pipeline.analysis_frame(episodes(spark, sf_dir), PROFILE))
 
@@ -118,7 +122,7 @@ def q_exclude(spark, sf_dir):
 
 @register("episodes", "SELECT region, started_at, finished_at, duration_min FROM episodes_d")
 def q_episodes(spark, sf_dir):
-    return episodes(spark, sf_dir)
+    return episodes_plan(spark, sf_dir)
 
 
 @register("episode_records", "SELECT region, started_at, n_records FROM episodes")
