@@ -35,14 +35,15 @@ def _curve(rows: DataFrame, ci_digits: int = 10) -> DataFrame:
     per_t = rows.groupBy("label", "t").agg(
         F.count(F.lit(1)).alias("_m"), F.sum("event").alias("_d")
     )
-    zero = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_total"), F.sum(1 - F.col("event")).alias("_cens"))
     # make sure t = 0 exists (with no removals when no duration is 0)
-    origin = zero.select("label", F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("_m"),
-                         F.lit(0).cast("long").alias("_d"))
+    origin = rows.select("label").distinct().select("label", F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("_m"),
+                                                    F.lit(0).cast("long").alias("_d"))
     per_t = per_t.unionByName(origin).groupBy("label", "t").agg(F.sum("_m").alias("_m"), F.sum("_d").alias("_d"))
     w_rev = Window.partitionBy("label").orderBy(F.desc("t")).rowsBetween(_UNB, 0)
     w_run = Window.partitionBy("label").orderBy("t").rowsBetween(_UNB, 0)
-    k = per_t.withColumn("_n", F.sum("_m").over(w_rev)).join(zero, "label")
+    whole = Window.partitionBy("label")
+    k = per_t.withColumn("_n", F.sum("_m").over(w_rev))
+    k = k.withColumn("_total", F.sum("_m").over(whole)).withColumn("_cens", F.sum(F.col("_m") - F.col("_d")).over(whole))
     k = k.withColumn("_dcum", F.sum("_d").over(w_run))
     k = k.withColumn("_all", F.max((F.col("_d") == F.col("_n")).cast("int")).over(w_run))
     log_term = F.log(1.0 - F.col("_d") / F.col("_n"))

@@ -58,8 +58,13 @@ def prepare(eps: DataFrame, profile: Profile, exclude_permanent: bool = True) ->
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast equi-join on a constant)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a one-row aggregate to every row as a scalar subquery.
+
+    The aggregate runs once and its value is inlined into the projection (no join).
+    """
+    cols = one_row.columns
+    sc = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_sc")).scalar()
+    return df.withColumn("_sc", sc).select(*[F.col(c) for c in df.columns], *[F.col("_sc")[c].alias(c) for c in cols])
 
 
 def days_since_start(df: DataFrame, profile: Profile) -> DataFrame:
