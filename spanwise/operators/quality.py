@@ -27,7 +27,7 @@ def region_gaps(eps: DataFrame, profile: Profile) -> DataFrame:
 
 
 def quality_report(eps: DataFrame, profile: Profile) -> DataFrame:
-    """V1-V8: rows (check, severity, n_bad, passed) in the original order.
+    """V1-V8 (+P16 open-interval count): rows (check, severity, n_bad, passed) in the original order.
 
     V1 is a schema check (no job).  V2-V5 and V7 come from one aggregate pass
     (duplicates from one group-by on the key), V6 from ``region_gaps``.
@@ -41,6 +41,7 @@ def quality_report(eps: DataFrame, profile: Profile) -> DataFrame:
         F.count_if(F.col("duration_min").isNotNull() & (F.col("duration_min") < 0)).alias("n_neg"),
         F.count_if(F.col("duration_min").isNotNull() & (F.col("duration_min") == 0)).alias("n_zero"),
         F.count_if(F.col("started_at") < official).alias("n_early"),
+        F.count_if(F.col("finished_at").isNull()).alias("n_open"),
     )
     dups = eps.groupBy("region", "started_at", "finished_at").agg(F.count(F.lit(1)).alias("_c")).agg(
         F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n_dup"))
@@ -61,6 +62,7 @@ def quality_report(eps: DataFrame, profile: Profile) -> DataFrame:
         ("unknown_regions", WARN, F.col("n_unknown")),
         ("missing_regions", WARN, F.col("n_missing")),
         ("coverage_start", WARN, F.col("n_early")),
+        ("open_intervals", WARN, F.col("n_open")),  # P16
     ]
     items = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("check"), F.lit(sev).alias("severity"),

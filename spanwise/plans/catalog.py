@@ -657,7 +657,8 @@ def q_gaps(spark, sf_dir):
                  count(*) FILTER (WHERE finished_at < started_at) AS n_order,
                  count(*) FILTER (WHERE duration_min < 0) AS n_neg,
                  count(*) FILTER (WHERE duration_min = 0) AS n_zero,
-                 count(*) FILTER (WHERE started_at < TIMESTAMP '{PROFILE.official_start} 00:00:00') AS n_early
+                 count(*) FILTER (WHERE started_at < TIMESTAMP '{PROFILE.official_start} 00:00:00') AS n_early,
+                 count(*) FILTER (WHERE finished_at IS NULL) AS n_open
           FROM episodes_d),
 dup AS (SELECT coalesce(sum(c - 1), 0) AS n_dup FROM (
           SELECT count(*) AS c FROM episodes_d GROUP BY region, started_at, finished_at)),
@@ -671,7 +672,8 @@ r AS (
   UNION ALL SELECT 5, 'duplicates', 'raise', n_dup FROM dup
   UNION ALL SELECT 6, 'unknown_regions', 'warn', n_unknown FROM g
   UNION ALL SELECT 7, 'missing_regions', 'warn', n_missing FROM g
-  UNION ALL SELECT 8, 'coverage_start', 'warn', n_early FROM one)
+  UNION ALL SELECT 8, 'coverage_start', 'warn', n_early FROM one
+  UNION ALL SELECT 9, 'open_intervals', 'warn', n_open FROM one)
 SELECT CAST(position AS INTEGER) AS position, "check", severity, CAST(n_bad AS BIGINT) AS n_bad, n_bad = 0 AS passed FROM r""")
 def q_quality(spark, sf_dir):
     return quality.quality_report(episodes(spark, sf_dir), PROFILE)
