@@ -123,20 +123,24 @@ def filter_region_date(df: DataFrame, regions=None, start=None, end=None, tz: st
 
 
 def dedup_parse(df: DataFrame) -> DataFrame:
-    """P3 + P4 in one hash aggregate: distinct raw text rows, instants parsed per row.
-
-    The parsed instants are aggregate outputs (``min`` of a function of the group
-    key, i.e. that function's value), so the "start parsed" filter stays above the
-    aggregate.  Written as a projection after ``distinct``, Catalyst would push the
-    filter below the aggregate and inline it into the source projection, evaluating
-    the parser twice per raw row in one oversized (non-codegen) expression.
+    """P3 + P4: distinct raw text rows, then instants parsed per row; rows without a start dropped.
+
+    The dedup is a plain hash aggregate on the six text columns (map-side combine
+    of the duplicate copies).  The outputs are tied to the group's row count
+    (``copies > 0`` always holds), so Catalyst keeps the parse and the filters of
+    later steps after the shuffle: the parse runs once per distinct row, in
+    parallel over the shuffle partitions.  As a bare projection, the filters would
+    be pushed below the aggregate into the source projection (parsing every raw
+    copy in one oversized expression, and splitting the scan per consumer).
     """
-    out = df.groupBy(*RAW_KEY).agg(
-        F.min(tc.parse_instant("started_at")).alias("_s"),
-        F.min(tc.parse_instant("finished_at")).alias("_e"),
-    )
-    return out.filter(F.col("_s").isNotNull()).select(
-        "oblast", "raion", "hromada", "level", F.col("_s").alias("started_at"), F.col("_e").alias("finished_at")
+    g = df.groupBy(*RAW_KEY).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = F.col("_copies") > 0
+    # applying the zone offset never turns a parsed value into NULL: filter on the cheap cast
+    g = g.filter(F.when(kept, F.col("started_at").try_cast("timestamp_ntz")).isNotNull())
+    return g.select(
+        *[F.when(kept, F.col(c)).alias(c) for c in ("oblast", "raion", "hromada", "level")],
+        F.when(kept, tc.parse_instant("started_at")).alias("started_at"),
+        F.when(kept, tc.parse_instant("finished_at")).alias("finished_at"),
     )
 
 

@@ -164,3 +164,49 @@ def uncovered_fine(fine: DataFrame, base: DataFrame, cap_seconds: int, key: str
     pm = F.greatest(F.col("_lpm"), F.col("_carry"))
     keep = pm.isNull() | (pm <= F.col("_row.started_at"))
     return joined.filter(keep).select("_row.*")
+
+
+def with_uncovered(records: DataFrame, cap_seconds: int, key: str = "oblast",
+                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """P6 + P7 + P8 in one pass: base rows (oblast / raion) plus the uncovered fine
+    (hromada) rows; rows of any other level and fine rows without a key are dropped.
+
+    Same as ``base.unionByName(uncovered_fine(fine, base))`` but the records are read
+    once: each record is projected into its role (base row at its start, fine probe
+    at its end) in a single stream, so the raw input is scanned and shuffled once.
+    """
+    cap_us = int(cap_seconds) * 1_000_000
+    cols = records.columns
+    level = F.col("level")
+    is_base = level.isin("oblast", "raion")
+    is_fine = (level == "hromada") & F.col(key).isNotNull()
+    end_eff = F.coalesce(F.col("finished_at"), tc.add_micros("started_at", cap_us))
+    stream = (
+        records.filter(is_base | is_fine)
+        .select(
+            F.col(key).alias("_k"),
+            F.when(is_base, F.col("started_at")).otherwise(end_eff).alias("_t"),
+            F.when(is_base, end_eff).alias("_be"),
+            F.when(is_base, F.lit(1)).otherwise(F.lit(0)).alias("_kind"),
+            F.struct(*[F.col(c) for c in cols]).alias("_row"),
+        )
+        .withColumn("_c", tc.time_bucket("_t", chunk_seconds))
+    )
+    w = Window.partitionBy("_k", "_c").orderBy("_t", "_kind").rowsBetween(_UNB, 0)
+    scanned = stream.withColumn("_lpm", F.max("_be").over(w))
+    # carry into a chunk = max base end of all earlier chunks; computed on a chunk table
+    # aggregated map-side from the records (narrow rows).  Chunks that hold only probes
+    # are listed too, so that they receive the carry of the base chunks before them.
+    chunk_rows = records.filter(is_base | is_fine).select(
+        F.col(key).alias("_k"),
+        tc.time_bucket(F.when(is_base, F.col("started_at")).otherwise(end_eff), chunk_seconds).alias("_c"),
+        F.when(is_base, end_eff).alias("_be"),
+    )
+    carry = (
+        chunk_rows.groupBy("_k", "_c").agg(F.max("_be").alias("_cm"))
+        .select("_k", "_c",
+                F.max("_cm").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)).alias("_carry"))
+    )
+    pm = F.greatest(F.col("_lpm"), F.col("_carry"))
+    keep = (F.col("_kind") == 1) | pm.isNull() | (pm <= F.col("_row.started_at"))
+    return scanned.join(carry, ["_k", "_c"], "left").filter(keep).select("_row.*")

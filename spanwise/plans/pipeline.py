@@ -22,9 +22,8 @@ def unit_records(raw: DataFrame, profile: Profile, chunk_seconds: int = unify.DE
     Columns: oblast, raion, hromada, level, started_at, finished_at, region, unit_name.
     """
     records = clean.prepare_records(raw, profile)
-    base, fine = clean.split_levels(records)
-    uncovered = unify.uncovered_fine(fine, base, profile.cap_seconds, key="oblast", chunk_seconds=chunk_seconds)
-    units = base.unionByName(uncovered.select(*base.columns))  # P8
+    # Base rows + uncovered fine rows, one pass over the records
+    units = unify.with_uncovered(records, profile.cap_seconds, key="oblast", chunk_seconds=chunk_seconds)
     units = clean.canonical_region(units, profile.aliases)  # P9
     units = clean.unit_name(units)  # P10
     return clean.exclude_regions(units, profile.excluded)  # P11 (before the union)

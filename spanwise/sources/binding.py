@@ -52,7 +52,9 @@ def _fmt(ts) -> F.Column:
 
 
 def raw_alerts_from_events(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
+    # k is read once per event (a JSON lookup is not cheap, so Catalyst keeps it in its own projection)
+    events = events.select("ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("_k"))
+    k = F.col("_k")
     base = _region_base(F.col("user_id"))
     level = (
         F.when(F.col("event_type") == "error", "oblast")

@@ -152,3 +152,19 @@ def test_adjacent_bursts_merge_into_one_wave(spark):
     seq = [x.region for x in w[0].sequence]
     assert len(seq) == len(set(seq)) == 10
     assert w[0].duration_h <= 3.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_single_pass_base_plus_uncovered_matches_model(spark, seed):
+    rng = random.Random(400 + seed)
+    base = [(k, s, e, rng.choice(["oblast", "raion"])) for k, s, e in random_rows(rng, rng.randint(0, 50))]
+    fine = [(rng.choice(["a", "b", "d", None]), s, e, "hromada") for _, s, e in random_rows(rng, 25)]
+    other = [("a", 10, 20, "region")]
+    cap = 60
+    recs = spark.createDataFrame([(k, lv, ts(s), ts(e)) for k, s, e, lv in base + fine + other],
+                                 "oblast string, level string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    got = unify.with_uncovered(recs, cap * 60, chunk_seconds=rng.choice([600, 3600])).collect()
+    got = sorted([(r.oblast, mins(r.started_at), mins(r.finished_at)) for r in got], key=key)
+    exp = sorted([(k, s, e) for k, s, e, _ in base] +
+                 model_uncovered([(k, s, e) for k, s, e, _ in fine], [(k, s, e) for k, s, e, _ in base], cap), key=key)
+    assert got == exp
