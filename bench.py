@@ -42,11 +42,16 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # warm-up
 
     times: dict[str, float] = {}
-    t0 = time.perf_counter()
-    catalog.units(spark, sf_dir)
-    catalog.episodes(spark, sf_dir)
-    catalog.frame(spark, sf_dir)
-    times["ingest"] = round(time.perf_counter() - t0, 3)
+    best = None
+    for _ in range(reps):
+        catalog._TABLES.clear()  # rebuild and rewrite the three ingest tables
+        t0 = time.perf_counter()
+        catalog.units(spark, sf_dir)
+        catalog.episodes(spark, sf_dir)
+        catalog.frame(spark, sf_dir)
+        dt = time.perf_counter() - t0
+        best = dt if best is None else min(best, dt)
+    times["ingest"] = round(best, 3)
 
     for name in names:
         fn = catalog.REGISTRY[name][0]

@@ -275,26 +275,29 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 def greedy_chain(cands: DataFrame, w_us: int, chunk_us: int | None = None) -> DataFrame:
     """Selected wave starts: first candidate, then repeatedly the first candidate > last + w.
 
-    ``next`` is computed for every candidate; the chain from the first candidate is
-    enumerated by pointer doubling: with ``J_k = next^(2^k)``, the set of the first
-    ``2^(k+1)`` chain nodes is ``P_k ∪ J_k(P_k)``.  Each round is a join; rounds are
-    checkpointed so the lineage stays short.  O(n log n) work, no group holds the chain.
+    ``next`` is computed for every candidate (as-of lookup); the chain from the first
+    candidate is enumerated by pointer doubling: with ``J_k = next^(2^k)``, the first
+    ``2^(k+1)`` chain nodes are ``P_k ∪ J_k(P_k)``.  The chain has at most
+    ``min(#candidates, span / w + 1)`` nodes (selected starts are more than w apart), so
+    the number of rounds is known from one aggregate row; each round is a join, and
+    both tables are checkpointed per round (reliable checkpoint in the shared folder)
+    so plans stay small.  O(n log n) work; no group ever holds the chain.
     """
+    import math
+
     chunk_us = chunk_us or max(w_us * 8, 86_400_000_000)
-    jump = _checkpointed(_next_candidate(cands, w_us, chunk_us))  # (_t, _next)
-    first = cands.agg(F.min("_t").alias("_t")).filter(F.col("_t").isNotNull())
-    chain = _checkpointed(first)
-    total = jump.count()
-    covered = 1
-    while covered < total:
+    st = cands.agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi")).collect()[0]
+    if st["n"] == 0:
+        return cands.select("_t").limit(0)
+    bound = min(st["n"], (st["hi"] - st["lo"]) // w_us + 1)
+    rounds = math.ceil(math.log2(bound)) if bound > 1 else 0
+    spark = cands.sparkSession
+    chain = spark.createDataFrame([(st["lo"],)], "_t long")
+    jump = _checkpointed(_next_candidate(cands, w_us, chunk_us)) if rounds else None  # (_t, _next)
+    for r in range(rounds):
         step = chain.join(jump, "_t").filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_t"))
-        grown = _checkpointed(chain.unionByName(step).distinct())
-        if grown.count() == chain.count():
-            chain = grown
-            break
-        chain = grown
-        covered *= 2
-        if covered < total:
+        chain = _checkpointed(chain.unionByName(step).distinct())
+        if r < rounds - 1:
             jump = _checkpointed(
                 jump.alias("x").join(jump.alias("y"), F.col("x._next") == F.col("y._t"), "left")
                 .select(F.col("x._t").alias("_t"), F.col("y._next").alias("_next"))
