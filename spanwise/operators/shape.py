@@ -23,7 +23,10 @@ def timeline_sample(df: DataFrame, max_rows: int = 400, regions=None, as_of=None
     d = with_scalars(d, stats)
     per_region = F.greatest(F.lit(1), F.floor(F.lit(max_rows) / F.col("_nreg")))
     w = Window.partitionBy("region").orderBy(F.desc_nulls_last("duration_min"), "started_at")
-    ranked = d.withColumn("_rn", F.row_number().over(w))
+    # the per-region quota is never above max_rows (and when all rows are kept there are at most
+    # max_rows of them), so a literal bound first is exact and lets Spark plan a partial top-k
+    # per region before the shuffle (WindowGroupLimit) instead of sorting a whole hot region
+    ranked = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(max_rows)))
     kept = ranked.filter((F.col("_rows") <= max_rows) | (F.col("_rn") <= per_region))
     now = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("_latest")
     return kept.select("region", "started_at", "finished_at", "duration_min",

@@ -22,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.functions.scans import running
+
 Z95 = 1.959963984540054  # standard normal quantile at 0.975
 CAP_MINUTES = 600.0
 CUTOFF = 0.05
+BUCKET_MINUTES = 1.0  # width of the scan buckets of the two-level running sums
 
 _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
@@ -39,20 +42,26 @@ def _curve(rows: DataFrame, ci_digits: int = 10) -> DataFrame:
     origin = rows.select("label").distinct().select("label", F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("_m"),
                                                     F.lit(0).cast("long").alias("_d"))
     per_t = per_t.unionByName(origin).groupBy("label", "t").agg(F.sum("_m").alias("_m"), F.sum("_d").alias("_d"))
-    w_rev = Window.partitionBy("label").orderBy(F.desc("t")).rowsBetween(_UNB, 0)
-    w_run = Window.partitionBy("label").orderBy("t").rowsBetween(_UNB, 0)
-    whole = Window.partitionBy("label")
-    k = per_t.withColumn("_n", F.sum("_m").over(w_rev))
-    k = k.withColumn("_total", F.sum("_m").over(whole)).withColumn("_cens", F.sum(F.col("_m") - F.col("_d")).over(whole))
-    k = k.withColumn("_dcum", F.sum("_d").over(w_run))
-    k = k.withColumn("_all", F.max((F.col("_d") == F.col("_n")).cast("int")).over(w_run))
+    # running sums in two levels (local window per (label, minute bucket) + bucket offsets),
+    # so even one label's curve is spread over many tasks
+    per_t = per_t.withColumn("_b", F.floor(F.col("t") / BUCKET_MINUTES).cast("long"))
+    k = running(per_t, ["label"], "_b", [F.desc("t")], [("_n", "_m", "sum")], descending=True)
+    # label totals (one row per label) joined back
+    tot = per_t.groupBy("label").agg(F.sum("_m").alias("_total"), F.sum(F.col("_m") - F.col("_d")).alias("_cens"))
+    k = k.join(tot, "label")
     log_term = F.log(1.0 - F.col("_d") / F.col("_n"))
-    k = k.withColumn("_lsum", F.sum(F.when(F.col("_d") < F.col("_n"), log_term).otherwise(F.lit(0.0))).over(w_run))
+    green = F.when(F.col("_n") > F.col("_d"), F.col("_d") / (F.col("_n") * (F.col("_n") - F.col("_d"))))
+    k = k.select(
+        "*",
+        (F.col("_d") == F.col("_n")).cast("int").alias("_full"),
+        F.when(F.col("_d") < F.col("_n"), log_term).otherwise(F.lit(0.0)).alias("_lt"),
+        F.coalesce(green, F.lit(0.0)).alias("_gt"),
+    )
+    k = running(k, ["label"], "_b", [F.asc("t")],
+                [("_dcum", "_d", "sum"), ("_all", "_full", "max"), ("_lsum", "_lt", "sum"), ("_V", "_gt", "sum")])
     s_exact = (F.col("_total") - F.col("_dcum")) / F.col("_total")
     s_prod = F.when(F.col("_all") == 1, F.lit(0.0)).otherwise(F.exp("_lsum"))
     k = k.withColumn("survival", F.when(F.col("_cens") == 0, s_exact).otherwise(s_prod))
-    green = F.when(F.col("_n") > F.col("_d"), F.col("_d") / (F.col("_n") * (F.col("_n") - F.col("_d"))))
-    k = k.withColumn("_V", F.sum(F.coalesce(green, F.lit(0.0))).over(w_run))
     v = F.log(F.col("survival"))
     defined = (F.col("survival") > 0) & (F.col("survival") < 1) & (F.col("_all") == 0)
     upper = F.exp(-F.exp(F.log(-v) + F.lit(Z95) * F.sqrt("_V") / v))
