@@ -54,8 +54,9 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
     4. continued islands take the label of the last episode start of earlier
        chunks (second small chunk window); the episode is a group-by on label.
 
-    The label is ``(start, lseg)``: two episodes can share a start only when an open
-    row lies between them, which changes ``lseg``.
+    Islands are labelled ``chunk * 2^32 + island number in the chunk`` (chronological),
+    so two episodes that share a start (possible only with an open row between them)
+    still get different labels.
     """
     s, e = F.col(start), F.col(end)
     rows = (
@@ -71,22 +72,26 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
     w_seg = Window.partitionBy("_k", "_c", "_lseg").orderBy(*order).rowsBetween(_UNB, -1)
     rows = rows.withColumn("_lpm", F.max("_e").over(w_seg))
     island_start = F.col("_lpm").isNull() | (F.col("_s") > F.col("_lpm"))
-    label = F.when(island_start, F.struct(F.col("_s").alias("s"), F.col("_lseg").alias("q")))
-    rows = rows.withColumn("_lab", F.max(label).over(w_chunk.rowsBetween(_UNB, 0)))
+    # island label: chunk * 2^32 + island number inside the chunk -- a long that orders
+    # islands chronologically, so every later aggregate is a hash aggregate
+    rows = rows.withColumn(
+        "_lab",
+        F.col("_c") * F.lit(1 << 32) + F.sum(island_start.cast("long")).over(w_chunk.rowsBetween(_UNB, 0)),
+    )
 
     # islands; the explicit exchange is the single materialisation point that every
     # later step reads (AQE reuses the stage), so the row-level sort runs once
     frags = (
         rows.groupBy("_k", "_c", "_lab")
-        .agg(F.max("_e").alias("_fe"), F.max("_open").alias("_fo"), F.count(F.lit(1)).alias("_n"),
-             F.max("_topen").alias("_ft"))
+        .agg(F.min("_s").alias("_fs"), F.max("_e").alias("_fe"), F.max("_open").alias("_fo"),
+             F.count(F.lit(1)).alias("_n"), F.max("_lseg").alias("_q"), F.max("_topen").alias("_ft"))
         .repartition("_k", "_c")
     )
 
     w_k = Window.partitionBy("_k").orderBy("_c")
     chunks = frags.groupBy("_k", "_c").agg(
         F.max("_fo").alias("_has_open"),
-        F.max(F.when(F.col("_lab.q") == F.col("_ft"), F.col("_fe"))).alias("_tail"),
+        F.max(F.when(F.col("_q") == F.col("_ft"), F.col("_fe"))).alias("_tail"),
     )
     chunks = chunks.withColumn("_grp", F.sum("_has_open").over(w_k.rowsBetween(_UNB, 0)))
     chunks = chunks.withColumn(
@@ -96,19 +101,20 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
 
     j1 = frags.join(chunks, ["_k", "_c"], "left").withColumn(
         "_cont",
-        (F.col("_lab.q") == 0) & F.col("_carry_pm").isNotNull() & (F.col("_lab.s") <= F.col("_carry_pm")),
+        (F.col("_q") == 0) & F.col("_carry_pm").isNotNull() & (F.col("_fs") <= F.col("_carry_pm")),
     )
     owns = j1.groupBy("_k", "_c").agg(F.max(F.when(~F.col("_cont"), F.col("_lab"))).alias("_own"))
     owns = owns.select("_k", "_c", F.max("_own").over(w_k.rowsBetween(_UNB, -1)).alias("_carry_lab"))
     labelled = j1.join(owns, ["_k", "_c"], "left").select(
-        "_k", F.when(F.col("_cont"), F.col("_carry_lab")).otherwise(F.col("_lab")).alias("_lab"), "_fe", "_fo", "_n"
+        "_k", F.when(F.col("_cont"), F.col("_carry_lab")).otherwise(F.col("_lab")).alias("_lab"),
+        "_fs", "_fe", "_fo", "_n",
     )
     eps = labelled.groupBy("_k", "_lab").agg(
-        F.max("_fe").alias("_fe"), F.max("_fo").alias("_fo"), F.sum("_n").alias("_n")
+        F.min("_fs").alias("_fs"), F.max("_fe").alias("_fe"), F.max("_fo").alias("_fo"), F.sum("_n").alias("_n")
     )
     cols = [
         F.col("_k").alias(key),
-        F.col("_lab.s").alias(start),
+        F.col("_fs").alias(start),
         F.when(F.col("_fo") == 1, F.lit(None)).otherwise(F.col("_fe")).alias(end),
     ]
     if with_count:
