@@ -12,32 +12,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _UNB = Window.unboundedPreceding
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list, specs: list[tuple[str, str, str]],
             descending: bool = False) -> DataFrame:
     """Add running aggregates (inclusive of the current row).
 
-    ``specs``: ``(output, input column, "sum" | "max")``.  ``order`` sorts rows inside a bucket in
+    ``specs``: ``(output, input column, "sum" | "max" | "min")``.  ``order`` sorts rows inside a bucket in
     the scan direction; buckets are visited ascending (or descending with ``descending=True``).
     """
     w_local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(_UNB, 0)
     out = df
     for name, col, how in specs:
-        fn = F.sum if how == "sum" else F.max
-        out = out.withColumn(name, fn(col).over(w_local))
-    totals = df.groupBy(*keys, bucket).agg(
-        *[(F.sum if how == "sum" else F.max)(col).alias(f"_tot_{name}") for name, col, how in specs]
-    )
+        out = out.withColumn(name, _AGG[how](col).over(w_local))
+    totals = df.groupBy(*keys, bucket).agg(*[_AGG[how](col).alias(f"_tot_{name}") for name, col, how in specs])
     b_order = F.col(bucket).desc() if descending else F.col(bucket).asc()
     w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(_UNB, -1)
     offs = totals.select(
         *keys, bucket,
-        *[(F.sum if how == "sum" else F.max)(f"_tot_{name}").over(w_b).alias(f"_off_{name}") for name, _, how in specs],
+        *[_AGG[how](f"_tot_{name}").over(w_b).alias(f"_off_{name}") for name, _, how in specs],
     )
     out = out.join(offs, [*keys, bucket], "left")
     for name, _, how in specs:
         off = F.col(f"_off_{name}")
-        combined = (F.col(name) + F.coalesce(off, F.lit(0))) if how == "sum" else F.greatest(F.col(name), off)
+        if how == "sum":
+            combined = F.col(name) + F.coalesce(off, F.lit(0))
+        else:
+            combined = (F.greatest if how == "max" else F.least)(F.col(name), off)
         out = out.withColumn(name, combined).drop(f"_off_{name}")
     return out
+
+
+def next_in_order(df: DataFrame, keys: list[str], bucket: str, order_col: str, cols: list[str]) -> DataFrame:
+    """Add ``_next_<c>`` = value of ``c`` on the next row by ``order_col`` (ascending, unique per key).
+
+    Inside a bucket this is ``lead``; the last row of a bucket takes the first row of the
+    next non-empty bucket, found on the bucket table (one row per bucket).
+    """
+    w = Window.partitionBy(*keys, bucket).orderBy(order_col)
+    out = df
+    for c in cols:
+        out = out.withColumn(f"_next_{c}", F.lead(c).over(w))
+    firsts = df.groupBy(*keys, bucket).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_f"))
+    wb = Window.partitionBy(*keys).orderBy(bucket)
+    firsts = firsts.select(*keys, bucket, F.lead("_f").over(wb).alias("_nf"))
+    out = out.join(firsts, [*keys, bucket], "left")
+    for c in cols:
+        out = out.withColumn(f"_next_{c}", F.coalesce(F.col(f"_next_{c}"), F.col("_nf")[c]))
+    return out.drop("_nf")

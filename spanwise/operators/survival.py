@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.functions.scans import running
+from spanwise.functions.scans import next_in_order, running
 
 Z95 = 1.959963984540054  # standard normal quantile at 0.975
 CAP_MINUTES = 600.0
@@ -108,12 +108,14 @@ def kaplan_meier_stratified(df: DataFrame, strata_col: str = "hour", groups=None
 
 def hazard(km: DataFrame) -> DataFrame:
     """K3 at every curve point: ``(S - S') / (dt * S)`` with the next point; NULL on the last
-    point, when dt <= 0, S <= 0 or S' > S."""
-    w = Window.partitionBy("label").orderBy("timeline")
-    k = km.withColumn("_sn", F.lead("survival").over(w)).withColumn("_tn", F.lead("timeline").over(w))
-    dt = F.col("_tn") - F.col("timeline")
-    h = -(F.col("_sn") - F.col("survival")) / (dt * F.col("survival"))
-    ok = F.col("_sn").isNotNull() & (dt > 0) & (F.col("survival") > 0) & (F.col("_sn") <= F.col("survival"))
+    point, when dt <= 0, S <= 0 or S' > S.  The next point comes from a two-level lookup
+    (lead inside a time bucket, first point of the next bucket across buckets)."""
+    k = km.withColumn("_b", F.floor(F.col("timeline") / BUCKET_MINUTES).cast("long"))
+    k = next_in_order(k, ["label"], "_b", "timeline", ["survival", "timeline"])
+    sn, tn = F.col("_next_survival"), F.col("_next_timeline")
+    dt = tn - F.col("timeline")
+    h = -(sn - F.col("survival")) / (dt * F.col("survival"))
+    ok = sn.isNotNull() & (dt > 0) & (F.col("survival") > 0) & (sn <= F.col("survival"))
     return k.select("label", "timeline", F.when(ok, h).alias("hazard"))
 
 
@@ -129,15 +131,18 @@ def median_remaining(km: DataFrame) -> DataFrame:
     ``S <= S(elapsed) / 2`` minus elapsed; NULL when the curve never gets there.
 
     Curves are non-increasing, so the answer is the smallest timeline among points
-    with ``S <= target``: one window over the union of targets and points ordered
-    by value (descending), targets before points at equal value.
+    with ``S <= target`` (target = S(elapsed) / 2): a running minimum over the union
+    of targets and points, scanned by value in two levels (value buckets).
     """
     pts = km.select("label", F.col("survival").alias("_v"), F.lit(1).alias("_kind"), F.col("timeline").alias("_t"),
                     F.lit(None).cast("double").alias("_el"))
     qs = km.select("label", (F.col("survival") / 2.0).alias("_v"), F.lit(0).alias("_kind"),
                    F.lit(None).cast("double").alias("_t"), F.col("timeline").alias("_el"))
-    w = Window.partitionBy("label").orderBy(F.desc("_v"), F.asc("_kind")).rowsBetween(1, _UNF)
-    u = pts.unionByName(qs).withColumn("_first", F.min("_t").over(w)).filter(F.col("_kind") == 0)
+    # scanning by value ascending (points before targets at equal value), the running min of
+    # point timelines up to a target is the min over points with S <= target (two-level scan)
+    u = pts.unionByName(qs).withColumn("_b", F.floor(F.col("_v") * 1024).cast("long"))
+    u = running(u, ["label"], "_b", [F.asc("_v"), F.desc("_kind")], [("_first", "_t", "min")])
+    u = u.filter(F.col("_kind") == 0)
     return u.select("label", F.col("_el").alias("elapsed"), (F.col("_first") - F.col("_el")).alias("median_remaining"))
 
 
