@@ -13,7 +13,10 @@ from spanwise.operators import clean
 def second_source(raw: DataFrame, profile: Profile) -> DataFrame:
     """Whole-row dedup, canonical region, strict UTC parse (bad text raises),
     keep starts on or after the official start."""
-    d = raw.distinct()
+    # whole-row dedup; outputs tied to the group count keep the parse and the date filter
+    # after the shuffle (parallel, once per distinct row) instead of inside the scan
+    g = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    d = g.select(*[F.when(F.col("_copies") > 0, F.col(c)).alias(c) for c in raw.columns])
     d = clean.canonical_region(d, profile.aliases, src="region", dst="region")
     parsed = tc.parse_instant("started_at")
     strict = F.when(parsed.isNull() & F.col("started_at").isNotNull(),
