@@ -279,9 +279,9 @@ def greedy_chain(cands: DataFrame, w_us: int, chunk_us: int | None = None) -> Da
     candidate is enumerated by pointer doubling: with ``J_k = next^(2^k)``, the first
     ``2^(k+1)`` chain nodes are ``P_k ∪ J_k(P_k)``.  The chain has at most
     ``min(#candidates, span / w + 1)`` nodes (selected starts are more than w apart), so
-    the number of rounds is known from one aggregate row; each round is a join, and
-    both tables are checkpointed per round (reliable checkpoint in the shared folder)
-    so plans stay small.  O(n log n) work; no group ever holds the chain.
+    the number of rounds is known from one aggregate row; each round is one self-join of
+    the table ``(t, J_k(t), t in P_k)``, checkpointed (reliable checkpoint in the shared
+    folder) so plans stay small.  O(n log n) work; no group ever holds the chain.
     """
     import math
 
@@ -291,18 +291,20 @@ def greedy_chain(cands: DataFrame, w_us: int, chunk_us: int | None = None) -> Da
         return cands.select("_t").limit(0)
     bound = min(st["n"], (st["hi"] - st["lo"]) // w_us + 1)
     rounds = math.ceil(math.log2(bound)) if bound > 1 else 0
-    spark = cands.sparkSession
-    chain = spark.createDataFrame([(st["lo"],)], "_t long")
-    jump = _checkpointed(_next_candidate(cands, w_us, chunk_us)) if rounds else None  # (_t, _next)
-    for r in range(rounds):
-        step = chain.join(jump, "_t").filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_t"))
-        chain = _checkpointed(chain.unionByName(step).distinct())
-        if r < rounds - 1:
-            jump = _checkpointed(
-                jump.alias("x").join(jump.alias("y"), F.col("x._next") == F.col("y._t"), "left")
-                .select(F.col("x._t").alias("_t"), F.col("y._next").alias("_next"))
-            )
-    return chain
+    # one table per round: (_t, _next = J_k(_t), _in = _t in P_k); a self-join gives both
+    # J_{k+1} = J_k o J_k and the newly reached nodes J_k(P_k), one checkpoint per round
+    tab = _next_candidate(cands, w_us, chunk_us).withColumn("_in", (F.col("_t") == F.lit(st["lo"])).cast("int"))
+    tab = _checkpointed(tab)
+    for _ in range(rounds):
+        x, y = tab.alias("x"), tab.alias("y")
+        j = x.join(y, F.col("x._next") == F.col("y._t"), "left")
+        keep = j.select(F.col("x._t").alias("_t"), F.col("y._next").alias("_next"), F.col("x._in").alias("_in"))
+        reached = j.filter((F.col("x._in") == 1) & F.col("y._t").isNotNull()).select(
+            F.col("y._t").alias("_t"), F.lit(None).cast("long").alias("_next"), F.lit(1).alias("_in"))
+        tab = _checkpointed(
+            keep.unionByName(reached).groupBy("_t").agg(F.max("_next").alias("_next"), F.max("_in").alias("_in"))
+        )
+    return tab.filter(F.col("_in") == 1).select("_t")
 
 
 def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: str = "Europe/Kyiv") -> DataFrame:
