@@ -75,6 +75,18 @@ def _curve(rows: DataFrame, ci_digits: int = 10) -> DataFrame:
     )
 
 
+def _with_as_of(df: DataFrame, as_of) -> DataFrame:
+    """Optional: an open episode is censored at ``as_of - start`` instead of having no duration.
+
+    Off by default (the original drops open episodes, so no censored row reaches the estimator)."""
+    if as_of is None:
+        return df
+    from spanwise.functions import timecols as tc
+    open_dur = tc.minutes_between("started_at", F.lit(str(as_of)).cast("timestamp_ntz"))
+    return df.withColumn("duration_min", F.coalesce(F.col("duration_min"), open_dur)).withColumn(
+        "censored", F.col("finished_at").isNull())
+
+
 def _rows(df: DataFrame, label_col=None) -> DataFrame:
     d = df.filter(F.col("duration_min").isNotNull() & (F.col("duration_min") >= 0))
     label = F.lit("all") if label_col is None else F.col(label_col).cast("string")
@@ -85,9 +97,9 @@ def _rows(df: DataFrame, label_col=None) -> DataFrame:
     )
 
 
-def kaplan_meier(df: DataFrame, label: str = "all") -> DataFrame:
-    """K1: one curve for all rows with a duration >= 0."""
-    d = df.filter(F.col("duration_min").isNotNull() & (F.col("duration_min") >= 0))
+def kaplan_meier(df: DataFrame, label: str = "all", as_of=None) -> DataFrame:
+    """K1: one curve for all rows with a duration >= 0 (``as_of``: see ``_with_as_of``)."""
+    d = _with_as_of(df, as_of).filter(F.col("duration_min").isNotNull() & (F.col("duration_min") >= 0))
     return _curve(d.select(
         F.lit(label).alias("label"), F.col("duration_min").cast("double").alias("t"),
         (~F.coalesce(F.col("censored"), F.lit(False))).cast("int").alias("event"),
@@ -95,10 +107,10 @@ def kaplan_meier(df: DataFrame, label: str = "all") -> DataFrame:
 
 
 def kaplan_meier_stratified(df: DataFrame, strata_col: str = "hour", groups=None,
-                            min_observations: int = 10) -> DataFrame:
+                            min_observations: int = 10, as_of=None) -> DataFrame:
     """K2: one curve per stratum value in one pass; strata with < min rows (counted before
     the duration filter) are skipped; label = the value as text."""
-    base = df.filter(F.col(strata_col).isNotNull())
+    base = _with_as_of(df, as_of).filter(F.col(strata_col).isNotNull())
     if groups is not None:
         base = base.filter(F.col(strata_col).isin(list(groups)))
     big = base.groupBy(strata_col).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") >= min_observations)

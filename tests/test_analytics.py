@@ -159,3 +159,14 @@ def test_timeline_sample_keeps_every_region(spark):
     out = shape.timeline_sample(frame(spark, rows), 400)
     assert out.select("region").distinct().count() == 25
     assert out.count() == 25 * 16
+
+
+def test_kaplan_meier_as_of_censors_open_episodes(spark):
+    d = dt.datetime
+    rows = [("k", d(2024, 1, 1, 0, 0), d(2024, 1, 1, 0, 10)), ("k", d(2024, 1, 1, 0, 0), None),
+            ("k", d(2024, 1, 1, 0, 0), d(2024, 1, 1, 0, 30))]
+    f = frame(spark, rows)
+    default = {r.timeline: r.survival for r in survival.kaplan_meier(f).collect()}
+    assert default == {0.0: 1.0, 10.0: 0.5, 30.0: 0.0}  # the open episode has no duration
+    km = {r.timeline: r.survival for r in survival.kaplan_meier(f, as_of="2024-01-01 00:20:00").collect()}
+    assert km[10.0] == pytest.approx(2 / 3) and km[20.0] == pytest.approx(2 / 3) and km[30.0] == 0.0
