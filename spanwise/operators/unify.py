@@ -25,6 +25,12 @@ from spanwise.functions import timecols as tc
 
 DEFAULT_CHUNK_SECONDS = 3600
 
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    from spanwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 _UNB = Window.unboundedPreceding
 
 
@@ -79,13 +85,15 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
         F.col("_c") * F.lit(1 << 32) + F.sum(island_start.cast("long")).over(w_chunk.rowsBetween(_UNB, 0)),
     )
 
-    # islands; the explicit exchange is the single materialisation point that every
-    # later step reads (AQE reuses the stage), so the row-level sort runs once
-    frags = (
+    # islands.  Three later steps read them; a plan-level exchange cannot be shared
+    # because column pruning gives each reader a different projection, so the islands
+    # are checkpointed (reliable, in the shared checkpoint folder): the row-level sort
+    # and windows run once, readers scan the much smaller island table, the
+    # (key, chunk) partitioning is kept, and a lost executor re-reads the checkpoint.
+    frags = _checkpoint(
         rows.groupBy("_k", "_c", "_lab")
         .agg(F.min("_s").alias("_fs"), F.max("_e").alias("_fe"), F.max("_open").alias("_fo"),
              F.count(F.lit(1)).alias("_n"), F.max("_lseg").alias("_q"), F.max("_topen").alias("_ft"))
-        .repartition("_k", "_c")
     )
 
     w_k = Window.partitionBy("_k").orderBy("_c")
