@@ -58,13 +58,20 @@ def prepare(eps: DataFrame, profile: Profile, exclude_permanent: bool = True) ->
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row as a scalar subquery.
+    """Attach the values of a one-row aggregate (bounds, totals) to every row as typed literals.
 
-    The aggregate runs once and its value is inlined into the projection (no join).
+    The aggregate is evaluated once when the plan is built: a single bounded row, not data.
+    (As a scalar subquery Catalyst copies it into every expression that reads a field, and
+    the copies are not reused, so the aggregate would run many times per query.)
     """
-    cols = one_row.columns
-    sc = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_sc")).scalar()
-    return df.withColumn("_sc", sc).select(*[F.col(c) for c in df.columns], *[F.col("_sc")[c].alias(c) for c in cols])
+    rows = one_row.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("with_scalars expects a one-row aggregate")
+    values = rows[0].asDict() if rows else {f.name: None for f in one_row.schema.fields}
+    return df.select(
+        *[F.col(c) for c in df.columns],
+        *[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields],
+    )
 
 
 def days_since_start(df: DataFrame, profile: Profile) -> DataFrame:
