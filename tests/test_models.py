@@ -168,3 +168,72 @@ def test_single_pass_base_plus_uncovered_matches_model(spark, seed):
     exp = sorted([(k, s, e) for k, s, e, _ in base] +
                  model_uncovered([(k, s, e) for k, s, e, _ in fine], [(k, s, e) for k, s, e, _ in base], cap), key=key)
     assert got == exp
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_unit_coverage_matches_brute_force(spark, seed):
+    from spanwise.operators import coverage
+    rng = random.Random(500 + seed)
+    units = []
+    for _ in range(rng.randint(1, 60)):
+        s = rng.randint(0, 900)
+        e = None if rng.random() < 0.2 else s + rng.randint(-5, 120)
+        units.append((rng.choice("ab"), rng.choice(["u1", "u2", "u3", "u4"]), s, e))
+    eps = []
+    for _ in range(rng.randint(1, 25)):
+        s = rng.randint(0, 900)
+        e = None if rng.random() < 0.25 else s + rng.randint(0, 200)
+        eps.append((rng.choice("abc"), s, e))
+    udf = spark.createDataFrame([(r, u, "raion", ts(s), ts(e)) for r, u, s, e in units],
+                                "region string, unit_name string, level string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    edf = spark.createDataFrame([(r, ts(s), ts(e), None) for r, s, e in eps],
+                                "region string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_min double")
+    got = sorted((r.region, mins(r.started_at), mins(r.finished_at), r.unit_count)
+                 for r in coverage.episode_unit_coverage(udf, edf, bin_seconds=rng.choice([600, 3600])).collect())
+
+    def count(r, s, e):
+        if e is None:
+            active = {u for rr, u, us, ue in units if rr == r and us >= s}
+        else:
+            active = {u for rr, u, us, ue in units if rr == r and us < e and (ue is None or ue > s)}
+        return len(active)
+
+    exp = sorted((r, s, e, count(r, s, e)) for r, s, e in eps)
+    assert [(a, b, c is None, c or 0, d) for a, b, c, d in got] == [(a, b, c is None, c or 0, d) for a, b, c, d in exp]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lag_correlation_matches_direct_pearson(spark, seed):
+    import math
+    from spanwise.operators import cross_region
+    rng = random.Random(600 + seed)
+    rows = []
+    for _ in range(rng.randint(4, 30)):
+        s = rng.randint(0, 60 * 40)
+        rows.append((rng.choice("abc"), s, s + rng.randint(1, 300)))
+    df = spark.createDataFrame([(r, ts(s), ts(e)) for r, s, e in rows],
+                               "region string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    got = {(r.region_a, r.region_b, r.lag_hours): r.correlation for r in cross_region.lag_correlation(df, 3).collect()}
+    lo = min(s for _, s, _ in rows) // 60
+    hi = -(-max(e for _, _, e in rows) // 60)
+    idx = list(range(lo, hi + 1))
+    series = {g: [1 if any(r == g and s // 60 <= i < -(-e // 60) for r, s, e in rows) else 0 for i in idx]
+              for g in {r for r, _, _ in rows}}
+
+    def pearson(x, y):
+        n = len(x)
+        mx, my = sum(x) / n, sum(y) / n
+        sxy = sum((a - mx) * (b - my) for a, b in zip(x, y))
+        sxx = sum((a - mx) ** 2 for a in x)
+        syy = sum((b - my) ** 2 for b in y)
+        return None if sxx == 0 or syy == 0 else sxy / math.sqrt(sxx * syy)
+
+    for (a, b, lag), v in got.items():
+        x, y = series[a], series[b]
+        # b shifted by lag: pairs (x[i], y[i - lag]) where both exist
+        pairs = [(x[i], y[i - lag]) for i in range(len(idx)) if 0 <= i - lag < len(idx)]
+        want = pearson([p[0] for p in pairs], [p[1] for p in pairs])
+        if want is None:
+            assert v is None
+        else:
+            assert v == pytest.approx(round(want, 4), abs=1.1e-4)
