@@ -107,9 +107,9 @@ def lag_correlation(df: DataFrame, max_lag_hours: int = 6, freq_seconds: int = 3
 
     Sign as in the original implementation: a negative lag means b follows a.
     All ordered pairs, or one pair when both regions are given.  Computed from
-    sparse active cells: ``n = N - |lag|``, the co-active count by an equi-join on
-    ``i = j + lag``, the single-series sums by counting active cells inside the
-    overlapping index range.  Sums are exact integers; NULL when a series is
+    sparse active cells: ``n = N - |lag|``, the co-active count from overlapping
+    active runs (``_co_active_runs``), the single-series sums by counting active
+    cells inside the overlapping index range.  Sums are exact integers; NULL when a series is
     constant over the overlap.
     """
     act = binary_series(df, freq_seconds, dense=False).select(
@@ -139,14 +139,7 @@ def lag_correlation(df: DataFrame, max_lag_hours: int = 6, freq_seconds: int = 3
     in_b = (F.col("i") >= F.col("lo") - F.least(F.lit(0), F.col("lag"))) & (
         F.col("i") <= F.col("hi") - F.greatest(F.lit(0), F.col("lag")))
     sums = role.groupBy("region", "lag").agg(F.count_if(in_a).alias("_sa"), F.count_if(in_b).alias("_sb"))
-    # co-active: a at i, b at j = i - lag
-    bl = act.select(F.col("region").alias("region_b"), F.col("i").alias("j"), F.explode(lags).alias("lag"))
-    co = (
-        act.select(F.col("region").alias("region_a"), "i")
-        .join(bl, F.col("i") == F.col("j") + F.col("lag"))
-        .groupBy("region_a", "region_b", "lag")
-        .agg(F.count(F.lit(1)).alias("_sxy"))
-    )
+    co = _co_active_runs(act, max_lag_hours)
     grid = pairs.select("region_a", "region_b", F.explode(lags).alias("lag"))
     sa = sums.select(F.col("region").alias("region_a"), "lag", "_sa")
     sb = sums.select(F.col("region").alias("region_b"), "lag", "_sb")
@@ -166,6 +159,46 @@ def lag_correlation(df: DataFrame, max_lag_hours: int = 6, freq_seconds: int = 3
     )
 
 
+def _co_active_runs(act: DataFrame, max_lag: int, bin_buckets: int = 24) -> DataFrame:
+    """Co-active counts ``#{i : a active at i, b active at i - lag}`` per (a, b, lag) from runs.
+
+    Active cells are collapsed into runs (gaps and islands over a region's active
+    cells, at most span / freq rows per region).  Run pairs of two regions that come
+    within ``max_lag`` of each other are found by an equi-join on coarse bins (each
+    pair kept once, in its first common bin), and each lag's overlap is arithmetic:
+    ``min(a2, b2 + lag) - max(a1, b1 + lag) + 1``.  Work grows with runs, not with
+    active cells x regions x lags.
+    """
+    w = Window.partitionBy("region").orderBy("i")
+    runs = (
+        act.withColumn("_g", F.col("i") - F.row_number().over(w))
+        .groupBy("region", "_g").agg(F.min("i").alias("r1"), F.max("i").alias("r2"))
+    )
+    L = int(max_lag)
+    a = runs.select(
+        F.col("region").alias("region_a"), F.col("r1").alias("a1"), F.col("r2").alias("a2"),
+        F.explode(F.sequence(F.floor((F.col("r1") - L) / bin_buckets).cast("long"),
+                             F.floor((F.col("r2") + L) / bin_buckets).cast("long"))).alias("_bin"),
+    )
+    b = runs.select(
+        F.col("region").alias("region_b"), F.col("r1").alias("b1"), F.col("r2").alias("b2"),
+        F.explode(F.sequence(F.floor(F.col("r1") / bin_buckets).cast("long"),
+                             F.floor(F.col("r2") / bin_buckets).cast("long"))).alias("_bin"),
+    )
+    first_common = F.greatest(F.floor((F.col("a1") - L) / bin_buckets), F.floor(F.col("b1") / bin_buckets)).cast("long")
+    pairs = a.join(b, "_bin").filter(
+        (F.col("b1") <= F.col("a2") + L) & (F.col("b2") >= F.col("a1") - L) & (F.col("_bin") == first_common)
+    )
+    lagged = pairs.select("region_a", "region_b", "a1", "a2", "b1", "b2",
+                          F.explode(F.sequence(F.lit(-L), F.lit(L))).alias("lag"))
+    overlap = F.least(F.col("a2"), F.col("b2") + F.col("lag")) - F.greatest(F.col("a1"), F.col("b1") + F.col("lag")) + 1
+    return (
+        lagged.filter(overlap > 0)
+        .groupBy("region_a", "region_b", "lag")
+        .agg(F.sum(overlap).alias("_sxy"))
+    )
+
+
 # ---- C3 -----------------------------------------------------------------------
 
 def _daily_grid(df: DataFrame) -> DataFrame:
