@@ -116,3 +116,21 @@ def test_mixed_timestamp_formats_parse_per_row(spark):
     assert got[:3] == [dt.datetime(2024, 1, 1, 8, 0)] * 3
     assert got[3] == dt.datetime(2024, 1, 1, 8, 0, 0, 250000)
     assert got[4] is None and got[5] is None
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    rows = [("Одеська область", None, None, "oblast", "2024-10-27 00:30:00+00:00", "2024-10-27 01:30:00+03:00", "a"),
+            ("Одеська область", None, None, "oblast", "2024-03-31 01:30:00Z", "2024-03-31 03:30:00+01:00", "a")]
+    def run():
+        f = pipeline.analysis_frame(_episodes(spark, rows), DEFAULT)
+        return sorted((r.started_at, r.finished_at, r.local_start, r.hour, r.date, r.duration_min) for r in f.collect())
+    before = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        after = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
+    # 01:30+03:00 is 22:30Z the previous day: an end before the start stays as given (no cap, no swap)
+    assert before[1][0] == dt.datetime(2024, 10, 27, 0, 30)
