@@ -170,3 +170,12 @@ def test_kaplan_meier_as_of_censors_open_episodes(spark):
     assert default == {0.0: 1.0, 10.0: 0.5, 30.0: 0.0}  # the open episode has no duration
     km = {r.timeline: r.survival for r in survival.kaplan_meier(f, as_of="2024-01-01 00:20:00").collect()}
     assert km[10.0] == pytest.approx(2 / 3) and km[20.0] == pytest.approx(2 / 3) and km[30.0] == 0.0
+
+
+def test_lower_triangle_view(spark):
+    rows = [(r, dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=7 * i), None) for i, r in enumerate("abcabc")]
+    full = {(r.region_a, r.region_b): r.value for r in cross_region.co_occurrence(frame(spark, rows), 2.0).collect()}
+    tri = {(r.region_a, r.region_b): r.value
+           for r in cross_region.co_occurrence(frame(spark, rows), 2.0, lower_triangle=True).collect()}
+    assert set(tri) == {(a, b) for a, b in full if a > b}
+    assert all(tri[k] == full[k] == full[(k[1], k[0])] for k in tri)
