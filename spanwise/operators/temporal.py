@@ -12,6 +12,10 @@ from spanwise.operators import clean
 FEATURE_COLUMNS = ["censored", "local_start", "hour", "dow", "dow_name", "month", "month_name", "year", "date", "week"]
 
 
+def to_local_col(col: str, tz: str) -> F.Column:
+    return tc.to_local(col, tz)
+
+
 def local_time(df: DataFrame, tz: str, col: str = "started_at", out: str = "local_start") -> DataFrame:
     """UTC instant -> local wall-clock time (DST-aware)."""
     return df.withColumn(out, tc.to_local(col, tz))
@@ -82,7 +86,7 @@ def days_since_start(df: DataFrame, profile: Profile) -> DataFrame:
 
 
 def binary_series(df: DataFrame, freq_seconds: int = 3600, regions: list[str] | None = None,
-                  dense: bool = True) -> DataFrame:
+                  dense: bool = True, tz: str | None = None) -> DataFrame:
     """Long-form activity series ``(bucket, region, active)``.
 
     A bucket is active iff ``bucket >= floor(start)`` and ``bucket < ceil(end)``.
@@ -91,10 +95,18 @@ def binary_series(df: DataFrame, freq_seconds: int = 3600, regions: list[str] |
     to ``t_max``.  Buckets are aligned in UTC (the zone offset is whole hours, so
     hourly buckets coincide with local ones and no fold hour is ambiguous).
 
+    With ``tz`` the instants are first converted to local wall-clock time, so buckets
+    of a day or longer start at local midnight (labels are local times).
+
     Sparse output (``dense=False``) lists only active cells; the dense form
     joins the active cells to the bucket spine x region list and fills 0.  The
     spine has ``span / freq`` rows — bounded by the time span, not the data.
     """
+    if tz is not None:
+        # buckets aligned to local wall-clock time (daily buckets start at local midnight);
+        # bucket labels are then local times
+        df = df.withColumn("started_at", to_local_col("started_at", tz)).withColumn(
+            "finished_at", to_local_col("finished_at", tz))
     us = int(freq_seconds) * 1_000_000
     d = df.filter(F.col("region").isNotNull() & F.col("started_at").isNotNull())
     if regions:

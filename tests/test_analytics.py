@@ -179,3 +179,12 @@ def test_lower_triangle_view(spark):
            for r in cross_region.co_occurrence(frame(spark, rows), 2.0, lower_triangle=True).collect()}
     assert set(tri) == {(a, b) for a, b in full if a > b}
     assert all(tri[k] == full[k] == full[(k[1], k[0])] for k in tri)
+
+
+def test_daily_binary_series_in_local_time(spark):
+    d = dt.datetime
+    # 23:00Z on Jan 1 is 01:00 on Jan 2 in Kyiv: the local daily bucket is Jan 2
+    f = frame(spark, [("Kyiv", d(2024, 1, 1, 23, 0), d(2024, 1, 1, 23, 30))])
+    utc = {r.bucket for r in temporal.binary_series(f, 86400, dense=False).collect()}
+    local = {r.bucket for r in temporal.binary_series(f, 86400, dense=False, tz="Europe/Kyiv").collect()}
+    assert utc == {d(2024, 1, 1)} and local == {d(2024, 1, 2)}
