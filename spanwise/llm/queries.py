@@ -93,8 +93,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
     links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
     node AS (SELECT vec_id AS id FROM embeddings),
-    walk(id, at) AS (SELECT id, id FROM node UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.at = links.a)
-    SELECT n.id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = n.id) AS BIGINT) AS n_links, min(walk.at) AS component_id, n.id = min(walk.at) AS kept
+    walk(id, pos) AS (SELECT id, id FROM node UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.pos = links.a)
+    SELECT n.id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = n.id) AS BIGINT) AS n_links, min(walk.pos) AS component_id, n.id = min(walk.pos) AS kept
     FROM node n JOIN walk ON walk.id = n.id GROUP BY n.id""",
     "op8_ngram_jaccard": r"""WITH RECURSIVE w AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
     o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
     links AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
-    walk(id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.at = links.a)
+    walk(id, pos) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.pos = links.a)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(at) AS component_id FROM walk GROUP BY id) c ON c.id = d.doc_id""",
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(pos) AS component_id FROM walk GROUP BY id) c ON c.id = d.doc_id""",
 }
