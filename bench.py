@@ -19,6 +19,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from spanwise.operators import cross_region  # noqa: E402
 from spanwise.plans import catalog  # noqa: E402
 from spanwise.session import get_session  # noqa: E402
 
@@ -29,6 +30,10 @@ HEADLINE = [
 ]
 
 
+# the wave queries share one stored table; the bench times its computation
+BUILDERS = {"waves": lambda spark, sf_dir: cross_region.waves(catalog.frame(spark, sf_dir), 5, 3.0, catalog.PROFILE.tz)}
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -54,7 +59,7 @@ def main() -> None:
     times["ingest"] = round(best, 3)
 
     for name in names:
-        fn = catalog.REGISTRY[name][0]
+        fn = BUILDERS.get(name) or catalog.REGISTRY[name][0]
         best = None
         for _ in range(reps):
             t = time.perf_counter()

@@ -87,10 +87,12 @@ MAX_RAW_HOURS = 12  # a single raw record longer than this is capped before merg
 COVER_START = "2022-02-24"  # origin of the day counter (local midnight)
 OFFICIAL_START = "2022-03-15"  # first day of official coverage
 MIN_EXPECTED_ROWS = 10_000  # quality floor on the episode count
-RAW_NULL_TOKENS = ["", "None", "NaN", "null", "NA", "N/A", "n/a", "nan", "NULL", "<NA>", "#N/A"]
+RAW_NULL_TOKENS = ["", "None", "NaN", "null", "NA", "N/A", "n/a", "nan", "NULL", "<NA>", "#N/A", "#NA", "#N/A N/A",
+                   "-nan", "-NaN", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN"]
 NIGHT_START_HOUR = 20
 NIGHT_END_HOUR = 6
 DOW_SHORT = ["Пн", "Вт", "Ср", "Чт", "Пт", "Сб", "Нд"]  # Monday first
+DOW_LONG = ["Понеділок", "Вівторок", "Середа", "Четвер", "П'ятниця", "Субота", "Неділя"]
 LEVELS_BASE = ["oblast", "raion"]
 LEVEL_FINE = "hromada"
 

@@ -49,10 +49,6 @@ def epoch_micros(c) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch_ntz(), col_of(c))
 
 
-def epoch_seconds(c) -> Column:
-    return F.timestamp_diff("SECOND", epoch_ntz(), col_of(c))
-
-
 def micros_between(start, end) -> Column:
     return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end))
 

@@ -50,15 +50,6 @@ def dedup_raw(df: DataFrame) -> DataFrame:
     return df.select(*RAW_KEY).distinct()
 
 
-def parse_times(df: DataFrame) -> DataFrame:
-    """Text -> UTC instants; unparseable values become NULL; rows without a start are dropped."""
-    return (
-        df.withColumn("started_at", tc.parse_instant("started_at"))
-        .withColumn("finished_at", tc.parse_instant("finished_at"))
-        .filter(F.col("started_at").isNotNull())
-    )
-
-
 def cap_duration(df: DataFrame, cap_seconds: int) -> DataFrame:
     """P5: a closed record longer than the cap (strictly) ends at start + cap; open rows untouched."""
     too_long = F.col("finished_at").isNotNull() & (
@@ -148,3 +139,17 @@ def prepare_records(raw: DataFrame, profile: Profile) -> DataFrame:
     """S1 output -> parsed, capped records (P1-P5), all levels."""
     df = require_columns(normalise_headers(raw), RAW_REQUIRED, "load")
     return cap_duration(dedup_parse(df), profile.cap_seconds)
+
+
+def ingest_counts(raw: DataFrame, profile: Profile) -> DataFrame:
+    """P3-P5 counters, one row: raw rows, distinct rows, distinct rows without a readable start
+    (dropped), and kept rows whose end was cut to start + cap."""
+    g = normalise_headers(raw).groupBy(*RAW_KEY).agg(F.count(F.lit(1)).alias("_copies"))
+    start = tc.parse_instant("started_at")
+    long = tc.micros_between(start, tc.parse_instant("finished_at")) > F.lit(profile.cap_seconds * 1_000_000)
+    return g.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_raw"),
+        F.count(F.lit(1)).alias("n_distinct"),
+        F.count_if(start.isNull()).alias("n_bad_start"),
+        F.count_if(F.coalesce(long, F.lit(False))).alias("n_capped"),
+    )

@@ -7,15 +7,15 @@ during it, and that number over the distinct units ever seen in the region.
   ``coalesce(u.end, as_of) > ep.start`` (strict);
 * open episode: every unit record with ``u.start >= ep.start``.
 
-Three equi-join branches, no range self-join:
+Three branches, no range self-join and no join on the region alone:
 
 1. closed episode x closed record: both exploded over fixed time bins and joined
    on ``(region, bin)`` + the overlap test.  Episodes of a region are disjoint, so a
    bin meets few episodes; records are capped, so they span few bins.
 2. closed episode x open records: a unit with an open record covers every closed
-   episode ending after that record's start (and before ``as_of``), so only the
-   per-``(region, unit)`` earliest open start is needed (bounded by the unit dimension).
-3. open episode: per ``(region, unit)`` latest start >= episode start.
+   episode ending after that record's start (and before ``as_of``): a running count of the
+   units' earliest open starts, read off at the episode's end.
+3. open episode: a running count of the units' latest starts, read off at its start.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions import timecols as tc
+from spanwise.functions.scans import running
 
 DEFAULT_BIN_SECONDS = 3600
+COUNT_BUCKET_SECONDS = 86_400  # chunks of the running counts
 
 
 def _bins(start: str, end: str, bin_us: int) -> F.Column:
@@ -34,6 +36,18 @@ def _bins(start: str, end: str, bin_us: int) -> F.Column:
     return F.explode(F.sequence(lo, F.greatest(lo, hi)))
 
 
+def _as_of_count(points: DataFrame, at: str, episodes: DataFrame, probe: str, descending: bool) -> DataFrame:
+    """Episodes (region, started_at, finished_at) with ``_n`` = points of the region before ``probe``, or,
+    descending, at or after it: a two-level running count over points and probes together."""
+    keys = episodes.select("region", F.col(probe).alias("_t"), F.lit(0).cast("long").alias("_one"), "started_at", "finished_at")
+    dots = points.select("region", F.col(at).alias("_t"), F.lit(1).cast("long").alias("_one"))
+    u = dots.unionByName(keys, allowMissingColumns=True).withColumn("_b", tc.time_bucket("_t", COUNT_BUCKET_SECONDS))
+    # at equal times: ascending, probes come first (strictly before); descending, points come first
+    order = [F.desc("_t"), F.desc("_one")] if descending else [F.asc("_t"), F.asc("_one")]
+    u = running(u, ["region"], "_b", order, [("_n", "_one", "sum")], descending=descending)
+    return u.filter(F.col("_one") == 0).select("region", "started_at", "finished_at", "_n")
+
+
 def episode_unit_coverage(units: DataFrame, episodes: DataFrame, as_of=None,
                           bin_seconds: int = DEFAULT_BIN_SECONDS) -> DataFrame:
     """G1: episodes + ``unit_count`` (int) + ``unit_fraction`` (4 dp).
@@ -56,22 +70,26 @@ def episode_unit_coverage(units: DataFrame, episodes: DataFrame, as_of=None,
         (F.col("us") < F.col("finished_at")) & (F.col("ue") > F.col("started_at"))
     ).select("region", "started_at", "finished_at", "unit_name")
 
-    # 2. closed x open records via the earliest open start per unit
+    # 2. closed x open records: units whose earliest open start lies before the episode's end, an
+    # as-of count over (region, time); units met in branch 1 as well are taken out there by an equi-join
     first_open = u.filter(F.col("ue").isNull()).groupBy("region", "unit_name").agg(F.min("us").alias("_fo"))
-    cond2 = F.col("_fo") < F.col("finished_at")
+    counted = F.col("_fo") < F.col("finished_at")
+    before = _as_of_count(first_open, "_fo", closed, "finished_at", descending=False)
     if as_of is not None:
-        cond2 = cond2 & (F.lit(as_of).cast("timestamp_ntz") > F.col("started_at"))
-    pairs2 = closed.join(first_open, "region").filter(cond2).select("region", "started_at", "finished_at", "unit_name")
+        running_then = F.lit(as_of).cast("timestamp_ntz") > F.col("started_at")
+        counted = counted & running_then
+        before = before.withColumn("_n", F.when(running_then, F.col("_n")).otherwise(F.lit(0)))
+    extra = pairs1.distinct().join(first_open, ["region", "unit_name"], "left").filter(~F.coalesce(counted, F.lit(False)))
+    extra = extra.groupBy("region", "started_at", "finished_at").agg(F.count(F.lit(1)).alias("_n"))
 
-    # 3. open episodes via the latest start per unit
+    # 3. open episodes: units whose latest start is at or after the episode's start
     last_start = u.groupBy("region", "unit_name").agg(F.max("us").alias("_ls"))
-    pairs3 = open_eps.join(last_start, "region").filter(F.col("_ls") >= F.col("started_at")).select(
-        "region", "started_at", "finished_at", "unit_name")
+    after = _as_of_count(last_start, "_ls", open_eps, "started_at", descending=True)
 
     counts = (
-        pairs1.unionByName(pairs2).unionByName(pairs3)
+        before.unionByName(extra).unionByName(after)
         .groupBy("region", "started_at", "finished_at")
-        .agg(F.countDistinct("unit_name").alias("unit_count"))
+        .agg(F.sum("_n").alias("unit_count"))
     )
     totals = u.groupBy("region").agg(F.countDistinct("unit_name").alias("_tot"))
     c = counts.select(F.col("region").alias("_r"), F.col("started_at").alias("_s"),

@@ -8,8 +8,9 @@ None of these uses a range self-join or a global sort of raw rows:
   active regions;
 * correlations work on per-day / per-hour count tables whose size is bounded by
   the time span, not by the row count;
-* the greedy wave chain is followed by pointer doubling (log2 rounds of joins),
-  so no cluster of candidates is ever collected into one task.
+* the greedy wave chain is followed by pointer doubling from the head of every
+  cluster of candidates (log2 rounds of joins over a shrinking table), so no
+  cluster is ever collected into one task.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import timecols as tc
-from spanwise.operators.temporal import binary_series, with_scalars
-from spanwise.session import ensure_checkpoint_dir
+from spanwise.functions.stored import drop_table, write_table
+from spanwise.operators.temporal import active_cells, series_bounds, with_scalars
 
 _UNB = Window.unboundedPreceding
+SALTS = 8  # copies of a time cell's region table in the co-occurrence join
 
 
 def _starts(df: DataFrame) -> DataFrame:
@@ -37,11 +39,14 @@ def _cell_stats(starts: DataFrame, cell_us: int) -> DataFrame:
 
 
 def region_pairs(regions: DataFrame, col: str = "region") -> DataFrame:
-    """All ordered pairs of a (small) region dimension: the matrix index of C1-C3."""
-    lst = regions.agg(F.sort_array(F.collect_set(col)).alias("_all"))
-    return with_scalars(regions.select(F.col(col).alias("region_a")), lst).select(
-        "region_a", F.explode("_all").alias("region_b")
-    )
+    """All ordered pairs of regions: the matrix index of C1-C3 (regions squared is the result's size).
+
+    The distinct regions meet in one equi-join group per slice of the list, so neither the list
+    nor the pairs pass through the driver."""
+    slices = 16
+    a = regions.select(F.col(col).alias("region_a"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_z"))
+    b = regions.select(F.col(col).alias("region_b"), F.pmod(F.xxhash64(col), F.lit(slices)).cast("int").alias("_z"))
+    return a.join(b, "_z").select("region_a", "region_b")
 
 
 # ---- C1 -----------------------------------------------------------------------
@@ -69,11 +74,15 @@ def co_occurrence(df: DataFrame, window_hours: float = 2.0, lower_triangle: bool
         .agg(F.min("_nmin").alias("_nmin"), F.max("_pmax").alias("_pmax"), F.max("_same").alias("_same"))
     )
     hit = F.col("_same") | (F.col("_pmax") >= F.col("_us") - w_us) | (F.col("_nmin") <= F.col("_us") + w_us)
+    # starts are counted per (region, instant) first; a busy cell is spread over SALTS copies
+    at = s.groupBy("region", "_cell", "_us").agg(F.count(F.lit(1)).alias("_c"))
+    at = at.withColumn("_salt", F.pmod(F.xxhash64("region", "_us"), F.lit(SALTS)).cast("int"))
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = (
-        s.join(near, "_cell")
+        at.join(near, ["_cell", "_salt"])
         .filter((F.col("b") != F.col("region")) & hit)
         .groupBy(F.col("region").alias("a"), "b")
-        .agg(F.count(F.lit(1)).alias("_h"))
+        .agg(F.sum("_c").alias("_h"))
     )
     n = s.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
     pairs = region_pairs(n.select("region"))
@@ -82,12 +91,14 @@ def co_occurrence(df: DataFrame, window_hours: float = 2.0, lower_triangle: bool
         .join(n.withColumnRenamed("region", "region_a"), "region_a")
         .select("region_a", "region_b", (F.coalesce(F.col("_h"), F.lit(0)) / F.col("_n")).alias("_m"))
     )
-    mt = m.select(F.col("region_a").alias("region_b"), F.col("region_b").alias("region_a"), F.col("_m").alias("_mt"))
-    out = m.join(mt, ["region_a", "region_b"]).select(
-        "region_a", "region_b",
-        F.when(F.col("region_a") == F.col("region_b"), F.lit(None).cast("double"))
-        .otherwise((F.col("_m") + F.col("_mt")) / 2.0).alias("value"),
-    )
+    # both directions of a pair meet in one group: no second evaluation of the matrix
+    lo, hi = F.least("region_a", "region_b"), F.greatest("region_a", "region_b")
+    both = m.groupBy(lo.alias("_lo"), hi.alias("_hi")).agg(F.sum("_m").alias("_sum"))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.lit(None).cast("double")).otherwise(F.col("_sum") / 2.0).alias("value")
+    there = F.struct(F.col("_lo").alias("region_a"), F.col("_hi").alias("region_b"))
+    back = F.struct(F.col("_hi").alias("region_a"), F.col("_lo").alias("region_b"))
+    out = both.select(value, F.explode(F.when(F.col("_lo") == F.col("_hi"), F.array(there)).otherwise(F.array(there, back))).alias("_p"))
+    out = out.select("_p.region_a", "_p.region_b", "value")
     if lower_triangle:
         out = out.filter(F.col("region_a") > F.col("region_b"))
     return out
@@ -112,44 +123,36 @@ def lag_correlation(df: DataFrame, max_lag_hours: int = 6, freq_seconds: int = 3
     cells inside the overlapping index range.  Sums are exact integers; NULL when a series is
     constant over the overlap.
     """
-    act = binary_series(df, freq_seconds, dense=False).select(
-        "region", F.floor(tc.epoch_micros("bucket") / F.lit(freq_seconds * 1_000_000)).cast("long").alias("i")
-    )
-    us = freq_seconds * 1_000_000
-    src = df.filter(F.col("started_at").isNotNull())
-    bounds = src.agg(
-        F.min(F.floor(tc.epoch_micros("started_at") / F.lit(us))).alias("lo"),
-        F.greatest(
-            F.max(-F.floor(-tc.epoch_micros("finished_at") / F.lit(us))),
-            F.max(F.when(F.col("finished_at").isNull(), -F.floor(-tc.epoch_micros("started_at") / F.lit(us)) + 1)),
-        ).alias("hi"),
-    )
+    bounds = series_bounds(df, freq_seconds)  # once: one aggregate row
+    lo, hi = bounds or (0, -1)
+    one_pair = region_a is not None and region_b is not None
+    d = df.filter(F.col("region").isin(region_a, region_b)) if one_pair else df
+    act = active_cells(d, freq_seconds, hi).withColumnRenamed("b", "i")
     lags = F.sequence(F.lit(-max_lag_hours), F.lit(max_lag_hours))
-    regs = df.filter(F.col("region").isNotNull()).select("region").distinct()
-    if region_a is not None and region_b is not None:
+    regs = d.filter(F.col("region").isNotNull() & F.col("started_at").isNotNull()).select("region").distinct()
+    if one_pair:
         pairs = df.sparkSession.createDataFrame([(region_a, region_b)], "region_a string, region_b string")
         pairs = pairs.join(regs.withColumnRenamed("region", "region_a"), "region_a").join(
             regs.withColumnRenamed("region", "region_b"), "region_b")
     else:
         pairs = region_pairs(regs).filter(F.col("region_a") != F.col("region_b"))
     # per region and lag: active cells inside the a-role range and the b-role range
-    role = with_scalars(act, bounds).select("region", "i", "lo", "hi", F.explode(lags).alias("lag"))
-    in_a = (F.col("i") >= F.col("lo") + F.greatest(F.lit(0), F.col("lag"))) & (
-        F.col("i") <= F.col("hi") + F.least(F.lit(0), F.col("lag")))
-    in_b = (F.col("i") >= F.col("lo") - F.least(F.lit(0), F.col("lag"))) & (
-        F.col("i") <= F.col("hi") - F.greatest(F.lit(0), F.col("lag")))
+    role = act.select("region", "i", F.explode(lags).alias("lag"))
+    in_a = (F.col("i") >= F.greatest(F.lit(0), F.col("lag")) + lo) & (F.col("i") <= F.least(F.lit(0), F.col("lag")) + hi)
+    in_b = (F.col("i") >= F.lit(lo) - F.least(F.lit(0), F.col("lag"))) & (
+        F.col("i") <= F.lit(hi) - F.greatest(F.lit(0), F.col("lag")))
     sums = role.groupBy("region", "lag").agg(F.count_if(in_a).alias("_sa"), F.count_if(in_b).alias("_sb"))
     co = _co_active_runs(act, max_lag_hours)
     grid = pairs.select("region_a", "region_b", F.explode(lags).alias("lag"))
     sa = sums.select(F.col("region").alias("region_a"), "lag", "_sa")
     sb = sums.select(F.col("region").alias("region_b"), "lag", "_sb")
     g = (
-        with_scalars(grid, bounds)
+        grid
         .join(sa, ["region_a", "lag"], "left")
         .join(sb, ["region_b", "lag"], "left")
         .join(co, ["region_a", "region_b", "lag"], "left")
     )
-    n = (F.col("hi") - F.col("lo") + 1 - F.abs(F.col("lag"))).cast("double")
+    n = (F.lit(hi - lo + 1) - F.abs(F.col("lag"))).cast("double")
     sx = F.coalesce(F.col("_sa"), F.lit(0)).cast("double")
     sy = F.coalesce(F.col("_sb"), F.lit(0)).cast("double")
     sxy = F.coalesce(F.col("_sxy"), F.lit(0)).cast("double")
@@ -216,8 +219,8 @@ def _daily_grid(df: DataFrame) -> DataFrame:
 def rank_correlation(df: DataFrame, method: str = "spearman") -> DataFrame:
     """Region x region correlation of daily start counts, 3 dp; NULL without variance.
 
-    ``spearman``: Pearson on average ranks; ``pearson``: on the counts; ``kendall``: tau-b
-    from concordant / discordant date pairs (date pairs are bounded by the span, not the data).
+    ``spearman``: Pearson on average ranks; ``pearson``: on the counts; ``kendall``: tau-b, where the
+    diagonal is 1 even without variance (the convention of the original's library).
     """
     g = _daily_grid(df)
     if method == "kendall":
@@ -241,21 +244,29 @@ def rank_correlation(df: DataFrame, method: str = "spearman") -> DataFrame:
 
 
 def _kendall(g: DataFrame) -> DataFrame:
-    d1 = g.select(F.col("date").alias("d1"), "region", F.col("x").alias("x1"))
-    d2 = g.select(F.col("date").alias("d2"), "region", F.col("x").alias("x2"))
-    # per region, sign of the change between every pair of dates d1 < d2
-    diffs = d1.join(d2, "region").filter(F.col("d1") < F.col("d2")).select(
-        "region", "d1", "d2", F.signum(F.col("x2") - F.col("x1")).alias("sg")
-    )
-    a = diffs.select(F.col("region").alias("region_a"), "d1", "d2", F.col("sg").alias("sa"))
-    b = diffs.select(F.col("region").alias("region_b"), "d1", "d2", F.col("sg").alias("sb"))
-    s = a.join(b, ["d1", "d2"]).groupBy("region_a", "region_b").agg(
-        F.sum(F.col("sa") * F.col("sb")).alias("_s"),
-        F.count_if(F.col("sa") != 0).cast("double").alias("_na"),
-        F.count_if(F.col("sb") != 0).cast("double").alias("_nb"),
-    )
+    """tau-b from counts: days per pair of values (xa, xb) of two regions a < b, then concordant minus
+    discordant day pairs from these counts; the days themselves are never paired."""
+    own = g.groupBy("region", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(
+        ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2.0).alias("untied"))
+    a = g.select("date", F.col("region").alias("region_a"), F.col("x").alias("xa"))
+    b = g.select("date", F.col("region").alias("region_b"), F.col("x").alias("xb"))
+    cells = a.join(b, "date").filter(F.col("region_a") < F.col("region_b")).groupBy("region_a", "region_b", "xa", "xb").agg(
+        F.count(F.lit(1)).alias("c"))
+    x, y = cells.alias("x"), cells.alias("y")
+    pairs = x.join(y, ["region_a", "region_b"]).filter(F.col("x.xa") < F.col("y.xa"))
+    s = pairs.groupBy("region_a", "region_b").agg(
+        F.sum(F.col("x.c") * F.col("y.c") * F.signum(F.col("y.xb") - F.col("x.xb"))).alias("_s"))
+    regs = own.select("region")
+    upper = region_pairs(regs).filter(F.col("region_a") < F.col("region_b")).join(s, ["region_a", "region_b"], "left")
+    upper = upper.join(own.select(F.col("region").alias("region_a"), F.col("untied").alias("_na")), "region_a").join(
+        own.select(F.col("region").alias("region_b"), F.col("untied").alias("_nb")), "region_b")
     den = F.sqrt(F.col("_na") * F.col("_nb"))
-    return s.select("region_a", "region_b", F.bround(F.when(den > 0, F.col("_s") / den), 3).alias("value"))
+    value = F.bround(F.when(den > 0, F.coalesce("_s", F.lit(0.0)) / den), 3) + F.lit(0.0)
+    upper = upper.select("region_a", "region_b", value.alias("value"))
+    both = upper.select(F.explode(F.array(
+        F.struct("region_a", "region_b", "value"),
+        F.struct(F.col("region_b").alias("region_a"), F.col("region_a").alias("region_b"), "value"))).alias("_p")).select("_p.*")
+    return both.unionByName(regs.select(F.col("region").alias("region_a"), F.col("region").alias("region_b"), F.lit(1.0).alias("value")))
 
 
 # ---- C4 -----------------------------------------------------------------------
@@ -300,52 +311,57 @@ def _next_candidate(cands: DataFrame, w_us: int, chunk_us: int) -> DataFrame:
     )
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _heads(cands: DataFrame, w_us: int, chunk_us: int) -> DataFrame:
+    """Candidates without another one in the w before them: each is chosen, whatever came earlier."""
+    c = cands.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long"))
+    local = c.withColumn("_p", F.lag("_t").over(Window.partitionBy("_c").orderBy("_t")))
+    ends = c.groupBy("_c").agg(F.max("_t").alias("_last")).select(
+        "_c", F.lag("_last").over(Window.orderBy("_c")).alias("_carry"))  # one row per chunk of the span
+    prev = F.coalesce("_p", "_carry")
+    return local.join(ends, "_c").filter(prev.isNull() | (F.col("_t") - prev > w_us)).select("_t")
 
 
 def greedy_chain(cands: DataFrame, w_us: int, chunk_us: int | None = None) -> DataFrame:
     """Selected wave starts: first candidate, then repeatedly the first candidate > last + w.
 
-    ``next`` is computed for every candidate (as-of lookup); the chain from the first
-    candidate is enumerated by pointer doubling: with ``J_k = next^(2^k)``, the first
-    ``2^(k+1)`` chain nodes are ``P_k ∪ J_k(P_k)``.  The chain has at most
-    ``min(#candidates, span / w + 1)`` nodes (selected starts are more than w apart), so
-    the number of rounds is known from one aggregate row; each round is one self-join of
-    the table ``(t, J_k(t), t in P_k)``, checkpointed (reliable checkpoint in the shared
-    folder) so plans stay small.  O(n log n) work; no group ever holds the chain.
+    ``next`` is computed for every candidate (as-of lookup).  The head of every cluster (no
+    candidate in the w before it) is selected for certain, so all clusters start at once and
+    pointers that lead to a head are cut.  Pointer doubling then follows the chains: one
+    self-join a round squares the pointers and marks what the selected nodes reach.  A row that
+    is neither selected nor the target of a pointer can never be reached later and is dropped,
+    so the table shrinks as chains merge; rounds end when no pointer is left, after log2 of the
+    longest cluster's chain.  Each round's table is written to the shared folder.
     """
-    import math
-
     chunk_us = chunk_us or max(w_us * 8, 86_400_000_000)
-    st = cands.agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi")).collect()[0]
-    if st["n"] == 0:
-        return cands.select("_t").limit(0)
-    bound = min(st["n"], (st["hi"] - st["lo"]) // w_us + 1)
-    rounds = math.ceil(math.log2(bound)) if bound > 1 else 0
-    # one table per round: (_t, _next = J_k(_t), _in = _t in P_k); a self-join gives both
-    # J_{k+1} = J_k o J_k and the newly reached nodes J_k(P_k), one checkpoint per round
-    tab = _next_candidate(cands, w_us, chunk_us).withColumn("_in", (F.col("_t") == F.lit(st["lo"])).cast("int"))
-    tab = _checkpointed(tab)
-    for _ in range(rounds):
-        x, y = tab.alias("x"), tab.alias("y")
-        j = x.join(y, F.col("x._next") == F.col("y._t"), "left")
+    cands = write_table(cands, "wave-candidates")
+    heads = _heads(cands, w_us, chunk_us).select(F.col("_t").alias("_h"))
+    tab = _next_candidate(cands, w_us, chunk_us).join(heads, F.col("_next") == F.col("_h"), "left").select(
+        "_t", F.when(F.col("_h").isNull(), F.col("_next")).alias("_next"))
+    tab = tab.join(heads, F.col("_t") == F.col("_h"), "left").select("_t", "_next", F.col("_h").isNotNull().cast("int").alias("_in"))
+    tab = write_table(tab, "wave-chain")
+    while tab.agg(F.count("_next")).first()[0]:
+        targets = tab.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_to")).distinct()
+        live = tab.join(targets, F.col("_t") == F.col("_to"), "left").filter((F.col("_in") == 1) | F.col("_to").isNotNull()).drop("_to")
+        live = write_table(live, "wave-chain")
+        j = live.alias("x").join(live.alias("y"), F.col("x._next") == F.col("y._t"), "left")
         keep = j.select(F.col("x._t").alias("_t"), F.col("y._next").alias("_next"), F.col("x._in").alias("_in"))
         reached = j.filter((F.col("x._in") == 1) & F.col("y._t").isNotNull()).select(
             F.col("y._t").alias("_t"), F.lit(None).cast("long").alias("_next"), F.lit(1).alias("_in"))
-        tab = _checkpointed(
-            keep.unionByName(reached).groupBy("_t").agg(F.max("_next").alias("_next"), F.max("_in").alias("_in"))
-        )
+        step = keep.unionByName(reached).groupBy("_t").agg(F.max("_next").alias("_next"), F.max("_in").alias("_in"))
+        step = write_table(step, "wave-chain")
+        drop_table(tab)
+        drop_table(live)
+        tab = step
     return tab.filter(F.col("_in") == 1).select("_t")
 
 
 def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: str = "Europe/Kyiv") -> DataFrame:
     """C4: non-overlapping bursts of >= min_regions regions within ``window_hours``.
 
-    Output: wave_start, date (local, text), first_region, regions_hit, duration_h (2 dp),
-    sequence = array<struct<region, started_at>> of each region's first start in the
-    window, ordered by (started_at, region).
+    Output: rank (1 = most regions; ties in time order), wave_start, date (local, text),
+    first_region, regions_hit, duration_h (2 dp), sequence = array<struct<region, started_at>> of
+    each region's first start in the window, ordered by (started_at, region).  The rank is a window
+    over the wave table; waves lie more than the window apart, so it is bounded by the span.
     """
     w_us = int(round(window_hours * 3600 * 1_000_000))
     s = _starts(df).withColumn("_cell", F.floor(F.col("_us") / F.lit(w_us)).cast("long"))
@@ -363,7 +379,7 @@ def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: st
     )
     first = F.col("_seq")[0]
     last = F.element_at(F.col("_seq"), -1)
-    return agg.select(
+    out = agg.select(
         first["started_at"].alias("wave_start"),
         F.date_format(tc.to_local(first["started_at"], tz), "yyyy-MM-dd").alias("date"),
         first["region"].alias("first_region"),
@@ -373,6 +389,7 @@ def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: st
         F.transform("_seq", lambda x: F.struct(x["region"].alias("region"), x["started_at"].alias("started_at"))).alias(
             "sequence"),
     )
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("regions_hit"), "wave_start")))
 
 
 def wave_sequence(wv: DataFrame) -> DataFrame:
@@ -382,12 +399,17 @@ def wave_sequence(wv: DataFrame) -> DataFrame:
     )
 
 
-def wave_detail(wv: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest waves first (the list shows the first ``limit``), with minutes from the first start (1 dp)."""
-    top = wv.orderBy(F.desc("date"), F.desc("regions_hit"), F.desc("wave_start")).limit(limit)
-    return wave_sequence(top).withColumn(
-        "minutes_from_first",
-        F.bround(tc.micros_between("wave_start", "started_at") / F.lit(60_000_000.0), 1),
+def wave_detail(wv: DataFrame, limit: int | None = None) -> DataFrame:
+    """All waves by date (newest first), regions hit, then start, as ``list_position`` (from 1), with
+    minutes from the first start (1 dp); ``limit`` keeps the first so many waves of the list."""
+    order = Window.orderBy(F.desc("date"), F.desc("regions_hit"), "wave_start")  # one row per wave
+    listed = wv.withColumn("list_position", F.row_number().over(order))
+    if limit is not None:
+        listed = listed.filter(F.col("list_position") <= limit)
+    seq = listed.select("list_position", "wave_start", F.posexplode("sequence").alias("position", "item"))
+    return seq.select(
+        "list_position", "wave_start", "position", F.col("item.region").alias("region"), F.col("item.started_at").alias("started_at"),
+        F.bround(tc.micros_between("wave_start", "item.started_at") / F.lit(60_000_000.0), 1).alias("minutes_from_first"),
     )
 
 

@@ -8,9 +8,12 @@ bounds, so the spine grows with the time span, never with the row count.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.functions.scans import running
 from spanwise.operators.temporal import with_scalars
 
 FREQ_DAY, FREQ_WEEK, FREQ_MONTH = "D", "W", "ME"
@@ -56,32 +59,54 @@ def _closed_durations(df: DataFrame) -> DataFrame:
     return df.filter(~F.coalesce(F.col("censored"), F.lit(False)) & F.col("duration_min").isNotNull())
 
 
-def duration_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+def exact_quantiles(values: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """One row ``q`` (array): exact quantiles with linear interpolation, NULLs ignored.
+
+    Values are counted first (map-side combine); a two-level running count over the distinct
+    values gives ranks, and each rank picks its value in one aggregate.  No task holds all
+    distinct values.  The number of values is one aggregate row, read when the plan is built.
+    """
+    counts = values.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b", F.floor("_v").cast("long"))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    if not n:
+        return values.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double") for _ in probs]).alias("q"))
+    ranked = running(counts, [], "_b", [F.asc("_v")], [("_cum", "_n", "sum")])
+    picks = []
+    for k, p in enumerate(probs):
+        rank = (n - 1) * p
+        for side, r in (("lo", math.floor(rank)), ("hi", math.ceil(rank))):
+            picks.append(F.min(F.when(F.col("_cum") > r, F.col("_v"))).alias(f"{side}{k}"))
+    ends = ranked.agg(*picks)
+    return ends.select(F.array(*[
+        F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * ((n - 1) * p - math.floor((n - 1) * p))
+        for k, p in enumerate(probs)
+    ]).alias("q"))
+
+
+def duration_stats(df: DataFrame) -> DataFrame:
     """One row of duration statistics over closed episodes; no row when there are none.
 
-    Quantiles are exact with linear interpolation (``percentile``); its state is a
-    frequency map of distinct values, bounded here because durations are capped.
-    ``approx=True`` switches to ``percentile_approx`` (lower-rank estimate).
+    Quantiles are exact with linear interpolation (``exact_quantiles``).
     """
     d = _closed_durations(df)
     v = F.col("duration_min")
-    probs = [0.25, 0.5, 0.75, 0.95]
-    q = F.percentile_approx(v, probs, 10000) if approx else F.percentile(v, probs)
     out = d.agg(
         F.count(v).alias("count"),
         F.avg(v).alias("mean_min"),
-        q.alias("_q"),
         F.max(v).alias("max_min"),
         F.stddev_samp(v).alias("std_min"),
         (F.sum(v) / 60.0).alias("total_hours"),
     )
+    out = with_scalars(out, exact_quantiles(d, "duration_min", [0.25, 0.5, 0.75, 0.95]))
     return out.filter(F.col("count") > 0).select(
         "count",
         F.bround("mean_min", 6).alias("mean_min"),
-        F.bround(F.col("_q")[1], 6).alias("median_min"),
-        F.bround(F.col("_q")[0], 6).alias("p25_min"),
-        F.bround(F.col("_q")[2], 6).alias("p75_min"),
-        F.bround(F.col("_q")[3], 6).alias("p95_min"),
+        F.bround(F.col("q")[1], 6).alias("median_min"),
+        F.bround(F.col("q")[0], 6).alias("p25_min"),
+        F.bround(F.col("q")[2], 6).alias("p75_min"),
+        F.bround(F.col("q")[3], 6).alias("p95_min"),
         F.bround("max_min", 6).alias("max_min"),
         F.bround("std_min", 6).alias("std_min"),
         F.bround("total_hours", 6).alias("total_hours"),
@@ -146,13 +171,14 @@ def regional_breakdown(df: DataFrame) -> DataFrame:
     )
 
 
-def top_days(df: DataFrame, n: int = 15) -> DataFrame:
-    """The n local dates with most starts (ties broken by date) — a top-k report."""
-    return (
-        df.groupBy("date").agg(F.count(F.lit(1)).alias("alert_count"))
-        .orderBy(F.desc("alert_count"), "date")
-        .limit(n)
-    )
+def top_days(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Local dates by number of starts (ties by date) with their rank; ``n`` keeps the first n.
+
+    The rank is a window over the day table (one row per day of the span), never over raw rows.
+    """
+    days = df.groupBy("date").agg(F.count(F.lit(1)).alias("alert_count"))
+    days = days.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("alert_count"), "date")))
+    return days if n is None else days.filter(F.col("rank") <= n)
 
 
 def cumulative_daily(df: DataFrame) -> DataFrame:
@@ -169,11 +195,13 @@ def cumulative_daily(df: DataFrame) -> DataFrame:
 def header_metrics(df: DataFrame) -> DataFrame:
     """One row — episodes, distinct regions, median duration, total hours, first/last start."""
     closed = ~F.coalesce(F.col("censored"), F.lit(False))
-    return df.agg(
+    out = df.agg(
         F.count(F.lit(1)).alias("n_episodes"),
         F.countDistinct("region").alias("n_regions"),
-        F.bround(F.percentile(F.when(closed, F.col("duration_min")), 0.5), 6).alias("median_duration_min"),
         F.bround(F.sum(F.when(closed, F.col("duration_min"))) / 60.0, 6).alias("total_hours"),
         F.min("started_at").alias("first_start"),
         F.max("started_at").alias("last_start"),
     )
+    out = with_scalars(out, exact_quantiles(df.filter(closed), "duration_min", [0.5]))
+    return out.select("n_episodes", "n_regions", F.bround(F.col("q")[0], 6).alias("median_duration_min"),
+                      "total_hours", "first_start", "last_start")

@@ -21,7 +21,7 @@ def region_gaps(eps: DataFrame, profile: Profile) -> DataFrame:
     dim = eps.sparkSession.createDataFrame([(r,) for r in profile.region_names], "region string")
     excl = eps.sparkSession.createDataFrame([(r,) for r in profile.excluded] or [("",)], "region string")
     unknown = found.join(F.broadcast(dim), "region", "left_anti").join(F.broadcast(excl), "region", "left_anti")
-    missing = F.broadcast(dim).join(F.broadcast(excl), "region", "left_anti").join(found, "region", "left_anti")
+    missing = dim.join(F.broadcast(excl), "region", "left_anti").join(found, "region", "left_anti")
     return unknown.select(F.lit("unknown").alias("kind"), "region").unionByName(
         missing.select(F.lit("missing").alias("kind"), "region"))
 

@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.config import Profile
+from spanwise.config import DOW_LONG, DOW_SHORT, Profile
+from spanwise.functions import timecols as tc
+from spanwise.functions.scans import running
 from spanwise.operators.temporal import with_scalars
 
 
-def timeline_sample(df: DataFrame, max_rows: int = 400, regions=None, as_of=None) -> DataFrame:
-    """H1: stratified sample for a timeline: when there are more than ``max_rows`` rows keep the
-    ``max(1, max_rows // n_regions)`` longest per region (ties by start); open ends -> ``as_of``
-    (default: the latest instant in the data).  A sampling operator: the row cap is the feature.
+def timeline_sample(df: DataFrame, per_region: int | None = None, regions=None, as_of=None) -> DataFrame:
+    """H1: rows for a timeline: every episode with ``rank_in_region`` (1 = the region's longest; ties by
+    start, open episodes last) and ``plot_end`` (open ends -> ``as_of``, by default the latest instant
+    in the data).  ``per_region`` keeps the longest so many of each region; nothing depends on the
+    total number of rows.
+
+    The rank is a two-level running count (duration buckets inside a region, open episodes by day),
+    so a region with a third of all rows is not sorted in one task.
     """
     d = df.filter(F.col("region").isin(list(regions))) if regions else df
-    stats = d.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.countDistinct("region").alias("_nreg"),
-        F.max(F.greatest("started_at", "finished_at")).alias("_latest"),
-    )
-    d = with_scalars(d, stats)
-    per_region = F.greatest(F.lit(1), F.floor(F.lit(max_rows) / F.col("_nreg")))
-    w = Window.partitionBy("region").orderBy(F.desc_nulls_last("duration_min"), "started_at")
-    # the per-region quota is never above max_rows (and when all rows are kept there are at most
-    # max_rows of them), so a literal bound first is exact and lets Spark plan a partial top-k
-    # per region before the shuffle (WindowGroupLimit) instead of sorting a whole hot region
-    ranked = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(max_rows)))
-    kept = ranked.filter((F.col("_rows") <= max_rows) | (F.col("_rn") <= per_region))
+    latest = F.max(F.greatest("started_at", "finished_at")).alias("_latest")
+    d = with_scalars(d, d.agg(latest))
+    day = F.floor(tc.epoch_micros("started_at") / F.lit(86_400_000_000)).cast("long")
+    bucket = F.coalesce(F.floor("duration_min").cast("long"), F.lit(-1_000_000) - day)
+    d = d.withColumn("_b", bucket).withColumn("_one", F.lit(1).cast("long"))
+    order = [F.desc_nulls_last("duration_min"), F.asc("started_at")]
+    ranked = running(d, ["region"], "_b", order, [("rank_in_region", "_one", "sum")], descending=True)
+    if per_region is not None:
+        ranked = ranked.filter(F.col("rank_in_region") <= per_region)
     now = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("_latest")
-    return kept.select("region", "started_at", "finished_at", "duration_min",
-                       F.coalesce(F.col("finished_at"), now).alias("plot_end"))
+    return ranked.select("region", "started_at", "finished_at", "duration_min", "rank_in_region",
+                         F.coalesce(F.col("finished_at"), now).alias("plot_end"))
 
 
 def region_dimension(spark, profile: Profile) -> DataFrame:
@@ -43,12 +45,12 @@ def region_metric_map(metric: DataFrame, profile: Profile, value_col: str = "ale
     """H2 + H3: every dimension region with its metric and a ``has_data`` flag; centroids attached."""
     dim = region_dimension(metric.sparkSession, profile)
     m = metric.select("region", value_col)
-    return F.broadcast(dim).join(m, "region", "left").select(
+    return dim.join(m, "region", "left").select(
         "region", "name_en", "lat", "lon", value_col, F.col(value_col).isNotNull().alias("has_data")
     )
 
 
-def weekday_labels(df: DataFrame, col: str = "dow", out: str = "dow_short") -> DataFrame:
-    """H5: weekday index (0 = Monday) -> short label."""
-    from spanwise.config import DOW_SHORT
-    return df.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in DOW_SHORT]), F.col(col) + 1))
+def weekday_labels(df: DataFrame, col: str = "dow") -> DataFrame:
+    """H5: weekday index (0 = Monday) -> short and long label."""
+    label = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), F.col(col) + 1)
+    return df.withColumns({"dow_short": label(DOW_SHORT), "dow_long": label(DOW_LONG)})

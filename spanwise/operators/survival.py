@@ -19,10 +19,11 @@ Columns: label, timeline, survival, ci_lower, ci_upper.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.scans import next_in_order, running
+from spanwise.operators.temporal import with_scalars
 
 Z95 = 1.959963984540054  # standard normal quantile at 0.975
 CAP_MINUTES = 600.0
@@ -94,25 +95,63 @@ def _rows(df: DataFrame, label_col=None) -> DataFrame:
     )
 
 
-def kaplan_meier(df: DataFrame, label: str = "all", as_of=None) -> DataFrame:
-    """K1: one curve for all rows with a duration >= 0 (``as_of``: see ``_with_as_of``)."""
+def kaplan_meier(df: DataFrame, label: str = "all", as_of=None, timeline=None) -> DataFrame:
+    """K1: one curve for all rows with a duration >= 0 (``as_of``: see ``_with_as_of``).
+
+    ``timeline``: evaluate the curve at these times instead of at the observed durations; each
+    time takes the last point at or before it (1.0 before the first)."""
     d = _with_as_of(df, as_of).filter(F.col("duration_min").isNotNull() & (F.col("duration_min") >= 0))
-    return _curve(d.select(
+    curve = _curve(d.select(
         F.lit(label).alias("label"), F.col("duration_min").cast("double").alias("t"),
         (~F.coalesce(F.col("censored"), F.lit(False))).cast("int").alias("event"),
     ))
+    return curve if timeline is None else at_times(curve, timeline)
+
+
+def at_times(km: DataFrame, times) -> DataFrame:
+    """Curves (any labels) read off at the given times, as step functions."""
+    labels = km.select("label").distinct()
+    wanted = labels.select("label", F.explode(F.array(*[F.lit(float(t)) for t in sorted(set(times))])).alias("timeline"))
+    cols = ["survival", "ci_lower", "ci_upper"]
+    points = km.select("label", "timeline", F.lit(0).alias("_probe"), F.struct("timeline", *cols).alias("_p"))
+    probes = wanted.select("label", "timeline", F.lit(1).alias("_probe"), F.lit(None).cast(points.schema["_p"].dataType).alias("_p"))
+    u = points.unionByName(probes).withColumn("_b", F.floor(F.col("timeline") / BUCKET_MINUTES).cast("long"))
+    # structs compare by their first field, so the running max is the last point seen
+    u = running(u, ["label"], "_b", [F.asc("timeline"), F.asc("_probe")], [("_last", "_p", "max")])
+    return u.filter(F.col("_probe") == 1).select(
+        "label", "timeline", *[F.coalesce(F.col(f"_last.{c}"), F.lit(1.0)).alias(c) for c in cols])
+
 
+def strata_counts(df: DataFrame, strata_col: str = "hour", groups=None, min_observations: int = 10, as_of=None) -> DataFrame:
+    """K2: which strata get a curve: (position, label, n, kept).
 
-def kaplan_meier_stratified(df: DataFrame, strata_col: str = "hour", groups=None,
-                            min_observations: int = 10, as_of=None) -> DataFrame:
-    """K2: one curve per stratum value in one pass; strata with < min rows (counted before
-    the duration filter) are skipped; label = the value as text."""
+    ``position`` is the place in ``groups``, or in the sorted values when there are none; groups
+    without rows are listed with n = 0.  The table has one row per stratum."""
+    base = _with_as_of(df, as_of).filter(F.col(strata_col).isNotNull())
+    n = base.groupBy(F.col(strata_col).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    if groups is not None:
+        kind = df.schema[strata_col].dataType
+        wanted = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(g).cast(kind) for g in groups])).alias("position", "_g"))
+        n = wanted.join(n, F.col("_g") == F.col("_v"), "left").select("position", F.col("_g").alias("_v"), F.coalesce("n", F.lit(0)).alias("n"))
+    else:
+        n = n.withColumn("position", F.row_number().over(Window.orderBy("_v")) - 1)
+    return n.select("position", F.col("_v").cast("string").alias("label"), "n", (F.col("n") >= min_observations).alias("kept"))
+
+
+def kaplan_meier_stratified(df: DataFrame, strata_col: str = "hour", groups=None, min_observations: int = 10,
+                            as_of=None, labels: dict | None = None) -> DataFrame:
+    """K2: one curve per stratum value in one pass, with the stratum's ``position``; strata with
+    < min rows (counted before the duration filter) have no curve (``strata_counts`` lists them);
+    label = the value as text, or its entry in ``labels``."""
     base = _with_as_of(df, as_of).filter(F.col(strata_col).isNotNull())
     if groups is not None:
         base = base.filter(F.col(strata_col).isin(list(groups)))
-    big = base.groupBy(strata_col).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") >= min_observations)
-    kept = base.join(big.select(strata_col), strata_col)
-    return _curve(_rows(kept, strata_col))
+    strata = strata_counts(df, strata_col, groups, min_observations, as_of).filter("kept").select("position", "label")
+    curves = _curve(_rows(base, strata_col)).join(strata, "label")
+    if labels:
+        named = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+        curves = curves.withColumn("label", F.coalesce(F.try_element_at(named, F.col("label")), F.col("label")))
+    return curves
 
 
 def hazard(km: DataFrame) -> DataFrame:
@@ -155,6 +194,17 @@ def median_remaining(km: DataFrame) -> DataFrame:
     return u.select("label", F.col("_el").alias("elapsed"), (F.col("_first") - F.col("_el")).alias("median_remaining"))
 
 
+def median_remaining_at(km: DataFrame, elapsed: float) -> DataFrame:
+    """K4 at one elapsed time, on the curve or between its points: S is read at the first point at or
+    after ``elapsed``; NULL when there is none or the curve never falls to half of it."""
+    later = km.filter(F.col("timeline") >= float(elapsed))
+    start = later.groupBy("label").agg(F.min_by("survival", "timeline").alias("_s"))
+    crossed = later.join(start, "label").groupBy("label").agg(
+        F.min(F.when(F.col("survival") <= F.col("_s") * 0.5, F.col("timeline"))).alias("_t"))
+    return km.select("label").distinct().join(crossed, "label", "left").select(
+        "label", F.lit(float(elapsed)).alias("elapsed"), (F.col("_t") - float(elapsed)).alias("median_remaining"))
+
+
 def km_median(km: DataFrame, cap: float = CAP_MINUTES) -> DataFrame:
     """K5: first timeline with S <= 0.5 per label, else ``cap`` with ``capped = true``."""
     m = km.groupBy("label").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("timeline"))).alias("_m"))
@@ -166,9 +216,10 @@ def km_median(km: DataFrame, cap: float = CAP_MINUTES) -> DataFrame:
 
 
 def km_truncated(km: DataFrame, cutoff: float = CUTOFF, x_cap: float = CAP_MINUTES) -> DataFrame:
-    """K6: points up to and including the first with S < cutoff; ``x_max = min(cap, max timeline)``."""
+    """K6: every point with ``shown``: true up to and including the label's first point with
+    S < cutoff; ``x_max = min(cap, max timeline)``."""
     first_below = km.groupBy("label").agg(F.min(F.when(F.col("survival") < cutoff, F.col("timeline"))).alias("_fb"))
+    shown = F.col("_fb").isNull() | (F.col("timeline") <= F.col("_fb"))
+    kept = km.join(first_below, "label").withColumn("shown", shown).drop("_fb")
     x_max = km.agg(F.least(F.lit(float(x_cap)), F.max("timeline")).alias("x_max"))
-    kept = km.join(first_below, "label").filter(F.col("_fb").isNull() | (F.col("timeline") <= F.col("_fb")))
-    from spanwise.operators.temporal import with_scalars
-    return with_scalars(kept.drop("_fb"), x_max)
+    return with_scalars(kept, x_max)

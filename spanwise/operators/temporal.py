@@ -85,6 +85,32 @@ def days_since_start(df: DataFrame, profile: Profile) -> DataFrame:
     return df.withColumn("ndays", F.floor(micros / F.lit(86_400_000_000)).cast("long"))
 
 
+def series_bounds(df: DataFrame, freq_seconds: int) -> tuple[int, int] | None:
+    """First and last bucket index of the activity series (one aggregate row, read when the plan
+    is built); None without any start."""
+    us = int(freq_seconds) * 1_000_000
+    up = lambda c: -F.floor(-tc.epoch_micros(c) / F.lit(us))
+    row = df.filter(F.col("started_at").isNotNull()).agg(
+        F.min(F.floor(tc.epoch_micros("started_at") / F.lit(us))).alias("lo"),
+        # ceil(max(last closed end, last open start + freq))
+        F.greatest(F.max(up("finished_at")), F.max(F.when(F.col("finished_at").isNull(), up("started_at") + 1))).alias("hi"),
+    ).first()
+    return None if row["lo"] is None else (int(row["lo"]), int(row["hi"]))
+
+
+def active_cells(df: DataFrame, freq_seconds: int, hi: int) -> DataFrame:
+    """Distinct active (region, b).  Rows are reduced before they are spread over buckets: closed
+    ones to the last bucket per (region, first bucket), open ones to the first bucket per region."""
+    us = int(freq_seconds) * 1_000_000
+    first = F.floor(tc.epoch_micros("started_at") / F.lit(us)).cast("long")
+    end = (-F.floor(-tc.epoch_micros("finished_at") / F.lit(us))).cast("long")
+    d = df.filter(F.col("region").isNotNull() & F.col("started_at").isNotNull())
+    closed = d.filter(F.col("finished_at").isNotNull()).groupBy("region", first.alias("b0")).agg(F.max(end).alias("b1"))
+    still = d.filter(F.col("finished_at").isNull()).groupBy("region").agg(F.min(first).alias("b0"))
+    spans = closed.unionByName(still.withColumn("b1", F.lit(hi).cast("long"))).filter(F.col("b1") > F.col("b0"))
+    return spans.select("region", F.explode(F.sequence(F.col("b0"), F.col("b1") - 1)).alias("b")).distinct()
+
+
 def binary_series(df: DataFrame, freq_seconds: int = 3600, regions: list[str] | None = None,
                   dense: bool = True, tz: str | None = None) -> DataFrame:
     """Long-form activity series ``(bucket, region, active)``.
@@ -107,26 +133,12 @@ def binary_series(df: DataFrame, freq_seconds: int = 3600, regions: list[str] |
         # bucket labels are then local times
         df = df.withColumn("started_at", to_local_col("started_at", tz)).withColumn(
             "finished_at", to_local_col("finished_at", tz))
-    us = int(freq_seconds) * 1_000_000
+    bounds = series_bounds(df, freq_seconds)
+    lo, hi = bounds or (0, -1)
     d = df.filter(F.col("region").isNotNull() & F.col("started_at").isNotNull())
     if regions:
         d = d.filter(F.col("region").isin(list(regions)))
-    src = df.filter(F.col("started_at").isNotNull())
-    sb = F.floor(tc.epoch_micros("started_at") / F.lit(us))
-    s_ceil = -F.floor(-tc.epoch_micros("started_at") / F.lit(us))
-    eb_ceil = -F.floor(-tc.epoch_micros("finished_at") / F.lit(us))
-    # t_max index: ceil(max(last closed end, last open start + freq))
-    bounds = src.agg(
-        F.min(sb).alias("lo"),
-        F.max(eb_ceil).alias("hi_closed"),
-        F.max(F.when(F.col("finished_at").isNull(), s_ceil + 1)).alias("hi_open"),
-    ).select("lo", F.greatest("hi_closed", "hi_open").alias("hi"))
-    cells = with_scalars(d, bounds)
-    end_b = F.when(F.col("finished_at").isNull(), F.col("hi")).otherwise(eb_ceil)
-    cells = cells.filter(end_b > sb).select(
-        "region", F.explode(F.sequence(sb.cast("long"), (end_b - 1).cast("long"))).alias("b")
-    )
-    active = cells.distinct().withColumn("active", F.lit(1))
+    active = active_cells(d, freq_seconds, hi).withColumn("active", F.lit(1))
     if not dense:
         return active.select(tc.bucket_start(F.col("b"), freq_seconds).alias("bucket"), "region", "active")
     spark = df.sparkSession
@@ -134,13 +146,12 @@ def binary_series(df: DataFrame, freq_seconds: int = 3600, regions: list[str] |
         reg = spark.createDataFrame([(r,) for r in regions], "region string")
     else:
         reg = d.select("region").distinct()
+    if bounds is None:
+        reg = reg.limit(0)
     # each region row expands its own bucket range (span / freq entries)
-    grid = with_scalars(reg, bounds).select(
-        "region", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("b")
-    )
-    out = grid.join(active, ["b", "region"], "left").select(
+    grid = reg.select("region", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))).alias("b"))
+    return grid.join(active, ["b", "region"], "left").select(
         tc.bucket_start(F.col("b"), freq_seconds).alias("bucket"),
         "region",
         F.coalesce(F.col("active"), F.lit(0)).alias("active"),
     )
-    return out

@@ -4,7 +4,9 @@ Both operators are sequential scans per region in their definition.  A window
 partitioned by region alone would put a whole region (possibly a third of the
 data) into one task, so both are written as two-level scans:
 
-* rows are hash-partitioned on ``(key, chunk)`` where ``chunk`` is a fixed
+* rows are first reduced, map-side, to distinct instants per key, so a chunk holds
+  at most as many rows as it has instants, however many records share them;
+* these are hash-partitioned on ``(key, chunk)`` where ``chunk`` is a fixed
   time bucket of the row's sort instant; a window inside each chunk computes the
   local part of the scan;
 * a per-chunk summary table (one row per key and chunk, bounded by
@@ -22,15 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import timecols as tc
+from spanwise.functions.scans import running
+from spanwise.functions.stored import write_table
 
 DEFAULT_CHUNK_SECONDS = 3600
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    from spanwise.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
 _UNB = Window.unboundedPreceding
 
 
@@ -47,6 +46,10 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
 
     Parallel form:
 
+    0. closed rows of one start (end >= start) follow each other and always merge, so they
+       are one row with the largest end and a record count.  Rows that end before they start
+       and open rows may each be an episode of their own: equal ones are counted in the
+       shuffle and spread out again after it.
     1. one window pass per ``(key, chunk)`` with no knowledge of earlier chunks:
        ``lseg`` = open rows before the row in the chunk, ``lpm`` = max end of the
        earlier rows of the same ``lseg`` group; a row starts a *local island* iff
@@ -65,9 +68,14 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
     still get different labels.
     """
     s, e = F.col(start), F.col(end)
+    own = e.isNull() | (e < s)
     rows = (
         df.filter(F.col(key).isNotNull() & s.isNotNull())
-        .select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"))
+        .groupBy(F.col(key).alias("_k"), s.alias("_s"), own.alias("_own"), F.when(own, e).alias("_oe"))
+        .agg(F.max(e).alias("_e"), F.count(F.lit(1)).alias("_m"))
+        .select("_k", "_s", "_e", F.explode(
+            F.when(F.col("_own"), F.array_repeat(F.lit(1).cast("long"), F.col("_m").cast("int"))).otherwise(F.array("_m"))
+        ).alias("_m"))
         .withColumn("_c", tc.time_bucket("_s", chunk_seconds))
         .withColumn("_open", F.col("_e").isNull().cast("int"))
     )
@@ -85,15 +93,13 @@ def merge_intervals(df: DataFrame, key: str = "region", start: str = "started_at
         F.col("_c") * F.lit(1 << 32) + F.sum(island_start.cast("long")).over(w_chunk.rowsBetween(_UNB, 0)),
     )
 
-    # islands.  Three later steps read them; a plan-level exchange cannot be shared
-    # because column pruning gives each reader a different projection, so the islands
-    # are checkpointed (reliable, in the shared checkpoint folder): the row-level sort
-    # and windows run once, readers scan the much smaller island table, the
-    # (key, chunk) partitioning is kept, and a lost executor re-reads the checkpoint.
-    frags = _checkpoint(
+    # islands.  Three later steps read different columns of them, so they are written to
+    # the shared folder: the windows run once and a lost executor re-reads files.
+    frags = write_table(
         rows.groupBy("_k", "_c", "_lab")
         .agg(F.min("_s").alias("_fs"), F.max("_e").alias("_fe"), F.max("_open").alias("_fo"),
-             F.count(F.lit(1)).alias("_n"), F.max("_lseg").alias("_q"), F.max("_topen").alias("_ft"))
+             F.sum("_m").alias("_n"), F.max("_lseg").alias("_q"), F.max("_topen").alias("_ft")),
+        "islands",
     )
 
     w_k = Window.partitionBy("_k").orderBy("_c")
@@ -141,86 +147,46 @@ def uncovered_fine(fine: DataFrame, base: DataFrame, cap_seconds: int, key: str
 
     Exact reformulation as an as-of lookup: covered iff
     ``max{be : bs < e} > s`` (prefix max of base ends over base starts strictly
-    before the fine row's end).  Base rows and fine probes are merged into one
-    stream ordered by (time, probes first) and scanned per ``(key, chunk)`` with a
-    carry of the max base end of all earlier chunks.
+    before the fine row's end).  The prefix max is computed on distinct instants:
+    ``(key, base start) -> max base end`` and the distinct ``(key, fine end)``, merged in
+    order of (time, fine ends first) and scanned per ``(key, chunk)`` with a carry of the
+    max base end of all earlier chunks.  Fine rows then look it up by equality, a join
+    that AQE can split; no record is sorted.
     """
     cap_us = int(cap_seconds) * 1_000_000
-    b = base.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_k"),
-        F.col("started_at").alias("_t"),
-        F.coalesce(F.col("finished_at"), tc.add_micros("started_at", cap_us)).alias("_be"),
-        F.lit(1).alias("_kind"),
-    )
-    fine_cols = fine.columns
-    probes = fine.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_k"),
-        F.coalesce(F.col("finished_at"), tc.add_micros("started_at", cap_us)).alias("_t"),
-        F.lit(0).alias("_kind"),
-        F.struct(*[F.col(c) for c in fine_cols]).alias("_row"),
-    )
-    # one explicit (key, chunk) exchange; the window and both chunk summaries read it
-    stream = (
-        b.unionByName(probes, allowMissingColumns=True)
-        .withColumn("_c", tc.time_bucket("_t", chunk_seconds))
-        .repartition("_k", "_c")
-    )
+    end = F.coalesce(F.col("finished_at"), tc.add_micros("started_at", cap_us))
+    starts = base.filter(F.col(key).isNotNull()).groupBy(
+        F.col(key).alias("_k"), F.col("started_at").alias("_t")
+    ).agg(F.max(end).alias("_be")).withColumn("_kind", F.lit(1))
+    probed = fine.filter(F.col(key).isNotNull()).withColumn("_t", end)
+    ends = probed.select(F.col(key).alias("_k"), "_t").distinct().select(
+        "_k", "_t", F.lit(None).cast("timestamp_ntz").alias("_be"), F.lit(0).alias("_kind"))
+    stream = starts.select("_k", "_t", "_be", "_kind").unionByName(ends).withColumn("_c", tc.time_bucket("_t", chunk_seconds))
     w = Window.partitionBy("_k", "_c").orderBy("_t", "_kind").rowsBetween(_UNB, 0)
-    scanned = stream.withColumn("_lpm", F.max("_be").over(w)).filter(F.col("_kind") == 0)
-
-    # carry into a chunk = max base end over all earlier chunks (chunks with probes
-    # but no base rows are kept so that they receive a carry too)
+    local = stream.withColumn("_lpm", F.max("_be").over(w)).filter(F.col("_kind") == 0)
     carry = stream.groupBy("_k", "_c").agg(F.max("_be").alias("_cm")).select(
         "_k", "_c",
         F.max("_cm").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)).alias("_carry"),
     )
-    joined = scanned.join(carry, ["_k", "_c"], "left")
-    pm = F.greatest(F.col("_lpm"), F.col("_carry"))
-    keep = pm.isNull() | (pm <= F.col("_row.started_at"))
-    return joined.filter(keep).select("_row.*")
+    reach = local.join(carry, ["_k", "_c"], "left").select(
+        F.col("_k").alias("_rk"), F.col("_t").alias("_rt"), F.greatest("_lpm", "_carry").alias("_pm"))
+    joined = probed.join(reach, (F.col(key) == F.col("_rk")) & (F.col("_t") == F.col("_rt")))
+    return joined.filter(F.col("_pm").isNull() | (F.col("_pm") <= F.col("started_at"))).select(*fine.columns)
 
 
 def with_uncovered(records: DataFrame, cap_seconds: int, key: str = "oblast",
                    chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """P6 + P7 + P8 in one pass: base rows (oblast / raion) plus the uncovered fine
-    (hromada) rows; rows of any other level and fine rows without a key are dropped.
-
-    Same as ``base.unionByName(uncovered_fine(fine, base))`` but the records are read
-    once: each record is projected into its role (base row at its start, fine probe
-    at its end) in a single stream, so the raw input is scanned and shuffled once.
-    """
-    cap_us = int(cap_seconds) * 1_000_000
-    cols = records.columns
-    level = F.col("level")
-    is_base = level.isin("oblast", "raion")
-    is_fine = (level == "hromada") & F.col(key).isNotNull()
-    end_eff = F.coalesce(F.col("finished_at"), tc.add_micros("started_at", cap_us))
-    stream = (
-        records.filter(is_base | is_fine)
-        .select(
-            F.col(key).alias("_k"),
-            F.when(is_base, F.col("started_at")).otherwise(end_eff).alias("_t"),
-            F.when(is_base, end_eff).alias("_be"),
-            F.when(is_base, F.lit(1)).otherwise(F.lit(0)).alias("_kind"),
-            F.struct(*[F.col(c) for c in cols]).alias("_row"),
-        )
-        .withColumn("_c", tc.time_bucket("_t", chunk_seconds))
-    )
-    w = Window.partitionBy("_k", "_c").orderBy("_t", "_kind").rowsBetween(_UNB, 0)
-    scanned = stream.withColumn("_lpm", F.max("_be").over(w))
-    # carry into a chunk = max base end of all earlier chunks; computed on a chunk table
-    # aggregated map-side from the records (narrow rows).  Chunks that hold only probes
-    # are listed too, so that they receive the carry of the base chunks before them.
-    chunk_rows = records.filter(is_base | is_fine).select(
-        F.col(key).alias("_k"),
-        tc.time_bucket(F.when(is_base, F.col("started_at")).otherwise(end_eff), chunk_seconds).alias("_c"),
-        F.when(is_base, end_eff).alias("_be"),
-    )
-    carry = (
-        chunk_rows.groupBy("_k", "_c").agg(F.max("_be").alias("_cm"))
-        .select("_k", "_c",
-                F.max("_cm").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)).alias("_carry"))
-    )
-    pm = F.greatest(F.col("_lpm"), F.col("_carry"))
-    keep = (F.col("_kind") == 1) | pm.isNull() | (pm <= F.col("_row.started_at"))
-    return scanned.join(carry, ["_k", "_c"], "left").filter(keep).select("_row.*")
+    """P6 + P7 + P8: base rows (oblast / raion) plus the uncovered fine (hromada) rows; rows of
+    any other level and fine rows without a key are dropped.  ``records`` is read several
+    times, so callers pass a stored table."""
+    base = records.filter(F.col("level").isin("oblast", "raion"))
+    fine = records.filter(F.col("level") == "hromada")
+    return base.unionByName(uncovered_fine(fine, base, cap_seconds, key, chunk_seconds))
+
+
+def in_start_order(eps: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+    """Episodes with their ``position`` (from 1) by start, ties by region, then end (open last): a
+    two-level running count over time chunks, so no task sorts all rows."""
+    d = eps.withColumn("_b", tc.time_bucket("started_at", chunk_seconds)).withColumn("_one", F.lit(1).cast("long"))
+    order = [F.asc("started_at"), F.asc("region"), F.asc_nulls_last("finished_at")]
+    return running(d, [], "_b", order, [("position", "_one", "sum")]).drop("_b", "_one")

@@ -1,22 +1,31 @@
 """Registered queries: name -> (Spark builder, DuckDB oracle SQL or None).
 
 Every builder takes ``(spark, sf_dir)``, reads the driver's tables (whole
-tables, no sampling) and returns a lazy DataFrame.  Column names are identical
-in the Spark result and the SQL text.
+tables, no sampling) and returns a DataFrame.  Building runs jobs where a step
+writes an intermediate table or reads one-row bounds; the query itself is lazy.
+Column names are identical in the Spark result and the SQL text.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.config import DOW_LONG
+from spanwise.functions.stored import drop_table, input_version, write_table
 from spanwise.operators import (clean, coverage, cross_region, describe, quality, reconcile, seasonal, shape,
                                 survival, temporal, unify)
 from spanwise.plans import pipeline
 from spanwise.plans.oracle import with_pipeline
-from spanwise.sources.binding import binding_profile, raw_alerts_from_events, second_source_from_events
+from spanwise.session import ensure_checkpoint_dir
+from spanwise.sources import files
+from spanwise.sources.binding import (binding_profile, features_from_nations, intervals_from_orders, raw_alerts_from_events,
+                                      second_source_from_events)
+from spanwise.sources.binding import FEATURES_SQL, ORDERS_SQL
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -37,19 +46,30 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.null_tokens(clean.normalise_headers(raw_alerts_from_events(pipeline.read_table(spark, sf_dir, "events"))))
 
 
-_TABLES: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build once per application and data directory, keep as a written table.
+    """Build once per application, data directory and version of the input, keep as a written table.
 
     Mirrors a deployment: the ingest (unit records, analysis frame) is written once
     and every analytic reads the table, instead of re-running the ingest per query.
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    version = input_version(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    if key in _TABLES and _TABLES[key][0] != version:
+        drop_table(_TABLES.pop(key)[1])  # the input was replaced
     if key not in _TABLES:
-        _TABLES[key] = pipeline.write_table(build(), name)
-    return _TABLES[key]
+        _TABLES[key] = (version, write_table(build(), name))
+    return _TABLES[key][1]
+
+
+def waves_table(spark, sf_dir) -> DataFrame:
+    return _stored(spark, sf_dir, "waves", lambda: cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spanwise-files/{name}-{uuid.uuid4().hex}"
 
 
 def units_plan(spark, sf_dir) -> DataFrame:
@@ -75,8 +95,56 @@ def frame(spark, sf_dir) -> DataFrame:
 RECORD_COLS = "oblast, raion, hromada, level, started_at, finished_at"
 
 
+# ---- file sources ---------------------------------------------------------------
+
+@register("scan_alerts", """
+SELECT oblast, raion, hromada, level, started_at, finished_at, source FROM raw""")
+def q_scan_alerts(spark, sf_dir):
+    path = _scratch(spark, "alerts")
+    files.write_csv(raw_alerts_from_events(pipeline.read_table(spark, sf_dir, "events")), path)
+    return files.read_alerts_csv(spark, path)
+
+
+@register("feature_dimension", f"""
+, f AS ({FEATURES_SQL})
+SELECT coalesce(CASE name WHEN 'Kiev' THEN 'Київська' WHEN 'Kiev City' THEN 'м. Київ' END, a.canonical, name_uk) AS region,
+       name_uk, name AS name_en, geo_type, lon, lat
+FROM f LEFT JOIN alias_map a ON a.variant = f.name_uk WHERE admin = 'Ukraine'""")
+def q_feature_dimension(spark, sf_dir):
+    path = _scratch(spark, "features")
+    doc = features_from_nations(pipeline.read_table(spark, sf_dir, "nation"))
+    doc.write.mode("overwrite").text(path)
+    f = files.read_features(spark, path, PROFILE)
+    part = lambda p, t: F.variant_get("geometry", p, t)
+    return f.select("region", "name_uk", "name_en", part("$.type", "string").alias("geo_type"),
+                    part("$.coordinates[0]", "double").alias("lon"), part("$.coordinates[1]", "double").alias("lat"))
+
+
+@register("feature_sink", f"""
+, f AS ({FEATURES_SQL}),
+r AS (SELECT coalesce(CASE name WHEN 'Kiev' THEN 'Київська' WHEN 'Kiev City' THEN 'м. Київ' END, a.canonical, name_uk) AS region, f.*
+      FROM f LEFT JOIN alias_map a ON a.variant = f.name_uk WHERE admin = 'Ukraine')
+SELECT region AS id, name AS name_en, geo_type, lon FROM r""")
+def q_feature_sink(spark, sf_dir):
+    source, path = _scratch(spark, "features"), _scratch(spark, "features-out")
+    features_from_nations(pipeline.read_table(spark, sf_dir, "nation")).write.mode("overwrite").text(source)
+    files.write_features(files.read_features(spark, source, PROFILE), path)
+    f = spark.read.option("multiLine", True).schema(files.FEATURE_SCHEMA).json(path).select(F.explode("features").alias("f")).select("f.*")
+    return f.select("id", F.col("properties")["name_en"].alias("name_en"), F.variant_get("geometry", "$.type", "string").alias("geo_type"),
+                    F.variant_get("geometry", "$.coordinates[0]", "double").alias("lon"))
+
+
 # ---- ingest -------------------------------------------------------------------
 
+@register("ingest_counts", """
+, g AS (SELECT oblast, raion, hromada, level, started_at, finished_at, count(*) AS copies FROM raw GROUP BY ALL),
+p AS (SELECT copies, TRY_CAST(started_at AS TIMESTAMPTZ) AS s, TRY_CAST(finished_at AS TIMESTAMPTZ) AS e FROM g)
+SELECT CAST(sum(copies) AS BIGINT) AS n_raw, count(*) AS n_distinct, count(*) FILTER (WHERE s IS NULL) AS n_bad_start,
+       count(*) FILTER (WHERE e - s > INTERVAL 3 HOUR) AS n_capped FROM p""")
+def q_ingest_counts(spark, sf_dir):
+    return clean.ingest_counts(raw(spark, sf_dir), PROFILE)
+
+
 @register("dedup_alerts", f"SELECT {RECORD_COLS} FROM dedup")
 def q_dedup(spark, sf_dir):
     return clean.dedup_raw(raw(spark, sf_dir)).select(*clean.RAW_KEY)
@@ -125,6 +193,19 @@ def q_episodes(spark, sf_dir):
     return episodes_plan(spark, sf_dir)
 
 
+@register("episodes_ordered", """
+SELECT row_number() OVER (ORDER BY started_at, region, finished_at NULLS LAST) AS position, region, started_at, finished_at FROM episodes_d""")
+def q_ordered(spark, sf_dir):
+    return unify.in_start_order(episodes(spark, sf_dir)).select("position", "region", "started_at", "finished_at")
+
+
+@register("processed_table", "SELECT region, started_at, finished_at, duration_min, year FROM af")
+def q_processed(spark, sf_dir):
+    path = _scratch(spark, "processed")
+    files.write_episodes(frame(spark, sf_dir), path)
+    return spark.read.parquet(path).select("region", "started_at", "finished_at", "duration_min", "year")
+
+
 @register("episode_records", "SELECT region, started_at, n_records FROM episodes")
 def q_episode_records(spark, sf_dir):
     u = units(spark, sf_dir).select("region", "started_at", "finished_at")
@@ -264,9 +345,18 @@ def q_regional(spark, sf_dir):
     return describe.regional_breakdown(frame(spark, sf_dir))
 
 
-@register("top_days", "SELECT date, count(*) AS alert_count FROM af GROUP BY date ORDER BY alert_count DESC, date LIMIT 15")
+@register("region_drill_down", """
+SELECT region, count(started_at) AS alert_count, round_even(avg(duration_min), 1) AS mean_duration_min,
+       round_even(sum(duration_min) / 60.0, 1) AS total_duration_h
+FROM af WHERE region = 'R07' GROUP BY region""")
+def q_drill_down(spark, sf_dir):
+    return describe.regional_breakdown(clean.filter_region_date(frame(spark, sf_dir), ["R07"]))
+
+
+@register("top_days", """
+SELECT date, count(*) AS alert_count, CAST(row_number() OVER (ORDER BY count(*) DESC, date) AS INTEGER) AS rank FROM af GROUP BY date""")
 def q_top_days(spark, sf_dir):
-    return describe.top_days(frame(spark, sf_dir), 15)
+    return describe.top_days(frame(spark, sf_dir))
 
 
 @register("cumulative_daily", """
@@ -426,6 +516,16 @@ r AS (SELECT *, n * sxy - sx * sy AS num, sqrt((n * sxx - sx * sx) * (n * syy -
 SELECT region_a, region_b, round_even(CASE WHEN den > 0 THEN num / den END, 3) + 0.0 AS value FROM r"""
 
 
+@register("lag_correlation_pair", _DENSE + """
+, lags AS (SELECT CAST(unnest(generate_series(-6, 6)) AS INTEGER) AS lag),
+pr AS (SELECT x.region AS region_a, y.region AS region_b, l.lag, corr(x.active, y.active) AS r, stddev_pop(x.active) AS da, stddev_pop(y.active) AS db
+       FROM dense x JOIN lags l ON true JOIN dense y ON y.b = x.b - l.lag
+       WHERE x.region = 'R03' AND y.region = 'R11' GROUP BY 1, 2, 3)
+SELECT region_a, region_b, lag AS lag_hours, round_even(CASE WHEN da > 0 AND db > 0 THEN r END, 4) + 0.0 AS correlation FROM pr""")
+def q_lag_pair(spark, sf_dir):
+    return cross_region.lag_correlation(frame(spark, sf_dir), 6, region_a="R03", region_b="R11")
+
+
 @register("corr_spearman", _DAILY + """
 , rk AS (SELECT date, region, rank() OVER (PARTITION BY region ORDER BY x)
                 + (count(*) OVER (PARTITION BY region, x) - 1) / 2.0 AS x FROM g)
@@ -445,7 +545,8 @@ def q_pearson(spark, sf_dir):
 k AS (SELECT a.region AS region_a, b.region AS region_b, sum(a.sg * b.sg) AS s,
              CAST(count(*) FILTER (WHERE a.sg <> 0) AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE b.sg <> 0) AS DOUBLE) AS nb
       FROM df a JOIN df b ON a.d1 = b.d1 AND a.d2 = b.d2 GROUP BY 1, 2)
-SELECT region_a, region_b, round_even(CASE WHEN sqrt(na * nb) > 0 THEN s / sqrt(na * nb) END, 3) + 0.0 AS value FROM k""")
+SELECT region_a, region_b, CASE WHEN region_a = region_b THEN 1.0
+       ELSE round_even(CASE WHEN sqrt(na * nb) > 0 THEN s / sqrt(na * nb) END, 3) + 0.0 END AS value FROM k""")
 def q_kendall(spark, sf_dir):
     return cross_region.rank_correlation(frame(spark, sf_dir), "kendall")
 
@@ -466,7 +567,7 @@ wv AS (SELECT t, min(started_at) AS wave_start, max(started_at) AS last_start, c
               arg_min(region, (started_at, region)) AS first_region,
               list({'region': region, 'started_at': started_at} ORDER BY started_at, region) AS sequence
        FROM mem GROUP BY t),
-waves AS (SELECT wave_start, strftime(timezone('Europe/Kyiv', timezone('UTC', wave_start)), '%Y-%m-%d') AS date,
+waves AS (SELECT CAST(row_number() OVER (ORDER BY regions_hit DESC, wave_start) AS INTEGER) AS rank, wave_start, strftime(timezone('Europe/Kyiv', timezone('UTC', wave_start)), '%Y-%m-%d') AS date,
                  first_region, CAST(regions_hit AS INTEGER) AS regions_hit,
                  round_even(date_diff('microsecond', wave_start, last_start) / 3600000000.0, 2) AS duration_h, sequence
           FROM wv)
@@ -475,23 +576,23 @@ waves AS (SELECT wave_start, strftime(timezone('Europe/Kyiv', timezone('UTC', wa
 
 @register("waves", _WAVES + "SELECT * FROM waves")
 def q_waves(spark, sf_dir):
-    return cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz)
+    return waves_table(spark, sf_dir)
 
 
 @register("wave_sequence", _WAVES + """
 SELECT wave_start, CAST(p.pos - 1 AS INTEGER) AS position, p.item.region AS region, p.item.started_at AS started_at
 FROM waves, LATERAL (SELECT unnest(sequence) AS item, generate_subscripts(sequence, 1) AS pos) p""")
 def q_wave_sequence(spark, sf_dir):
-    return cross_region.wave_sequence(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
+    return cross_region.wave_sequence(waves_table(spark, sf_dir))
 
 
 @register("wave_detail", _WAVES + """
-, top AS (SELECT * FROM waves ORDER BY date DESC, regions_hit DESC, wave_start DESC LIMIT 100)
-SELECT wave_start, CAST(p.pos - 1 AS INTEGER) AS position, p.item.region AS region, p.item.started_at AS started_at,
+, top AS (SELECT *, CAST(row_number() OVER (ORDER BY date DESC, regions_hit DESC, wave_start) AS INTEGER) AS list_position FROM waves)
+SELECT list_position, wave_start, CAST(p.pos - 1 AS INTEGER) AS position, p.item.region AS region, p.item.started_at AS started_at,
        round_even(date_diff('microsecond', wave_start, p.item.started_at) / 60000000.0, 1) AS minutes_from_first
 FROM top, LATERAL (SELECT unnest(sequence) AS item, generate_subscripts(sequence, 1) AS pos) p""")
 def q_wave_detail(spark, sf_dir):
-    return cross_region.wave_detail(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz), 100)
+    return cross_region.wave_detail(waves_table(spark, sf_dir))
 
 
 @register("wave_frames", _WAVES + """
@@ -504,7 +605,7 @@ f AS (SELECT sq.wave_start, sq.region, CAST(floor(sq.sec / 300) AS INTEGER) AS f
       FROM sq JOIN tot USING (wave_start))
 SELECT wave_start, CAST(unnest(generate_series(f0, nf - 1)) AS INTEGER) AS frame, region FROM f WHERE f0 <= nf - 1""")
 def q_wave_frames(spark, sf_dir):
-    return cross_region.wave_frames(cross_region.waves(frame(spark, sf_dir), 5, 3.0, PROFILE.tz))
+    return cross_region.wave_frames(waves_table(spark, sf_dir))
 
 
 # ---- coverage -----------------------------------------------------------------
@@ -578,17 +679,68 @@ def km_hour(spark, sf_dir):
     return survival.kaplan_meier_stratified(frame(spark, sf_dir), "hour")
 
 
+def _shown_strata(col: str, cond: str = "true") -> str:
+    return f"""
+, sc AS (SELECT {col} AS v, count(*) AS n FROM af WHERE {col} IS NOT NULL AND {cond} GROUP BY 1),
+st AS (SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS position, CAST(v AS VARCHAR) AS label, n, n >= 10 AS kept FROM sc)
+"""
+
+
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+_WEEKDAY_VALUES = "(VALUES " + ", ".join(f"({i}, '{d}', '{n.replace(chr(39), chr(39) * 2)}')" for i, (d, n) in enumerate(zip(WEEKDAYS, DOW_LONG))) + ") AS wd(position, dow_name, name)"
+
+
+@register("km_strata", _shown_strata("hour") + "SELECT position, label, n, kept FROM st")
+def q_km_strata(spark, sf_dir):
+    return survival.strata_counts(frame(spark, sf_dir), "hour")
+
+
+@register("km_by_weekday", _km_sql("""
+, kr AS (SELECT dow_name AS label, CAST(duration_min AS DOUBLE) AS t, CASE WHEN coalesce(censored, false) THEN 0 ELSE 1 END AS ev
+         FROM af WHERE duration_min IS NOT NULL AND duration_min >= 0)""") + f"""
+SELECT wd.name AS label, timeline, survival, ci_lower, ci_upper, CAST(wd.position AS INTEGER) AS position
+FROM km JOIN {_WEEKDAY_VALUES} ON wd.dow_name = km.label""")
+def q_km_weekday(spark, sf_dir):
+    return survival.kaplan_meier_stratified(frame(spark, sf_dir), "dow_name", WEEKDAYS, labels=dict(zip(WEEKDAYS, DOW_LONG)))
+
+
+@register("weekday_counts", "SELECT dow, ['Пн', 'Вт', 'Ср', 'Чт', 'Пт', 'Сб', 'Нд'][dow + 1] AS dow_short, "
+          f"(SELECT name FROM {_WEEKDAY_VALUES} WHERE wd.position = dow) AS dow_long, count(*) AS n FROM af GROUP BY 1, 2, 3")
+def q_weekday_counts(spark, sf_dir):
+    counts = frame(spark, sf_dir).groupBy("dow").agg(F.count(F.lit(1)).alias("n"))
+    return shape.weekday_labels(counts)
+
+
+TIMES = [0, 7.5, 30, 60, 95, 240, 1000]
+
+
+@register("km_timeline", _KM_ALL + f"""
+, tm AS (SELECT CAST(unnest({TIMES}) AS DOUBLE) AS timeline)
+SELECT 'all' AS label, tm.timeline, k.survival, k.ci_lower, k.ci_upper
+FROM tm JOIN km k ON k.timeline = (SELECT max(x.timeline) FROM km x WHERE x.timeline <= tm.timeline)""")
+def q_km_timeline(spark, sf_dir):
+    return survival.kaplan_meier(frame(spark, sf_dir), timeline=TIMES)
+
+
+@register("km_median_remaining_at", _km_strata_sql("hour") + """
+, past AS (SELECT label, timeline, survival, first_value(survival) OVER (PARTITION BY label ORDER BY timeline) AS s0 FROM km WHERE timeline >= 47.25)
+SELECT l.label, CAST(47.25 AS DOUBLE) AS elapsed, min(past.timeline) FILTER (WHERE past.survival <= past.s0 * 0.5) - 47.25 AS median_remaining
+FROM (SELECT DISTINCT label FROM km) l LEFT JOIN past ON past.label = l.label GROUP BY l.label""")
+def q_km_remaining_at(spark, sf_dir):
+    return survival.median_remaining_at(km_hour(spark, sf_dir), 47.25)
+
+
 @register("km_curve", _KM_ALL + "SELECT * FROM km")
 def q_km(spark, sf_dir):
     return km_all(spark, sf_dir)
 
 
-@register("km_by_hour", _km_strata_sql("hour") + "SELECT * FROM km")
+@register("km_by_hour", _km_strata_sql("hour") + _shown_strata("hour") + "SELECT km.*, st.position FROM km JOIN st ON st.label = km.label")
 def q_km_hour(spark, sf_dir):
     return km_hour(spark, sf_dir)
 
 
-@register("km_by_dow", _km_strata_sql("dow") + "SELECT * FROM km")
+@register("km_by_dow", _km_strata_sql("dow") + _shown_strata("dow") + "SELECT km.*, st.position FROM km JOIN st ON st.label = km.label")
 def q_km_dow(spark, sf_dir):
     return survival.kaplan_meier_stratified(frame(spark, sf_dir), "dow")
 
@@ -622,11 +774,12 @@ def q_km_median(spark, sf_dir):
     return survival.km_median(km_hour(spark, sf_dir))
 
 
-@register("km_truncated", _km_strata_sql("hour") + """
+@register("km_truncated", _km_strata_sql("hour") + _shown_strata("hour") + """
 , fb AS (SELECT label, min(timeline) FILTER (WHERE survival < 0.05) AS fb FROM km GROUP BY label),
 xm AS (SELECT least(600.0, max(timeline)) AS x_max FROM km)
-SELECT km.label, km.timeline, km.survival, km.ci_lower, km.ci_upper, xm.x_max
-FROM km JOIN fb USING (label) JOIN xm ON true WHERE fb.fb IS NULL OR km.timeline <= fb.fb""")
+SELECT km.label, km.timeline, km.survival, km.ci_lower, km.ci_upper, st.position,
+       fb.fb IS NULL OR km.timeline <= fb.fb AS shown, xm.x_max
+FROM km JOIN fb USING (label) JOIN xm ON true JOIN st ON st.label = km.label""")
 def q_km_truncated(spark, sf_dir):
     return survival.km_truncated(km_hour(spark, sf_dir))
 
@@ -647,9 +800,18 @@ gaps AS (
 """
 
 
-@register("region_gaps", _GAPS + "SELECT kind, region FROM gaps")
+# a region dimension with one region that never occurs and without one that does
+GAP_PROFILE = dataclasses.replace(PROFILE, regions=(*(r for r in PROFILE.regions if r[0] != "R05"), ("R99", "Region 99", 50.0, 30.0)))
+
+
+@register("region_gaps", """
+, found AS (SELECT DISTINCT region FROM episodes_d WHERE region IS NOT NULL),
+dim AS (SELECT 'R' || lpad(CAST(i AS VARCHAR), 2, '0') AS region FROM range(25) t(i) WHERE i <> 5 UNION ALL SELECT 'R99')
+SELECT 'unknown' AS kind, region FROM found WHERE region <> 'R24' AND region NOT IN (SELECT region FROM dim)
+UNION ALL
+SELECT 'missing' AS kind, region FROM dim WHERE region <> 'R24' AND region NOT IN (SELECT region FROM found)""")
 def q_gaps(spark, sf_dir):
-    return quality.region_gaps(episodes(spark, sf_dir), PROFILE)
+    return quality.region_gaps(episodes(spark, sf_dir), GAP_PROFILE)
 
 
 @register("quality_report", _GAPS + f"""
@@ -726,12 +888,13 @@ def q_source_spearman(spark, sf_dir):
 # ---- presentation shaping -----------------------------------------------------
 
 @register("timeline_sample", """
-, st AS (SELECT count(*) AS nrows, count(DISTINCT region) AS nreg, max(greatest(started_at, finished_at)) AS latest FROM af),
-rk AS (SELECT af.*, row_number() OVER (PARTITION BY region ORDER BY duration_min DESC NULLS LAST, started_at) AS rn FROM af)
-SELECT region, started_at, finished_at, duration_min, coalesce(finished_at, st.latest) AS plot_end
-FROM rk JOIN st ON true WHERE st.nrows <= 400 OR rn <= greatest(1, floor(400 / st.nreg))""")
-def q_timeline_sample(spark, sf_dir):
-    return shape.timeline_sample(frame(spark, sf_dir), 400)
+, st AS (SELECT max(greatest(started_at, finished_at)) AS latest FROM af)
+SELECT region, started_at, finished_at, duration_min,
+       row_number() OVER (PARTITION BY region ORDER BY duration_min DESC NULLS LAST, started_at) AS rank_in_region,
+       coalesce(finished_at, st.latest) AS plot_end
+FROM af JOIN st ON true""")
+def q_timeline(spark, sf_dir):
+    return shape.timeline_sample(frame(spark, sf_dir))
 
 
 _DIM_FULL = "(VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]})" for r in PROFILE.regions) + \
@@ -747,6 +910,77 @@ def q_region_map(spark, sf_dir):
     return shape.region_metric_map(describe.regional_breakdown(frame(spark, sf_dir)), PROFILE)
 
 
+# ---- the second binding: orders over seven years -------------------------------
+
+def orders_frame(spark, sf_dir) -> DataFrame:
+    return temporal.prepare(intervals_from_orders(pipeline.read_table(spark, sf_dir, "orders")), PROFILE, exclude_permanent=False)
+
+
+def register_orders(name: str, sql: str):
+    """Register a query on the orders binding; ``sql`` reads ``af`` as the other queries do."""
+    def deco(fn):
+        REGISTRY[name] = (fn, "WITH " + ORDERS_SQL.strip() + "\n" + sql)
+        return fn
+    return deco
+
+
+@register_orders("orders_freq_daily", _freq_sql("date", "INTERVAL 1 DAY", "CAST(lo AS TIMESTAMP)", "CAST(hi AS TIMESTAMP)"))
+def q_orders_daily(spark, sf_dir):
+    return describe.frequency_over_time(orders_frame(spark, sf_dir), "D")
+
+
+@register_orders("orders_freq_weekly", _freq_sql("CAST(date + CAST(7 - isodow(date) AS INTEGER) AS DATE)", "INTERVAL 7 DAY",
+                                                 "CAST(lo AS TIMESTAMP)", "CAST(hi AS TIMESTAMP)"))
+def q_orders_weekly(spark, sf_dir):
+    return describe.frequency_over_time(orders_frame(spark, sf_dir), "W")
+
+
+@register_orders("orders_freq_monthly", _freq_sql("last_day(date)", "INTERVAL 1 MONTH", "CAST(date_trunc('month', lo) AS TIMESTAMP)",
+                                                  "CAST(date_trunc('month', hi) AS TIMESTAMP)", label="last_day(p)"))
+def q_orders_monthly(spark, sf_dir):
+    return describe.frequency_over_time(orders_frame(spark, sf_dir), "ME")
+
+
+@register_orders("orders_cumulative", """
+, d AS (SELECT s.date, count(af.date) AS daily_count FROM (
+          SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM af) s
+        LEFT JOIN af ON af.date = s.date GROUP BY 1)
+SELECT date, daily_count, sum(daily_count) OVER (ORDER BY date) AS cumulative FROM d""")
+def q_orders_cumulative(spark, sf_dir):
+    return describe.cumulative_daily(orders_frame(spark, sf_dir))
+
+
+@register_orders("orders_year_month", """
+, y AS (SELECT DISTINCT CAST(year(local_start) AS INTEGER) AS year FROM af)
+SELECT y.year, CAST(m.month AS INTEGER) AS month, count(af.local_start) AS n
+FROM y JOIN range(1, 13) m(month) ON true LEFT JOIN af ON year(af.local_start) = y.year AND month(af.local_start) = m.month GROUP BY 1, 2""")
+def q_orders_year_month(spark, sf_dir):
+    return seasonal.year_month_counts(orders_frame(spark, sf_dir))
+
+
+@register_orders("orders_rolling_7d", """
+, d AS (SELECT s.date, count(af.date) AS count FROM (
+          SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM af) s
+        LEFT JOIN af ON af.date = s.date GROUP BY 1)
+SELECT x.date, x.count, CASE WHEN x.date >= (SELECT min(date) FROM d) + 6
+       THEN round_even((SELECT avg(y.count) FROM d y WHERE y.date BETWEEN x.date - 6 AND x.date), 1) END AS rolling_7d
+FROM d x""")
+def q_orders_rolling(spark, sf_dir):
+    return seasonal.rolling_7d(orders_frame(spark, sf_dir))
+
+
+@register("co_occurrence_triangle", _STARTS + """
+, n AS (SELECT region, count(*) AS n FROM s GROUP BY 1),
+h AS (SELECT x.region AS a, y.region AS b, count(DISTINCT x.id) AS h FROM s x JOIN s y
+      ON y.region <> x.region AND y.us BETWEEN x.us - 7200000000 AND x.us + 7200000000 GROUP BY 1, 2)
+SELECT p.region AS region_a, q.region AS region_b,
+       (coalesce((SELECT h FROM h WHERE a = p.region AND b = q.region), 0) / p.n
+        + coalesce((SELECT h FROM h WHERE a = q.region AND b = p.region), 0) / q.n) / 2.0 AS value
+FROM n p JOIN n q ON p.region > q.region""")
+def q_cooc_triangle(spark, sf_dir):
+    return cross_region.co_occurrence(frame(spark, sf_dir), 2.0, lower_triangle=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

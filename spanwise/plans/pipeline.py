@@ -1,19 +1,17 @@
 """Ingest plan: raw records -> unit records -> episodes -> analysis frame.
 
-Everything is lazy; Catalyst sees one plan per action.  ``materialize`` is the
-lineage cut for long jobs: it checkpoints to ``spark.checkpoint.dir`` (the
-cluster's shared folder), never to a machine-local directory.
+Two steps run when the plan is built, because several later steps read their result:
+the cleaned records (``unit_records``) and the local islands of the interval union are
+written to the shared folder and read back.  The rest is lazy.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwise.config import Profile
+from spanwise.functions.stored import write_table
 from spanwise.operators import clean, temporal, unify
-from spanwise.session import ensure_checkpoint_dir
 
 
 def unit_records(raw: DataFrame, profile: Profile, chunk_seconds: int = unify.DEFAULT_CHUNK_SECONDS) -> DataFrame:
@@ -21,8 +19,9 @@ def unit_records(raw: DataFrame, profile: Profile, chunk_seconds: int = unify.DE
 
     Columns: oblast, raion, hromada, level, started_at, finished_at, region, unit_name.
     """
-    records = clean.prepare_records(raw, profile)
-    # Base rows + uncovered fine rows, one pass over the records
+    # one scan and one dedup shuffle of the raw rows; P7 reads the written records several times
+    records = write_table(clean.prepare_records(raw, profile), "records")
+    # Base rows + uncovered fine rows
     units = unify.with_uncovered(records, profile.cap_seconds, key="oblast", chunk_seconds=chunk_seconds)
     units = clean.canonical_region(units, profile.aliases)  # P9
     units = clean.unit_name(units)  # P10
@@ -49,25 +48,5 @@ def analysis_frame(eps: DataFrame, profile: Profile, exclude_permanent: bool = T
     return temporal.prepare(eps, profile, exclude_permanent=exclude_permanent)
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the configured shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder and return the re-read table.
-
-    The re-read table cuts lineage (a lost executor re-reads files instead of
-    recomputing the ingest) and gives later queries column pruning, filter
-    pushdown and real size statistics for AQE.
-    """
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/spanwise-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -26,7 +26,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SPANWISE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SPANWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -36,14 +36,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; all executors must share it.
+
+    Only a session on the driver's own threads (``local[...]``: tests, the bench) may go
+    without the setting and gets a scratch folder; anywhere else a missing setting raises.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="spanwise-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spanwise-ckpt-")
+    spark.sparkContext.setCheckpointDir(configured)
+    return spark.sparkContext.getCheckpointDir()

@@ -84,6 +84,28 @@ def second_source_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def intervals_from_orders(orders: DataFrame) -> DataFrame:
+    """Second binding: one closed interval per order over seven years (region from the customer key,
+    as many minutes as whole thousands of the price)."""
+    end = F.timestamp_add("MINUTE", F.floor(F.col("o_totalprice") / 1000).cast("long"), F.col("o_orderdate"))
+    return orders.select(_region_base(F.col("o_custkey")).alias("region"), F.col("o_orderdate").alias("started_at"), end.alias("finished_at"))
+
+
+def features_from_nations(nations: DataFrame) -> DataFrame:
+    """A FeatureCollection document (one text row) with a point per nation, for the feature ingest:
+    region 1 is abroad; two names take the English override, the others the variant spelling."""
+    key = F.col("n_nationkey").cast("int")
+    name = F.when(key == 0, "Kiev").when(key == 5, "Kiev City").otherwise(F.col("n_name"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.when(F.col("n_regionkey") == 1, "Elsewhere").otherwise("Ukraine").alias("admin"), name.alias("name"),
+                 F.concat(_region_base(key), F.lit(VARIANT_SUFFIX)).alias("name_uk")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array(22.5 + key, 45.25 + key / 2.0).alias("coordinates")).alias("geometry"),
+    )
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))
+    return nations.agg(F.to_json(doc).alias("value"))
+
+
 # --- DuckDB text for the oracle -------------------------------------------------
 
 def _sql_base(uid: str) -> str:
@@ -124,3 +146,19 @@ SELECT CASE WHEN event_type = 'signup' THEN {_sql_base('user_id')} || '{VARIANT_
        event_type AS kind
 FROM events
 """
+
+ORDERS_SQL = f"""
+af AS (
+  SELECT {_sql_base('o_custkey')} AS region, o_orderdate AS started_at,
+         timezone('Europe/Kyiv', timezone('UTC', o_orderdate)) AS local_start,
+         CAST(timezone('Europe/Kyiv', timezone('UTC', o_orderdate)) AS DATE) AS date
+  FROM orders)
+"""
+
+FEATURES_SQL = f"""
+SELECT CASE WHEN n_regionkey = 1 THEN 'Elsewhere' ELSE 'Ukraine' END AS admin,
+       CASE n_nationkey WHEN 0 THEN 'Kiev' WHEN 5 THEN 'Kiev City' ELSE n_name END AS name,
+       {_sql_base('n_nationkey')} || '{VARIANT_SUFFIX}' AS name_uk, 'Point' AS geo_type,
+       CAST(22.5 + n_nationkey AS DOUBLE) AS lon, CAST(45.25 + n_nationkey / 2.0 AS DOUBLE) AS lat
+FROM nation
+"""

@@ -20,29 +20,37 @@ def _text_schema(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
-def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, UTF-8, all columns as text; NA markers -> NULL; header names normalised.
+def _scan_csv(spark: SparkSession, path: str, required, where: str, multi_line: bool) -> DataFrame:
+    """Header CSV files with one header, all columns as text, NA markers -> NULL.
 
-    The header is read with the file's own column order (``enforceSchema`` off maps
-    columns by name), so extra or reordered columns are fine; missing required ones raise.
+    Spark assigns CSV columns by position.  With ``enforceSchema`` off it compares every file's
+    header with the declared columns, so a file with other or reordered columns raises instead of
+    landing in the wrong columns.  Quotes inside a quoted field are doubled.
     """
-    header = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multi_line)
+    header = reader.csv(path).columns
     names = [c.strip().lower() for c in header]
-    df = (
-        spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-        .schema(_text_schema(header)).csv(path)
-    ).toDF(*names)
-    clean.require_columns(df, clean.RAW_REQUIRED, "load")
+    df = reader.option("enforceSchema", False).option("ignoreLeadingWhiteSpace", False).schema(_text_schema(header)).csv(path)
+    df = df.toDF(*names)
+    clean.require_columns(df, required, where)
     return clean.null_tokens(df)
 
 
-def read_second_source_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_alerts_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Interval records; extra columns are fine, missing required ones raise.
+
+    ``multi_line``: fields may hold line breaks (a file is then one task)."""
+    return _scan_csv(spark, path, clean.RAW_REQUIRED, "load", multi_line)
+
+
+def read_second_source_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S2 scan: every column as text (the reconciliation needs ``region`` and ``started_at``)."""
-    header = spark.read.option("header", True).csv(path).columns
-    df = spark.read.option("header", True).schema(_text_schema(header)).csv(path).toDF(
-        *[c.strip().lower() for c in header])
-    clean.require_columns(df, ["region", "started_at"], "second source")
-    return df
+    return _scan_csv(spark, path, ["region", "started_at"], "second source", multi_line)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Text columns as header CSV files that ``read_alerts_csv`` reads back (NULL as an empty field)."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 FEATURE_SCHEMA = T.StructType([
@@ -51,7 +59,7 @@ FEATURE_SCHEMA = T.StructType([
         T.StructField("type", T.StringType()),
         T.StructField("id", T.StringType()),
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("geometry", T.StringType()),
+        T.StructField("geometry", T.VariantType()),
     ]))),
 ])
 
@@ -71,7 +79,7 @@ def read_features(spark: SparkSession, path: str, profile: Profile, admin: str =
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """One FeatureCollection document (features sorted by region).
+    """One FeatureCollection document (features sorted by region, geometry as nested JSON).
 
     The collection is a single JSON document by format; it holds one feature per
     region (a dimension-sized table), so it is assembled in one task.
@@ -81,9 +89,10 @@ def write_features(features: DataFrame, path: str) -> None:
         F.struct("region", "name_uk", "name_en").alias("properties"),
         F.col("geometry").alias("geometry"),
     )
-    doc = features.agg(F.sort_array(F.collect_list(F.struct(F.col("region").alias("_k"), feat.alias("f")))).alias("fs"))
-    doc = doc.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
-                                        F.transform("fs", lambda x: x["f"]).alias("features"))).alias("value"))
+    one = F.struct(F.col("region").alias("_k"), F.to_json(feat).alias("f"))
+    doc = features.agg(F.sort_array(F.collect_list(one)).alias("fs")).select(F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda x: x["f"]), ","), F.lit("]}"),
+    ).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -39,9 +39,10 @@ def start_refresh(spark: SparkSession, input_dir: str, table_dir: str, profile:
         frame = pipeline.analysis_frame(eps, profile)
         frame.write.mode("overwrite").parquet(eps_path)
 
+    # files must have exactly these columns in this order: another header raises (see read_alerts_csv)
     stream = (
-        spark.readStream.schema(_text_schema(RAW_COLUMNS)).option("header", True)
-        .option("encoding", "UTF-8").csv(input_dir)
+        spark.readStream.schema(_text_schema(RAW_COLUMNS)).option("header", True).option("enforceSchema", False)
+        .option("encoding", "UTF-8").option("escape", '"').csv(input_dir)
     )
     writer = stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

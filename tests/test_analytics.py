@@ -153,12 +153,80 @@ def test_weekly_labels_are_sundays(spark):
     assert [r.alert_count for r in out] == [1, 0, 1]
 
 
-def test_timeline_sample_keeps_every_region(spark):
-    rows = [(f"R{i:02d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * j), dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * j, minutes=60))
+def test_timeline_ranks_every_episode(spark):
+    rows = [(f"R{i:02d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * j), dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * j, minutes=40 + j))
             for i in range(25) for j in range(20)]
-    out = shape.timeline_sample(frame(spark, rows), 400)
-    assert out.select("region").distinct().count() == 25
-    assert out.count() == 25 * 16
+    rows.append(("R00", dt.datetime(2024, 1, 9), None))
+    out = shape.timeline_sample(frame(spark, rows))
+    assert out.count() == len(rows)  # no row is dropped, whatever the number of rows
+    one = out.filter("region = 'R00'").orderBy("rank_in_region").collect()
+    assert [r.rank_in_region for r in one] == list(range(1, 22))
+    assert [r.duration_min for r in one[:20]] == [float(59 - j) for j in range(20)]
+    assert one[20].finished_at is None and one[20].plot_end == dt.datetime(2024, 1, 9)
+    assert shape.timeline_sample(frame(spark, rows), per_region=16).count() == 25 * 16
+
+
+def test_wave_order_and_positions(spark):
+    t = dt.datetime
+    rows = [(r, t(2024, 1, 1, h, m), None) for h in (6, 12) for m, r in enumerate("abc")]  # two equal waves on one day
+    rows += [(r, t(2024, 1, 2, 9, m), None) for m, r in enumerate("abcd")]
+    wv = cross_region.waves(frame(spark, rows), 3, 1.0)
+    ranked = [(w.rank, w.wave_start) for w in wv.orderBy("rank").collect()]
+    assert ranked == [(1, t(2024, 1, 2, 9)), (2, t(2024, 1, 1, 6)), (3, t(2024, 1, 1, 12))]
+    listed = cross_region.wave_detail(wv)
+    firsts = [(r.list_position, r.wave_start) for r in listed.filter("position = 0").orderBy("list_position").collect()]
+    assert firsts == [(1, t(2024, 1, 2, 9)), (2, t(2024, 1, 1, 6)), (3, t(2024, 1, 1, 12))]  # ties in ascending time
+    assert cross_region.wave_detail(wv, 2).select("wave_start").distinct().count() == 2
+
+
+def test_top_days_ranks_all_days(spark):
+    rows = [("k", dt.datetime(2024, 1, d, 10), None) for d in (1, 2, 2, 3)]
+    out = describe.top_days(frame(spark, rows)).orderBy("rank").collect()
+    assert [(r.date.day, r.alert_count) for r in out] == [(2, 2), (1, 1), (3, 1)]
+    assert describe.top_days(frame(spark, rows), 1).count() == 1
+
+
+def test_strata_are_listed_and_ordered(spark):
+    rows = [("k", dt.datetime(2024, 1, 1, h), dt.datetime(2024, 1, 1, h, 10 + i)) for h, n in ((6, 3), (7, 1)) for i in range(n)]
+    f = frame(spark, rows)  # local hours 8 and 9
+    listed = [(r.position, r.label, r.n, r.kept) for r in survival.strata_counts(f, "hour", [9, 8, 5], 2).orderBy("position").collect()]
+    assert listed == [(0, "9", 1, False), (1, "8", 3, True), (2, "5", 0, False)]
+    curves = survival.kaplan_meier_stratified(f, "hour", [9, 8, 5], 2, labels={"8": "eight"})
+    assert {(r.label, r.position) for r in curves.collect()} == {("eight", 1)}
+
+
+def test_truncation_marks_points(spark):
+    km = curve(spark, [(0, 1.0), (10, 0.04), (20, 0.0)])
+    out = survival.km_truncated(km).orderBy("timeline").collect()
+    assert [(r.timeline, r.shown) for r in out] == [(0.0, True), (10.0, True), (20.0, False)]
+
+
+def test_median_remaining_between_points(spark):
+    km = curve(spark, FIVE)
+    at = lambda t: survival.median_remaining_at(km, t).collect()[0].median_remaining
+    assert at(0) == 90.0 and at(30) == 60.0
+    assert at(45) == 75.0  # S is read at 60 (0.6); 0.3 is reached at 120
+    assert at(200) is None and at(100) is None
+
+
+def test_custom_timeline_is_a_step_function(spark):
+    rows = spark.createDataFrame([(10.0, False), (20.0, False)], "duration_min double, censored boolean")
+    got = {r.timeline: r.survival for r in survival.kaplan_meier(rows, timeline=[0, 9.5, 10, 15, 400]).collect()}
+    assert got == {0.0: 1.0, 9.5: 1.0, 10.0: 0.5, 15.0: 0.5, 400.0: 0.0}
+
+
+def test_kaplan_meier_published_remission_times(spark):
+    """Freireich's 6-MP remission times (weeks), the textbook example; published S(t) and the
+    log-log 95 % band at 6 and 10 weeks."""
+    done = [6, 6, 6, 7, 10, 13, 16, 22, 23]
+    lost = [6, 9, 10, 11, 17, 19, 20, 25, 32, 32, 34, 35]
+    rows = spark.createDataFrame([(float(t), False) for t in done] + [(float(t), True) for t in lost], "duration_min double, censored boolean")
+    km = {r.timeline: r for r in survival.kaplan_meier(rows).collect()}
+    published = {6: 0.857, 7: 0.807, 10: 0.753, 13: 0.690, 16: 0.627, 22: 0.538, 23: 0.448}
+    for t, s in published.items():
+        assert km[float(t)].survival == pytest.approx(s, abs=6e-4)
+    assert (round(km[6.0].ci_lower, 3), round(km[6.0].ci_upper, 3)) == (0.620, 0.952)
+    assert (round(km[10.0].ci_lower, 3), round(km[10.0].ci_upper, 3)) == (0.503, 0.889)
 
 
 def test_kaplan_meier_as_of_censors_open_episodes(spark):

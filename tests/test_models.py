@@ -27,21 +27,22 @@ def key(t):
 
 
 def model_merge(rows):
-    out, by = [], {}
-    for k, s, e in rows:
-        by.setdefault(k, []).append((s, e))
-    for k, lst in by.items():
-        lst.sort(key=lambda t: (t[0], t[1] is None, t[1] or 0))
-        cur = None
-        for s, e in lst:
-            if cur is None:
-                cur = [s, e]
-            elif cur[1] is not None and s <= cur[1]:
-                cur[1] = None if e is None else max(cur[1], e)
-            else:
-                out.append((k, cur[0], cur[1]))
-                cur = [s, e]
-        out.append((k, cur[0], cur[1]))
+    """Union from its definition: within a key, rows of one segment (open rows end segments) are
+    connected when a later one starts no later than an earlier closed one ends; an episode is a
+    connected component, open if it holds an open row."""
+    out = []
+    for k in {r[0] for r in rows}:
+        order = sorted(((s, e) for kk, s, e in rows if kk == k), key=lambda t: (t[0], t[1] is None, t[1] or 0))
+        segment = [sum(e is None for _, e in order[:i]) for i in range(len(order))]
+        group = {i: {i} for i in range(len(order))}
+        for j, (s, _) in enumerate(order):
+            for i in range(j):
+                if segment[i] == segment[j] and order[i][1] is not None and s <= order[i][1]:
+                    joined = group[i] | group[j]
+                    group.update(dict.fromkeys(joined, joined))
+        for members in {frozenset(g) for g in group.values()}:
+            ends = [order[i][1] for i in members]
+            out.append((k, min(order[i][0] for i in members), None if None in ends else max(ends)))
     return sorted(out, key=key)
 
 
@@ -94,25 +95,20 @@ def test_uncovered_matches_model(spark, seed):
 
 
 def model_waves(starts, n_min, w):
-    s = sorted(starts, key=lambda t: (t[1], t[0]))
-    i, out = 0, []
-    while i < len(s):
-        j = i
-        while j < len(s) and s[j][1] - s[i][1] <= w:
-            j += 1
-        first = {}
-        for k in range(i, j):
-            first.setdefault(s[k][0], s[k][1])
-        if len(first) >= n_min:
-            out.append((s[i][1], len(first)))
-            i = j
-        else:
-            i += 1
-    return sorted(out)
+    """Waves from their definition: a start time is a candidate if its window holds n_min regions;
+    the waves are the least candidate, then each time the least one after the last window."""
+    def hit(t):
+        return {r for r, m in starts if t <= m <= t + w}
+
+    candidates = {m for _, m in starts if len(hit(m)) >= n_min}
+    chosen = []
+    while later := {c for c in candidates if not chosen or c > chosen[-1] + w}:
+        chosen.append(min(later))
+    return [(t, len(hit(t))) for t in chosen]
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_waves_match_two_pointer_model(spark, seed):
+def test_waves_match_definition(spark, seed):
     rng = random.Random(200 + seed)
     starts = [(rng.choice("abcdefgh"), rng.randint(0, 2000)) for _ in range(rng.randint(5, 120))]
     df = spark.createDataFrame([(r, ts(m)) for r, m in starts], "region string, started_at timestamp_ntz")
@@ -237,3 +233,67 @@ def test_lag_correlation_matches_direct_pearson(spark, seed):
             assert v is None
         else:
             assert v == pytest.approx(round(want, 4), abs=1.1e-4)
+
+
+def test_hot_hour_reduces_to_distinct_instants(spark):
+    """Most rows in one region-hour: the window input is bounded by the hour's instants."""
+    rng = random.Random(7)
+    rows = [("hot", rng.randint(0, 59), None) for _ in range(3)]
+    rows += [("hot", s, s + rng.randint(0, 90)) for s in (rng.randint(0, 59) for _ in range(3000))]
+    rows += [("cold", 10, 20), ("cold", 15, 40)]
+    df = spark.createDataFrame([(k, ts(s), ts(e)) for k, s, e in rows],
+                               "region string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    got = unify.merge_intervals(df, with_count=True).collect()
+    assert sorted([(r.region, mins(r.started_at), mins(r.finished_at)) for r in got], key=key) == model_merge(rows)
+    assert sum(r.n_records for r in got) == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_match_sorted_values(spark, seed):
+    from spanwise.operators import describe
+    rng = random.Random(700 + seed)
+    values = [rng.choice([rng.random() * 500, float(rng.randint(0, 20)), -3.5]) for _ in range(rng.randint(1, 60))]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = describe.exact_quantiles(df, "v", probs).first()["q"]
+    ranked = sorted(values)
+    for p, g in zip(probs, got):
+        at = (len(ranked) - 1) * p
+        lo, hi = ranked[int(at)], ranked[min(int(at) + 1, len(ranked) - 1)]
+        assert g == pytest.approx(lo + (hi - lo) * (at - int(at)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kendall_matches_day_pairs(spark, seed):
+    import math
+    rng = random.Random(800 + seed)
+    days = 9
+    counts = {r: [rng.randint(0, 3) for _ in range(days)] for r in "abc"}
+    counts["d"] = [1] * days  # no variance, and every day occurs
+    rows = [(r, dt.datetime(2024, 1, 1 + d), dt.date(2024, 1, 1 + d)) for r, c in counts.items() for d in range(days) for _ in range(c[d])]
+    df = spark.createDataFrame(rows, "region string, started_at timestamp_ntz, date date")
+    got = {(r.region_a, r.region_b): r.value for r in cross_region.rank_correlation(df, "kendall").collect()}
+
+    def sign(x):
+        return (x > 0) - (x < 0)
+
+    present = [r for r in counts if any(counts[r])]
+    for a in present:
+        for b in present:
+            pairs = [(i, j) for i in range(days) for j in range(i)]
+            x, y = counts[a], counts[b]
+            s = sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in pairs)
+            na, nb = (sum(v[i] != v[j] for i, j in pairs) for v in (x, y))
+            want = 1.0 if a == b else s / math.sqrt(na * nb) if na and nb else None
+            assert got[a, b] is None if want is None else got[a, b] == pytest.approx(round(want, 3), abs=1.1e-3)
+    assert len(got) == len(present) ** 2
+
+
+def test_replaced_input_rebuilds_stored_tables(spark, tmp_path):
+    from spanwise.functions.stored import input_version
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    before = input_version(spark, path)
+    assert before == input_version(spark, path)
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert before != input_version(spark, path)

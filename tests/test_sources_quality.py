@@ -52,14 +52,74 @@ def test_csv_missing_column_raises(spark):
         files.read_alerts_csv(spark, p)
 
 
+def _csv(folder, name, text):
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as fh:
+        fh.write(text)
+
+
+HEAD = "oblast,raion,hromada,level,started_at,finished_at\n"
+
+
+def test_reordered_file_raises_instead_of_shifting_columns(spark):
+    d = scratch()
+    _csv(d, "a.csv", HEAD + "A,,,oblast,2024-01-01 10:00:00,\n")
+    _csv(d, "b.csv", "started_at,oblast,raion,hromada,level,finished_at\n2024-01-01 10:00:00,A,,,oblast,\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_alerts_csv(spark, d).collect()
+
+
+def test_doubled_quotes_and_line_breaks(spark):
+    d = scratch()
+    _csv(d, "a.csv", HEAD + '"A ""x"", y","r",,oblast,2024-01-01 10:00:00,\n')
+    r = files.read_alerts_csv(spark, d).collect()[0]
+    assert (r.oblast, r.raion, r.level) == ('A "x", y', "r", "oblast")
+    d = scratch()
+    _csv(d, "a.csv", HEAD + '"A\nB",r,,oblast,2024-01-01 10:00:00,\n')
+    assert files.read_alerts_csv(spark, d, multi_line=True).collect()[0].oblast == "A\nB"
+
+
+def test_every_na_text_is_null_in_both_sources(spark):
+    from spanwise.config import RAW_NULL_TOKENS
+    d = scratch()
+    _csv(d, "a.csv", HEAD + "".join(f"A,{t},,oblast,2024-01-01 10:00:00,{t}\n" for t in RAW_NULL_TOKENS))
+    rows = files.read_alerts_csv(spark, d).collect()
+    assert len(rows) == len(RAW_NULL_TOKENS) and all(r.raion is None and r.finished_at is None for r in rows)
+    d = scratch()
+    _csv(d, "b.csv", "region,started_at\nСумська,NaN\nСумська,2024-01-01 00:00:00\n")
+    kept = reconcile.second_source(files.read_second_source_csv(spark, d), DEFAULT).collect()
+    assert len(kept) == 1  # a missing start is dropped, it does not raise
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spanwise import session
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_ingest_counts(spark):
+    from spanwise.operators import clean
+    rows = [("A", None, None, "oblast", s, f, src) for s, f, src in [
+        ("2024-01-01 00:00:00", "2024-01-01 13:00:00", "a"), ("2024-01-01 00:00:00", "2024-01-01 13:00:00", "b"),
+        ("bad", None, "a"), ("2024-01-01 00:00:00", "2024-01-01 12:00:00", "a"), (None, None, "a")]]
+    raw = spark.createDataFrame(rows, "oblast string, raion string, hromada string, level string, started_at string, finished_at string, source string")
+    assert clean.ingest_counts(raw, DEFAULT).first().asDict() == {"n_raw": 5, "n_distinct": 4, "n_bad_start": 2, "n_capped": 1}
+
+
+POINT = {"type": "Point", "coordinates": [30.5, 50.25]}
+MULTI = {"type": "MultiPolygon", "coordinates": [[[[0.5, 0.5], [1.5, 0.5], [1.5, 1.5], [0.5, 0.5]]], [[[3.5, 3.5], [4.5, 3.5], [4.5, 4.5], [3.5, 3.5]]]]}
+
+
 def test_features_roundtrip(spark):
     d = scratch()
     src = os.path.join(d, "fc.json")
     fc = {"type": "FeatureCollection", "features": [
-        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "Kiev City", "name_uk": "Київ"}, "geometry": "g1"},
-        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "Sumy", "name_uk": "Сумська область"}, "geometry": "g2"},
-        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "X", "name_uk": "Невідома"}, "geometry": "g3"},
-        {"type": "Feature", "properties": {"admin": "Poland", "name": "Y", "name_uk": "Y"}, "geometry": "g4"},
+        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "Kiev City", "name_uk": "Київ"}, "geometry": POINT},
+        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "Sumy", "name_uk": "Сумська область"}, "geometry": MULTI},
+        {"type": "Feature", "properties": {"admin": "Ukraine", "name": "X", "name_uk": "Невідома"}, "geometry": None},
+        {"type": "Feature", "properties": {"admin": "Poland", "name": "Y", "name_uk": "Y"}, "geometry": POINT},
     ]}
     with open(src, "w", encoding="utf-8") as fh:
         json.dump(fc, fh, ensure_ascii=False)
@@ -71,6 +131,8 @@ def test_features_roundtrip(spark):
     doc = json.loads(text)
     assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 3
     assert all(f["id"] == f["properties"]["region"] for f in doc["features"])
+    geometry = {f["id"]: f.get("geometry") for f in doc["features"]}
+    assert geometry == {"м. Київ": POINT, "Сумська": MULTI, "Невідома": None}  # nested, as it came
 
 
 def test_processed_table_sink(spark):
