@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanwise.llm.textgrams import mix
 
@@ -67,7 +68,7 @@ def in_blocks(df: DataFrame, make: Callable, types: dict[str, type], buckets: in
             yield from finish(part.pop("key"), part, part.pop("shared"), False)
 
     sent = "bucket long, aside boolean, key binary, " + "".join(f"{c} binary, " for c in types) + "shared binary"
-    return df.mapInArrow(send, sent).repartition(buckets, "bucket").mapInArrow(receive, schema)
+    return df.mapInArrow(send, sent).repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(receive, schema)
 
 
 def repeated(key: np.ndarray, shared: np.ndarray) -> np.ndarray:

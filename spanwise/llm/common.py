@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20  # texts handled together inside a task
+BATCH_BYTES = 4 << 20  # texts handled together inside a task
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ ordinary skewed join key.  Links are first thinned inside each task to a spannin
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import Tables
@@ -61,6 +61,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _stored(links: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, tuple]:
+    """The links as a table, and their number and checksum, observed while it is written."""
+    seen = Observation()
+    sums = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
+    table = tables.store(links.observe(seen, *sums), name)
+    return table, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame, tables: Tables, name: str = "components") -> DataFrame:
     """(node, component): every node that has a link, with the smallest node of its component.
 
@@ -69,15 +77,11 @@ def components(links: DataFrame, tables: Tables, name: str = "components") -> Da
     """
     a, b = links.columns[:2]
     clean = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    links = tables.store(clean.mapInArrow(_thin, "u long, v long").distinct(), f"{name}-0")
+    links, now = _stored(clean.mapInArrow(_thin, "u long, v long").distinct(), tables, f"{name}-0")
     mark, step = None, 0
-    while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
+    while now != mark and now[0]:
         mark, step = now, step + 1
-        links = tables.store(_star(_star(links, large=True), large=False), f"{name}-{step}")
-        if step > 1:
-            tables.free(f"{name}-{step - 1}")
+        links, now = _stored(_star(_star(links, large=True), large=False), tables, f"{name}-{step}")
+        tables.free(f"{name}-{step - 1}")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,8 +2,7 @@
 
 Two documents link when ``100 * |A & B| >= 75 * |A | B|`` over their sets of distinct 5-word
 shingles.  Equal sets collapse into classes first.  All sets are ordered by one global order, rare
-n-grams first (an estimate from a fixed-size count sketch; it only steers cost, the order is exact
-whatever the sketch says).  Size-derived bounds then discard pairs without losing a link:
+n-grams first (by a fixed-size count sketch; it only steers cost, links are exact whatever it says).  Size-derived bounds then discard pairs without losing a link:
 
 * *prefix*: linked sets share an n-gram among the first ``n - ceil(0.75 n) + 1`` of each;
 * *position*: with ``a = ceil(3 (n1 + n2) / 7)`` shared n-grams needed, the first shared one is at a
@@ -31,8 +30,8 @@ from spanwise.llm.blocks import in_blocks, repeated
 from spanwise.llm.candidates import linked_components
 from spanwise.llm.common import Tables, bloom_build, bloom_has, encode, pieces, tidy
 
-SKETCH_BITS = 20  # counters of the rarity estimate: one megabyte reaches the executors
-CHUNKS = 64
+SKETCH_BITS = 22  # slots of the rarity estimate: a table of four megabytes reaches the executors
+LEAST_LOCAL = 4  # a task reports the slots that it met this often
 LEVEL_SHIFT = np.uint64(58)
 NUM, DEN = 75, 100  # Jaccard threshold as a fraction
 
@@ -47,38 +46,30 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Level (log2 of count over median count) per sketch slot, from all shingles of all texts."""
-    width = (1 << SKETCH_BITS) // CHUNKS
+    """Level (log2 of a count) per sketch slot, from all shingles of all texts.
+
+    A task counts its shingles in a local table and reports only slots that it met LEAST_LOCAL times
+    or more, so shingles that are rare everywhere leave no noise behind, however large the corpus.
+    One long per slot at most (SKETCH_BITS) reaches the driver.
+    """
+    size = 1 << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int32)
         for batch in pieces(batches):
-            for s in textgrams.slices(texts := encode(batch.column("text"))):
-                words, counts = textgrams.word_hashes(texts[s[0]:s[1]])
-                grams = textgrams.combine(words)
-                if len(grams):
-                    total += np.bincount(_slot(grams), minlength=1 << SKETCH_BITS)
-        counts = np.minimum(total, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(CHUNKS, width)])], ["chunk", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = sums.setdefault(chunk, np.zeros(width, dtype=np.int64))
-                got += np.frombuffer(raw, dtype=np.uint16)
-        for chunk, got in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([got.tobytes()])], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
-    total = np.zeros((CHUNKS, width), dtype=np.int64)
-    for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    total = total.ravel()
-    usual = max(1.0, float(np.median(total)))
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)), 0, 31).astype(np.uint8)
+            texts = encode(batch.column("text"))
+            for a, b in textgrams.slices(texts):
+                grams = textgrams.combine(textgrams.word_hashes(texts[a:b])[0])
+                slots, n = np.unique(_slot(grams), return_counts=True)
+                total[slots] += n.astype(np.int32)
+        at = np.flatnonzero(total >= LEAST_LOCAL)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["slot", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    levels = np.zeros(size, dtype=np.uint8)
+    table = sums.select("slot", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    levels[table["slot"].to_numpy()] = np.minimum(table["level"].to_numpy(), 31)
+    return levels
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -211,9 +202,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = ["n", "f1", "f2"]
     classes = tables.store(own.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc")), "classes")
     one = own.join(classes.select(*key, F.col("doc").alias("doc_id"), "doc"), [*key, "doc_id"])
-    sets = tables.store(one.dropDuplicates(["doc", *key]).select("doc", "n", "prefix"), "reps")
-    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, total // (16 << 20))
+    sets = tables.store(one.select("doc", "n", "prefix"), "reps")
+    total = sets.agg(F.sum("n")).first()[0] or 0  # a quarter of these n-grams go into the blocks
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 << 20))
     lists = tables.store(postings(sets, buckets), "postings")
 
     found = linked_components(lists, lambda pairs, name: _verify(pairs, sets, docs, levels, tables, name), tables, _near)

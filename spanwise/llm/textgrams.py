@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5  # words of a shingle
-SLICE_BYTES = 4 << 20  # texts are hashed in slices of about this many bytes
+SLICE_BYTES = 1 << 20  # texts are hashed in slices of about this many bytes
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,7 +32,7 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept per process."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + (1 << 20))
+        size = max(n, 2 * SLICE_BYTES)
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
