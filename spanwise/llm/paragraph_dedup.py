@@ -168,7 +168,7 @@ def _verify(pairs: DataFrame, keys: DataFrame, tables: Tables, name: str) -> Dat
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc, units): per document the candidate sentences, where they reach MIN_WORDS words."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     types = {"kind": np.int8, "doc": np.int64, "seq": np.int32, "words": np.int32}
     rows = in_blocks(docs, lambda b: (x for p in pieces([b]) for x in _keys(p)), types, buckets, _repeats, "kind byte, h long, doc long, seq int, words int")
     rows = tables.store(rows, "repeats")
@@ -178,7 +178,8 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     wanted = spark.sparkContext.broadcast(bloom_build(lists.select("doc").distinct(), "doc"))
     lines = tables.store(_line_rows(docs, wanted), "lines")
     keys = tables.store(lines.where("keys is not null").groupBy("line").agg(F.min("keys").alias("keys")), "keys")
-    clusters = linked_components(lists, lambda pairs, name: _verify(pairs, keys, tables, name), tables)
+    sets = keys.select(F.col("line").alias("doc"), "keys")
+    clusters = linked_components(lists, lambda pairs, name: _verify(pairs, keys, tables, name), tables, sets=sets)
     member = lines.drop("keys").join(clusters.select(F.col("node").alias("line"), "component"), "line")
     first = member.groupBy("component").agg(F.min(F.struct("doc", F.col("units")[0]["seq"].alias("seq"))).alias("kept"))
     near = member.join(first, "component").where("doc <> kept.doc or units[0].seq <> kept.seq")
