@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import textgrams
-from spanwise.llm.common import Tables, bloom_build, bloom_has, encode, pieces, tidy
+from spanwise.llm.common import Tables, bloom_build, bloom_has, pieces, tidy
 
 MIN_MATCH = textgrams.WORDS
 COVERAGE = 0.5
