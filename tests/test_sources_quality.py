@@ -6,7 +6,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from spanwise.config import DEFAULT, Profile
 from spanwise.operators import coverage, quality, reconcile
