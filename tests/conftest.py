@@ -11,7 +11,7 @@ from spanwise.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_session("local[*]", 8)
+    return get_session("local[*]", 4)
 
 
 def ts(s: str) -> dt.datetime:
