@@ -57,8 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and whether they decode to the text."""
-    both = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text")))
-    return both.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"), check_col="round_trip")
+    return both.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

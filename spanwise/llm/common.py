@@ -59,8 +59,8 @@ def encode(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches whose texts hold about BATCH_BYTES bytes."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches whose texts hold about ``size`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,7 +68,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, base + BATCH_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, base + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
 

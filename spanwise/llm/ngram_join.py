@@ -114,8 +114,9 @@ def postings(sets: DataFrame, buckets: int) -> DataFrame:
     """(h, doc, n, pos): prefix incidence without the n-grams that only one set has there."""
 
     def make(batch):
-        key, doc, n, pos = _flat(batch)
-        yield key, {"doc": doc, "n": n, "pos": pos}
+        for part in pieces([batch], "prefix"):
+            key, doc, n, pos = _flat(part)
+            yield key, {"doc": doc, "n": n, "pos": pos}
 
     def finish(key, part, shared, aside):
         at = np.arange(len(key)) if aside else np.flatnonzero(repeated(key, shared))
@@ -136,7 +137,7 @@ def _paired(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     """Pairs (a, b) whose sets pass ``test(n_a, keys_a, n_b, keys_b)``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "ka"):
             a, b, na, nb, ka, kb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ka", "kb"))
             ok = [test(w, np.frombuffer(x, np.uint64), z, np.frombuffer(y, np.uint64)) for w, x, z, y in zip(na, ka, nb, kb, strict=True)]
             at = [i for i, x in enumerate(ok) if x]

@@ -157,7 +157,7 @@ def _same(ka: bytes, kb: bytes) -> bool:
 
 def _verify(pairs: DataFrame, keys: DataFrame, tables: Tables, name: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "ka"):
             ok = pa.array([_same(x, y) for x, y in zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 

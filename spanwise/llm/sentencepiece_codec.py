@@ -20,7 +20,8 @@ from spanwise.llm.common import pieces
 from spanwise.llm.token_counts import share
 from spanwise.llm.unigram import LONG_WORD, Vocabulary, mark, units
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+ENCODE_BYTES = 1 << 20  # texts encoded together: their new words are held at once
 _coders: dict[int, Coder] = {}
 
 
@@ -90,31 +91,47 @@ def _coder(shared) -> Coder:
     return _coders[shared.id]
 
 
-def _added(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """docs with column ``name`` (replacing one of that name) from ``make(batch)``."""
-    docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+def _added(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
+    """docs with the new columns (replacing those of their names) from ``make(batch)``.  The words a
+    task has cached are let go at its end, as the Python process serves other operators next."""
+    names = [f.name for f in fields]
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *fields])
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], [*batch.schema.names, name])
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *names])
+        finally:
+            _coders.clear()
 
     return docs.mapInArrow(run, schema)
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its text (array<int>); null and empty texts have no ids."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", out_col: str = "ids",
+            check_col: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of its text (array<int>); null and empty texts have no ids.
+
+    ``check_col``: also decode the ids and add whether that gives the text back (a null text: '')."""
     shared = share(docs.sparkSession, vocabulary or Vocabulary.load())
 
     def make(batch):
-        coder, out = _coder(shared), []
-        for part in pieces([batch], text_col):
-            out += coder.encode(part.column(text_col).to_pylist())
+        coder, out, same = _coder(shared), [], []
+        for part in pieces([batch], text_col, ENCODE_BYTES):
+            texts = part.column(text_col).to_pylist()
+            ids = coder.encode(texts)
+            out += ids
+            if check_col:
+                same += [coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
         sizes = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
         values = np.concatenate(out) if out else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))
+        made = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))]
+        return [*made, pa.array(same, pa.bool_())] if check_col else made
 
-    return _added(docs, out_col, T.ArrayType(T.IntegerType()), make)
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType()))]
+    if check_col:
+        fields.append(T.StructField(check_col, T.BooleanType()))
+    return _added(docs, fields, make)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -126,6 +143,6 @@ def decoded(docs: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str
         coder, column = _coder(shared), batch.column(ids_col)
         flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
         valid = column.is_valid().to_pylist()
-        return pa.array([coder.decode(flat[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid, strict=False)], pa.string())
+        return [pa.array([coder.decode(flat[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid, strict=False)], pa.string())]
 
-    return _added(docs, out_col, T.StringType(), make)
+    return _added(docs, [T.StructField(out_col, T.StringType())], make)
