@@ -20,8 +20,8 @@ from spanwise.llm.common import pieces
 from spanwise.llm.token_counts import share
 from spanwise.llm.unigram import LONG_WORD, Vocabulary, mark, units
 
-CACHE_WORDS = 150_000
-ENCODE_BYTES = 1 << 20  # texts encoded together: their new words are held at once
+CACHE_WORDS = 400_000
+ENCODE_BYTES = 4 << 20  # texts encoded together: their new words are held at once
 _coders: dict[int, Coder] = {}
 
 
