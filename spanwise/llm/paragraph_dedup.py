@@ -1,15 +1,22 @@
 """Operator 4, substring dedup: paragraph MinHash banding with exact verification.
 
-Paragraphs are lines.  Lines of at least LINE_WORDS words get a MinHash signature of their distinct
-5-word shingles; BANDS bands of ROWS values are tuned for recall (a pair at Jaccard 0.75 collides in
-some band with probability 0.9986).  Colliding lines are joined, verified by exact Jaccard on whole
-shingle sets (0.75 or more) and clustered by connected components; the cluster's first line, by
-(doc_id, position), stays and the others are removals.
-
-A repeated passage need not fill a line, so lines are also cut at sentence ends, and a sentence that
-occurred before, word for word, is a removal candidate too (a sentence of fewer than CONTEXT words
-together with the words that follow it up to CONTEXT).  A run of consecutive candidates is
-removed if it has at least MIN_WORDS words; shorter repeats (stock phrases, short lines) stay.
+Paragraphs are lines, and hard-wrapped blocks: lines between blank lines that are short (fewer than
+LINE_WORDS words on average) or filled up to one width.  Paragraphs of at least LINE_WORDS words get
+a MinHash signature of their distinct 5-word shingles; BANDS bands of ROWS values are tuned for recall
+(a pair at Jaccard 0.75 collides in some band with probability 0.9986).  Colliding paragraphs are
+joined, verified by exact Jaccard on whole shingle sets (0.75 or more) and clustered by connected
+components; the cluster's first paragraph, by (doc_id, position), stays and the others are removed.
+
+A repeated passage need not fill a paragraph.  Every window of MIN_WORDS words that an earlier document
+has, wherever its sentences and lines end, is removed, so runs of equal words are cut at their full
+length; inside one document a window counts if its last occurrence before does not overlap it (text
+with a short period stays).  Only windows whose smallest hash of ANCHOR words occurs twice are
+compared: equal windows have equal ones, so nothing is lost.
+
+Lines are also cut at sentence ends, and a sentence that occurred before, word for word, is a removal
+candidate too (a sentence of fewer than CONTEXT words together with the words that follow it up to
+CONTEXT).  A run of consecutive candidates is removed if it has at least MIN_WORDS words; shorter
+repeats (stock phrases, short lines) stay.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ BANDS, ROWS = 12, 3
 LINE_WORDS = 20
 MIN_WORDS = 40
 CONTEXT = 8
+ANCHOR = 20  # words; a window of MIN_WORDS words holds MIN_WORDS - ANCHOR + 1 of them
 _rng = np.random.default_rng(4)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -51,17 +59,67 @@ class Units:
         self.seq = np.arange(len(self.first)) - self.text_first[self.text]
         self.line_end = np.flatnonzero(line) + 1
         self.line_first = np.concatenate(([0], self.line_end[:-1])) if len(self.line_end) else self.line_end
-
-    def long_lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and end word and hash of the lines that get a signature."""
-        keep = self.line_end - self.line_first >= LINE_WORDS
-        a, b = self.line_first[keep], self.line_end[keep]
+        self.offsets = word_offsets
+
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and end word of the hard-wrapped blocks of more than one line."""
+        w, first, end = self.words, self.line_first, self.line_end
+        if not len(first):
+            return first, end
+        newline = np.concatenate(([0], np.cumsum(w.buf == 10)))
+        after = np.concatenate((w.starts[end[:-1]], [len(w.buf)]))
+        last = (newline[after] - newline[w.ends[end - 1]] > 1) | np.isin(end, self.offsets)
+        b = np.flatnonzero(last) + 1  # line numbers
+        a = np.concatenate(([0], b[:-1]))
+        lines, words = b - a, end[b - 1] - first[a]
+        letters = np.concatenate(([0], np.cumsum((w.buf & 0xC0) != 0x80)))
+        width = letters[w.ends[end - 1]] - letters[w.starts[first]]
+        word = letters[w.ends[first]] - letters[w.starts[first]]
+        widest = np.maximum.reduceat(width, a)
+        full = last | (width + 1 + np.append(word[1:], 0) > np.repeat(widest, lines))
+        keep = (lines > 1) & ((words < LINE_WORDS * lines) | np.logical_and.reduceat(full, a))
+        return first[a[keep]], end[b[keep] - 1]
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end word and hash of the lines and blocks that get a signature."""
+        a, b = (np.concatenate(x) for x in zip((self.line_first, self.line_end), self._blocks(), strict=True))
+        keep = b - a >= LINE_WORDS
+        a, b = a[keep], b[keep]
         return a, b, self.words.run_hashes(a, b) ^ np.uint64(1)
 
+    def windows(self) -> np.ndarray:
+        """First words of all windows of MIN_WORDS words."""
+        left = np.repeat(self.offsets[1:], self.words.counts) - np.arange(self.offsets[-1])
+        return np.flatnonzero(left >= MIN_WORDS)
+
+    def window_hashes(self, first: np.ndarray) -> np.ndarray:
+        return self.words.run_hashes(first, first + MIN_WORDS) ^ np.uint64(2)
+
+    def anchors(self, first: np.ndarray) -> np.ndarray:
+        """Smallest hash of ANCHOR words inside each window."""
+        if not len(first):
+            return np.empty(0, np.uint64)
+        at = np.arange(self.offsets[-1] - ANCHOR + 1)
+        low, size, whole = self.words.run_hashes(at, at + ANCHOR), 1, MIN_WORDS - ANCHOR + 1
+        while size < whole:
+            step = min(size, whole - size)
+            low = np.minimum(low[:-step], low[step:])
+            size += step
+        return low[first]
+
+
+def _again(first: np.ndarray, key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Mask of the windows that their own text has before, the last time without overlap."""
+    order = np.lexsort((first, text, key))
+    f, k, t = first[order], key[order], text[order]
+    out = np.zeros(len(first), dtype=bool)
+    out[order[1:]] = (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (f[1:] - f[:-1] >= MIN_WORDS)
+    return out
+
 
 def _bands(units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and line hashes of all long lines (one entry per band)."""
-    a, b, line = units.long_lines()
+    """Band keys and hashes of all paragraphs (one entry per band)."""
+    a, b, line = units.paragraphs()
     if not len(a):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     grams = textgrams.combine(units.words.hashes)
@@ -86,7 +144,7 @@ def _rows(batch):
 
 
 def _keys(batch):
-    """Sentence rows (kind 0) and band rows (kind 1) of a batch."""
+    """Sentence rows (kind 0), band rows (kind 1) and anchors (kind 2, one that recurs twice) of a batch."""
     ids, texts = _rows(batch)
     for a, b in textgrams.slices(texts):
         u = Units(texts[a:b])
@@ -98,15 +156,21 @@ def _keys(batch):
             again[at] = False
         words = (u.end - u.first).astype(np.int32)
         bands, line = _bands(u)
-        yield (np.concatenate((key[~again], bands)),
-               {"kind": np.repeat(np.array([0, 1], np.int8), [int((~again).sum()), len(bands)]),
-                "doc": np.concatenate((doc[~again], line)), "seq": np.concatenate((seq[~again], np.zeros(len(bands), np.int32))),
-                "words": np.concatenate((words[~again], np.zeros(len(bands), np.int32)))})
+        at = u.windows()
+        anchor = u.anchors(at)
+        head = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))[: len(at)]
+        anchor, times = np.unique(anchor[head], return_counts=True)
+        anchor = np.repeat(anchor, np.minimum(times, 2))
+        rest = len(bands) + len(anchor)
+        yield (np.concatenate((key[~again], bands, anchor)),
+               {"kind": np.repeat(np.array([0, 1, 2], np.int8), [int((~again).sum()), len(bands), len(anchor)]),
+                "doc": np.concatenate((doc[~again], line, np.zeros(len(anchor), np.int64))), "seq": np.concatenate((seq[~again], np.zeros(rest, np.int32))),
+                "words": np.concatenate((words[~again], np.zeros(rest, np.int32)))})
 
 
 def _repeats(key, part, shared, aside):
-    """Rows of repeated keys: sentences after their first occurrence, all lines of a band."""
-    keep = np.ones(len(key), dtype=bool) if aside else repeated(key, shared)
+    """Rows of repeated keys: sentences after their first occurrence, all paragraphs of a band, an anchor once."""
+    keep = part["kind"] != 2 if aside else repeated(key, shared)
     if not aside:
         order = np.lexsort((part["seq"], part["doc"], key))
         key, keep = key[order], keep[order]
@@ -114,39 +178,72 @@ def _repeats(key, part, shared, aside):
         head = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
         at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
         first = (part["doc"] == part["doc"][at]) & (part["seq"] == part["seq"][at])
-        keep &= ~(first & (part["kind"] == 0))
+        keep &= ~(first & (part["kind"] == 0)) & (head | (part["kind"] != 2))
     at = np.flatnonzero(keep)
     for at in np.array_split(at, max(1, len(at) // 100_000)):
         yield pa.RecordBatch.from_arrays(
             [pa.array(x[at]) for x in (part["kind"], key.view(np.int64), part["doc"], part["seq"], part["words"])], ["kind", "h", "doc", "seq", "words"])
 
 
+def _windows(docs: DataFrame, bloom, buckets: int) -> DataFrame:
+    """(doc, seq, h): windows that an earlier document has (seq -1), documents with a window of their own again (seq -2)."""
+
+    def make(batch):
+        for piece in pieces([batch]):
+            ids, texts = _rows(piece)
+            for a, b in textgrams.slices(texts):
+                u = Units(texts[a:b])
+                at = u.windows()
+                at = at[bloom_has(bloom.value, u.anchors(at))]
+                text = np.searchsorted(u.offsets, at, side="right") - 1
+                doc, key = ids[a:b][text], u.window_hashes(at)
+                own = np.unique(doc[_again(at, key, text)])
+                order = np.lexsort((doc, key))
+                doc, key = doc[order], key[order]
+                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))[: len(doc)]
+                doc, key = doc[new], key[new]
+                yield (np.concatenate((key, textgrams.mix(own.view(np.uint64)) ^ np.uint64(3))),
+                       {"doc": np.concatenate((doc, own)), "own": np.repeat(np.array([False, True]), [len(doc), len(own)])})
+
+    def finish(key, part, shared, aside):
+        doc, own = part["doc"], part["own"]
+        keep = np.ones(len(key), dtype=bool)
+        if not aside:
+            order = np.lexsort((doc, key))
+            key, doc, own = key[order], doc[order], own[order]
+            head = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+            keep = own | (doc != doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))])
+        at = np.flatnonzero(keep)
+        for at in np.array_split(at, max(1, len(at) // 100_000)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[at]), pa.array(np.where(own[at], -2, -1).astype(np.int32)), pa.array(np.where(own[at], 0, key.view(np.int64)[at]))], ["doc", "seq", "h"])
+
+    return in_blocks(docs, make, {"doc": np.int64, "own": bool}, buckets, finish, "doc long, seq int, h long")
+
+
 def _line_rows(docs: DataFrame, bloom) -> DataFrame:
-    """Occurrences of the lines whose hash passes the filter: (line, doc, units, n, keys)."""
-    unit = pa.struct([("seq", pa.int32()), ("h", pa.int64()), ("words", pa.int32())])
+    """Occurrences of the paragraphs whose hash passes the filter: (line, doc, seq, last, keys), first and last unit."""
 
     def run(batches):
         for batch in pieces(batches):
             ids, texts = _rows(batch)
             for s, e in textgrams.slices(texts):
                 u = Units(texts[s:e])
-                first, end, line = u.long_lines()
+                first, end, line = u.paragraphs()
                 hit = bloom_has(bloom.value, line)
                 first, end, line = first[hit], end[hit], line[hit]
                 if not len(line):
                     continue
                 grams = textgrams.combine(u.words.hashes)
-                rows: dict[str, list] = {"line": line.view(np.int64).tolist(), "doc": [], "units": [], "keys": []}
-                known: set[int] = set()
-                for a, b, x in zip(first.tolist(), end.tolist(), rows["line"], strict=True):
-                    i, j = np.searchsorted(u.first, (a, b))
-                    rows["doc"].append(int(ids[s + u.text[i]]))
-                    rows["units"].append([{"seq": int(q), "h": int(h), "words": int(w)} for q, h, w in zip(u.seq[i:j], u.hash[i:j].view(np.int64), (u.end - u.first)[i:j], strict=True)])
-                    rows["keys"].append(None if x in known else np.unique(grams[a : b - textgrams.WORDS + 1]).tobytes())
-                    known.add(x)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("line", pa.int64()), ("doc", pa.int64()), ("units", pa.list_(unit)), ("keys", pa.binary())]))
+                i, j = np.searchsorted(u.first, first), np.searchsorted(u.first, end) - 1
+                new = np.zeros(len(line), dtype=bool)
+                new[np.unique(line, return_index=True)[1]] = True
+                keys = [np.unique(grams[a : b - textgrams.WORDS + 1]).tobytes() if n else None for a, b, n in zip(first.tolist(), end.tolist(), new.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line.view(np.int64)), pa.array(ids[s:e][u.text[i]]), pa.array(u.seq[i].astype(np.int32)), pa.array(u.seq[j].astype(np.int32)), pa.array(keys, pa.binary())],
+                    ["line", "doc", "seq", "last", "keys"])
 
-    return docs.mapInArrow(run, "line long, doc long, units array<struct<seq:int,h:long,words:int>>, keys binary")
+    return docs.mapInArrow(run, "line long, doc long, seq int, last int, keys binary")
 
 
 def _same(ka: bytes, kb: bytes) -> bool:
@@ -166,7 +263,8 @@ def _verify(pairs: DataFrame, keys: DataFrame, tables: Tables, name: str) -> Dat
 
 
 def removals(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(doc, units): per document the candidate sentences, where they reach MIN_WORDS words."""
+    """(doc, units): per document the candidates (seq, h), where they reach MIN_WORDS words: sentences by
+    number, windows (-1), a mark for windows of its own (-2), paragraphs to remove by their first sentence (-3 - seq)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     types = {"kind": np.int8, "doc": np.int64, "seq": np.int32, "words": np.int32}
@@ -181,28 +279,47 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     sets = keys.select(F.col("line").alias("doc"), "keys")
     clusters = linked_components(lists, lambda pairs, name: _verify(pairs, keys, tables, name), tables, sets=sets)
     member = lines.drop("keys").join(clusters.select(F.col("node").alias("line"), "component"), "line")
-    first = member.groupBy("component").agg(F.min(F.struct("doc", F.col("units")[0]["seq"].alias("seq"))).alias("kept"))
-    near = member.join(first, "component").where("doc <> kept.doc or units[0].seq <> kept.seq")
-    near = near.select("doc", F.explode("units").alias("x")).select("doc", "x.*")
+    first = member.groupBy("component").agg(F.min(F.struct("doc", "seq", (-F.col("last")).alias("last"))).alias("kept"))
+    near = member.join(first, "component").where("doc <> kept.doc or seq > -kept.last")  # a block and its lines do not remove each other
+    near = near.select("doc", (F.lit(-3) - F.col("seq")).alias("seq"), F.col("line").alias("h"), F.lit(MIN_WORDS).alias("words"))
     exact = rows.where("kind = 0").select("doc", "seq", "h", "words")
-    every = exact.unionByName(near).distinct()
+    twice = spark.sparkContext.broadcast(bloom_build(rows.where("kind = 2"), "h"))
+    windows = tables.store(_windows(docs, twice, buckets), "windows")
+    every = exact.unionByName(near).unionByName(windows.withColumn("words", F.lit(MIN_WORDS))).distinct()
     out = every.groupBy("doc").agg(F.collect_list(F.struct("seq", "h")).alias("units"), F.sum("words").alias("words"))
     out = tables.store(out.where(F.col("words") >= MIN_WORDS).select("doc", "units"), "removals")
-    tables.free("repeats", "bands", "lists", "lines", "keys")
+    tables.free("repeats", "bands", "lists", "lines", "keys", "windows")
     return out
 
 
 def cut(text: bytes, candidates: set[tuple[int, int]]) -> tuple[str, list[str], int]:
-    """The text without its runs of candidates of MIN_WORDS words or more, those runs, their words."""
+    """The text without its runs of candidates of MIN_WORDS words or more and its near copies of
+    paragraphs, what was cut out, its words."""
     u = Units([text])
     hit = np.fromiter(((q, h) in candidates for q, h in enumerate(u.hash.view(np.int64).tolist())), dtype=bool, count=len(u.hash))
+    hit = np.repeat(hit, u.end - u.first)
+    first = u.windows()
+    key = u.window_hashes(first)
+    late = np.isin(key.view(np.int64), np.array([h for q, h in candidates if q == -1], dtype=np.int64))
+    first = first[late | _again(first, key, np.zeros(len(first), np.int64))]
+    depth = np.zeros(len(hit) + 1, dtype=np.int64)
+    depth[first] += 1
+    depth[first + MIN_WORDS] -= 1
+    hit |= np.cumsum(depth)[:-1] > 0
+    near = np.zeros(len(hit), dtype=bool)
+    for a, b, h in zip(*(x.tolist() for x in (a.view(np.int64) for a in u.paragraphs())), strict=True):
+        if (-3 - int(u.seq[np.searchsorted(u.first, a)]), h) in candidates:
+            near[a:b] = True
+    hit |= near
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    for i, j in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        if j - i < MIN_WORDS:
+            hit[i:j] = near[i:j]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
     kept, gone, words, at = [], [], 0, 0
     for i, j in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-        size = int(u.end[j - 1] - u.first[i])
-        if size < MIN_WORDS:
-            continue
-        start, end = int(u.words.starts[u.first[i]]), int(u.words.ends[u.end[j - 1] - 1])
+        size = j - i
+        start, end = int(u.words.starts[i]), int(u.words.ends[j - 1])
         gone.append(text[start:end].decode())
         words += size
         kept.append(text[at:start])

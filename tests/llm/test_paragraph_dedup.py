@@ -139,3 +139,68 @@ def test_whole_copies_become_empty(spark):
     passage = prose(random.Random(2), 80)
     df = spark.createDataFrame([(i, passage) for i in range(6)], "doc_id long, text string")
     assert {r.doc_id: (r.text, r.removed_words) for r in drop_repeats(df).collect()} == {0: (passage, 0), **{i: ("", 80) for i in range(1, 6)}}
+
+
+def plain(rng, words):
+    return [f"v{rng.randrange(10**6)}" for _ in range(words)]
+
+
+def earlier_windows(texts):
+    """Per text the words inside a window of MIN_WORDS words that an earlier text has."""
+    seen, out = set(), []
+    for t in texts:
+        w = WORD.findall(t.translate(LOWER))
+        windows = [tuple(w[i : i + MIN_WORDS]) for i in range(len(w) - MIN_WORDS + 1)]
+        out.append(len({k for i, x in enumerate(windows) if x in seen for k in range(i, i + MIN_WORDS)}))
+        seen.update(windows)
+    return out
+
+
+def test_passages_inside_sentences(spark):
+    rng = random.Random(11)
+    shared = [plain(rng, n) for n in (39, 40, 52, 90, 150)]
+    texts = []
+    for k in range(30):
+        words = plain(rng, rng.randrange(15))
+        for p in rng.sample(shared, 2):
+            words += p + plain(rng, rng.randrange(60, 90))  # no near copies
+        if k % 3 == 0:  # sentence ends that differ between the copies
+            words[rng.randrange(len(words))] += "."
+        texts.append((" " if k % 2 else "\n" if k % 5 else "  ").join(words))
+    want = earlier_windows(texts)
+    got = {r.doc_id: r.removed_words for r in drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(want) > 1000
+    assert got == dict(enumerate(want))
+
+
+def test_a_passage_twice_in_one_text(spark):
+    rng = random.Random(12)
+    p, x, y = plain(rng, 60), plain(rng, 30), plain(rng, 30)
+    (row,) = drop_repeats(spark.createDataFrame([(1, " ".join(x + p + y + p + x))], "doc_id long, text string")).collect()
+    assert row.removed == [" ".join(p)] and row.text == " ".join(x + p + y + x)
+
+
+def wrap(words, n):
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_wrapped_paragraphs_and_short_paragraphs(spark):
+    rng = random.Random(13)
+    p, short = plain(rng, 120), plain(rng, 28)
+    edited = [f"x{i}" if i in (30, 60, 90) else w for i, w in enumerate(p)]  # no 40 equal words in a row
+    other = [*short[:14], "edited", *short[15:]]
+    own = [wrap(plain(rng, 70), 11) for _ in range(5)]
+    rows = [(0, f"{own[0]}\n\n{wrap(p, 12)}\n\n{' '.join(short)}"), (1, f"{own[1]}\n\n{wrap(edited, 12)}"), (2, f"{wrap(edited, 14)}\n \n{own[2]}"),
+            (3, f"{own[3]}\n{' '.join([*short, 'more'])}\n{own[3][:20]}"), (4, f"{wrap(other, 10)}\n\n{own[4]}")]
+    got = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].removed_words == 0
+    assert got[1].removed == [wrap(edited, 12)] and got[1].text.strip() == own[1]
+    assert got[2].removed == [wrap(edited, 14)] and got[2].text.strip() == own[2]
+    assert got[3].removed == [" ".join([*short, "more"])]
+    assert got[4].removed_words == 0  # Jaccard under 0.75: one of 28 words differs
+
+
+def test_a_block_does_not_remove_its_own_line(spark):
+    rng = random.Random(14)
+    text = "a b\n" + " ".join(plain(rng, 30)) + "\nc d\ne f"
+    assert [r.removed_words for r in drop_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [0]
