@@ -112,8 +112,10 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     has = F.lit(False)
     for a in ANCHORS:
         has = has | F.contains(low, F.lit(a))
-    ends = F.regexp_replace(text, "([.!?;:])[ \t]+", "$1\n")
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n[ \t#*/;-]*\n", ".\n\n"), "([^\n])\n([^\n])", "$1 $2"), "([.!?;:])[ \t]+", "$1\n")
+    tag = lambda c: F.regexp_replace(c, "(?i)(SPDX-License-Identifier)[ \t]*:[ \t]*", "\n$1 ")  # noqa: E731 - a sentence starts at the tag, its colon ends none
+    ends = F.regexp_replace(tag(text), "([.!?;:])[ \t]+", "$1\n")
+    joined = F.regexp_replace(F.regexp_replace(text, "\n[ \t#*/;-]*\n", ".\n\n"), "([^\n])\n([^\n])", "$1 $2")
+    joined = F.regexp_replace(tag(joined), "([.!?;:])[ \t]+", "$1\n")
     (ids, one), (_, two) = _found(ends), _found(joined)
     none = F.array().cast("array<string>")
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(has, F.struct(ids.alias("ids"), F.array_sort(F.array_distinct(F.concat(one, two))).alias("licences"))).alias("f"))

@@ -72,3 +72,14 @@ def test_tables_and_edges(spark):
     df = spark.createDataFrame([(None, "Released under the MIT License."), (1, "x"), (1, "x")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_licences) for r in scan.scanned(df).collect()) == [("1", 0), ("1", 0), ("None", 1)]
     assert scan.scanned(df.limit(0)).count() == 0
+
+
+def test_spdx_tags(spark):
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0-only", "GPL-3.0-or-later": "GPL-3.0-or-later",
+            "GPL-2.0-only": "GPL-2.0-only", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause"}
+    forms = ("SPDX-License-Identifier: {}", "// spdx-license-identifier: {}\n// Copyright: someone", "#!/bin/sh\n# SPDX-License-Identifier:\t{}\nls",
+             "/* Copyright 2020 X, SPDX-License-Identifier : {} */", "SPDX-License-Identifier:{}")
+    texts = [(f.format(t), name) for f in forms for t, name in tags.items()]
+    got = {r.doc_id: list(r.licences) for r in scan.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (t, name) in enumerate(texts):
+        assert got[i] == [name], t
