@@ -23,11 +23,14 @@ COLUMN_WIDTH = 40  # cells are padded up to this width; longer ones are whole, o
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math meta link base area param source track".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas meta link base area param source track".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr menu dir".split())
 BLOCKS = CLOSES_P | SPACED | frozenset("html body caption tr thead tbody tfoot td th legend optgroup option select".split())
+CLOSERS = BLOCKS | frozenset("template noscript object svg math foreignobject".split())  # the last ones are no blocks, but their end closes the blocks in them
 SCOPE = frozenset("html table td th caption button object template".split())
+HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head html body".split())
+DRAWN = frozenset("svg a g switch text foreignobject".split())  # elements of a drawing that show what is in them
 CELLS, SECTIONS = ("td", "th"), ("thead", "tbody", "tfoot")
 
 _TAG = re.compile(
@@ -76,13 +79,18 @@ def parse(html: str) -> Node:
         else:
             too_deep[tag] = too_deep.get(tag, 0) + 1
 
+    def said(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\r\n\f"):
+            stack.pop()
+        stack[-1].children.append(text)
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            stack[-1].children.append(unescape(html[at:]))
+            said(unescape(html[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            said(unescape(html[at : m.start()]))
         at = m.end()
         if m["start"]:
             tag = m["start"].lower()
@@ -91,6 +99,10 @@ def parse(html: str) -> Node:
                 if m["attrs"].strip() and not root.raw and tag == "body":
                     root.raw = m["attrs"]
                 continue
+            if tag == "head" and (len(stack) > 1 or any(c.strip(" \t\r\n\f") if isinstance(c, str) else True for c in root.children)):
+                continue  # a head comes first and once
+            if stack[-1].tag == "head" and tag not in HEAD:
+                stack.pop()
             if tag in CLOSES_P:
                 close(("p",), SCOPE)
             if tag == "li":
@@ -132,7 +144,9 @@ def parse(html: str) -> Node:
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
-                if stack[k].tag in BLOCKS and tag not in BLOCKS or stack[k].tag in ("table", *CELLS) and tag not in ("table", "tr", *SECTIONS):
+                if tag == "template":
+                    continue
+                if stack[k].tag in BLOCKS and tag not in CLOSERS or stack[k].tag in ("table", *CELLS) and tag not in ("table", "tr", *SECTIONS):
                     break  # an inline end tag does not close blocks, nor anything a table's cell
     return root
 
@@ -288,10 +302,27 @@ def _children(node: Node, page: _Page, pre: int) -> None:
         elif tag == "input":
             value = child.attributes().get("value", "")
             page.text(f" {value} ")
+        elif tag == "svg":
+            _drawing(child, page, pre)
+        elif tag == "annotation" or tag == "annotation-xml":
+            continue  # of a formula: another notation for programs
         else:
             _children(child, page, pre)
 
 
+def _drawing(node: Node, page: _Page, pre: int) -> None:
+    """The labels of a drawing: what its text and foreignObject elements hold, each apart from the others."""
+    for child in node.children:
+        if isinstance(child, str) or not _shown(child) or child.tag not in DRAWN:
+            continue
+        if child.tag in ("text", "foreignobject"):
+            page.space = True
+            _children(child, page, pre)
+            page.space = True
+        else:
+            _drawing(child, page, pre)
+
+
 def visible_text(html: str | None) -> str:
     """All text a reader would see; null and empty pages give ''."""
     if not html:

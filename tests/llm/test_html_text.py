@@ -73,3 +73,22 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     got = sorted(((r.page_id, r.text) for r in rendered(df).collect()), key=str)
     assert got == sorted([(1, "a"), (1, "a"), (None, "b"), (2, ""), (3, "")], key=str)
     assert rendered(df.limit(0)).count() == 0
+
+
+MORE_CASES = [
+    ("<head><title>t</title><p>whole article", "whole article"),
+    ("<!DOCTYPE html><html><head>\n<meta charset=utf-8><title>t</title>\n<style>s</style>\nplain <b>text</b>", "plain text"),
+    ("<head><script>no</script><noscript>no</noscript><template><p>no</template><link href=x><h1>T</h1>x", "T\n\nx"),
+    ("<head><title>t</title></head><p>a<head><p>b", "a\n\nb"),
+    ("<p>a<head><p>b", "a\n\nb"),
+    ("<html><head></html>late", "late"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs> no <g><text>North <tspan>Sea</tspan></text></g><text>12 km</text></svg>b", "a North Sea 12 km b"),
+    ("<svg><foreignObject><p>x</p></foreignObject><path d=x /></svg>", "x"),
+    ("<math><mi>x</mi><mo>=</mo><semantics><mn>2</mn><annotation>no</annotation><annotation-xml>no</annotation-xml></semantics></math>", "x=2"),
+    ("<object data=x><param name=a value=no><p>fallback</object>", "fallback"),
+]
+
+
+@pytest.mark.parametrize("html, text", MORE_CASES)
+def test_implied_end_of_head_and_embedded_text(html, text):
+    assert visible_text(html) == text
