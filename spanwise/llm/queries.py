@@ -12,6 +12,7 @@ from spanwise.llm import (
     html_text,
     language_id,
     license_scan,
+    merkle,
     ngram_join,
     paragraph_dedup,
     pivot_index,
@@ -81,10 +82,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered copy folds to."""
+    return merkle.verified_copy(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_license_scan, op3_token_counts, op4_substring_dedup, op5_pivot_dedup, op6_language_id,
-              op7_sentencepiece, op8_ngram_jaccard, op9_token_files, op10_decontamination)
+              op7_sentencepiece, op8_ngram_jaccard, op9_token_files, op10_decontamination, op11_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     walk(id, pos) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.pos = links.a)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
     FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(pos) AS component_id FROM walk GROUP BY id) c ON c.id = d.doc_id""",
+    "op11_merkle": merkle.oracle(),
 }
