@@ -16,9 +16,11 @@ from spanwise.llm import (
     ngram_join,
     paragraph_dedup,
     pivot_index,
+    quality_fm,
     sentencepiece_codec,
     token_counts,
     token_files,
+    whitening,
 )
 from spanwise.llm.common import Tables
 
@@ -87,10 +89,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_copy(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_fm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every vector."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_license_scan, op3_token_counts, op4_substring_dedup, op5_pivot_dedup, op6_language_id,
-              op7_sentencepiece, op8_ngram_jaccard, op9_token_files, op10_decontamination, op11_merkle)
+              op7_sentencepiece, op8_ngram_jaccard, op9_token_files, op10_decontamination, op11_merkle,
+              op12_quality, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
