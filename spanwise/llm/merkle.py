@@ -65,11 +65,12 @@ _FLANKS = """if(size(__levels) < 2, cast(array() as array<struct<l: string, r: s
 FOLD = "aggregate({flanks}, {start}, (acc, f) -> sha2(concat(f.l, acc, f.r), 256))"
 
 
-def trees(nodes: DataFrame, carried: list[str], tables: Tables, name: str = "round0", block: int = BLOCK) -> DataFrame:
+def trees(nodes: DataFrame, carried: list[str], tables: Tables, name: str = "round0", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Climb from ranked nodes (key, pos, n, digest, carried...) to the root of each key.
 
     Returns per node: key, pos, digest, carried..., ``flanks`` (array of what stands left and right of
-    the path, from the node up) and ``top`` (the key's root; a lone node itself)."""
+    the path, from the node up) and ``top`` (the key's root; a lone node itself); and per key: key, top.
+    Only the blocks are stored, the nodes' paths are cut from them as they are read."""
     if block < 2 or block & (block - 1):
         raise ValueError("block must be a power of two")
     depth = block.bit_length() - 1
@@ -83,7 +84,7 @@ def trees(nodes: DataFrame, carried: list[str], tables: Tables, name: str = "rou
     root = F.element_at("__levels", -1)
     if (blocks.agg(F.max("__n")).first()[0] or 0) > block:
         above = blocks.select("key", F.col("__block").alias("pos"), F.expr(f"(__n + {block - 1}) div {block}").alias("n"), root.alias("digest"))
-        above = trees(above, [], tables, f"{name}-up", block).select(
+        above = trees(above, [], tables, f"{name}-up", block)[0].select(
             F.col("key"), F.col("pos").alias("__block"), F.col("flanks").alias("__above"), "top")
         blocks = blocks.join(above, ["key", "__block"])
     else:
@@ -91,8 +92,9 @@ def trees(nodes: DataFrame, carried: list[str], tables: Tables, name: str = "rou
         blocks = blocks.withColumns({"__above": none, "top": root})
     out = blocks.select("key", "__levels", "__above", "top", F.explode("__members").alias("__m"))
     out = out.withColumn("__i", F.expr(f"cast(__m.pos % {block} as int)"))
-    return out.select("key", "__m.pos", "__m.digest", *[f"__m.{c}" for c in carried],
-                      F.concat(F.expr(_FLANKS), "__above").alias("flanks"), "top")
+    paths = out.select("key", "__m.pos", "__m.digest", *[f"__m.{c}" for c in carried],
+                       F.concat(F.expr(_FLANKS), "__above").alias("flanks"), "top")
+    return paths, blocks.where("__block = 0").select("key", "top")
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", part_col: str = "lang",
@@ -112,10 +114,9 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     part = F.col(f"`{part_col}`").cast("string")
     leaves = docs.select(F.coalesce(F.concat(F.lit("v"), part), F.lit("n")).alias("key"), F.col(f"`{id_col}`").alias("doc_id"),
                          leaf.alias("digest"), other.alias("other"))
-    rows = trees(ranked(leaves, ["doc_id", "digest"], tables, "leaves"), ["doc_id", "other"], tables, "leaf-blocks", block)
-    rows = tables.store(rows, "paths")
-    tops = rows.where("pos = 0").select(F.lit("").alias("key"), F.col("key").alias("part"), F.col("top").alias("digest"))
-    tops = trees(ranked(tops, ["part"], tables, "tops"), ["part"], tables, "top-blocks", block).select(
+    rows, tops = trees(ranked(leaves, ["doc_id", "digest"], tables, "leaves"), ["doc_id", "other"], tables, "leaf-blocks", block)
+    tops = tops.select(F.lit("").alias("key"), F.col("key").alias("part"), F.col("top").alias("digest"))
+    tops = trees(ranked(tops, ["part"], tables, "tops"), ["part"], tables, "top-blocks", block)[0].select(
         F.col("part").alias("key"), F.col("flanks").alias("__upper"), F.col("top").alias("root"))
     out = rows.join(tops, "key").withColumn("siblings", F.concat("flanks", "__upper"))
     proof = F.sha2(F.array_join(F.transform("siblings", lambda f: F.concat(f["l"], f["r"])), ""), 256)
