@@ -174,7 +174,7 @@ def numbers(column: pa.Array) -> np.ndarray:
 def train(rows: DataFrame, rounds: int = ROUNDS, tasks: int = TASKS) -> Machine | None:
     """Fit on stored feature rows; None without rows.  Each round is one job over the rows."""
     spark = rows.sparkSession
-    spread = Tables(spark, "quality").store(rows.repartition(tasks, F.xxhash64("index", "label")), "rows")
+    spread = Tables(spark, "quality").store(rows.repartition(tasks), "rows")
     machine = Machine.start()
     params = np.concatenate((machine.linear[:, None], machine.factors), axis=1)
     bias, first, second = 0.0, np.zeros(params.size + 1), np.zeros(params.size + 1)
