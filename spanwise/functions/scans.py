@@ -1,4 +1,4 @@
-"""Two-level running aggregates (prefix sums / maxima) without a single-partition window.
+"""Two-level running aggregates (prefix sums / maxima) and exact ranks without a single-partition window.
 
 A running aggregate over rows ordered within ``keys`` is computed as
 ``local running value inside (keys, bucket)`` combined with ``the aggregate of all
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.functions.stored import write_table
+
 _UNB = Window.unboundedPreceding
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -61,3 +63,28 @@ def next_in_order(df: DataFrame, keys: list[str], bucket: str, order_col: str, c
     for c in cols:
         out = out.withColumn(f"_next_{c}", F.coalesce(F.col(f"_next_{c}"), F.col("_nf")[c]))
     return out.drop("_nf")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, out: str, name: str = "ranked") -> DataFrame:
+    """Add ``out`` = exact row number (from 1) within ``keys`` by ``order``, by range splitters.
+
+    Rows are range partitioned on the full sort key (sampled splitters), sorted and numbered
+    where they lie; a range's numbers are shifted by the counts of the ranges before it (one row per key
+    and range).  Rows that tie in everything are split between ranges by their place in the input, so no
+    key, bucket or tie is ever sorted in one task.  The sorted rows are written once: the numbers are read back
+    with the rows they belong to, whatever is recomputed later.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col(k).asc() for k in keys] + order + [F.col("_tie").asc()]
+    lying = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie")
+    lying = write_table(lying.withColumn("_at", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = lying.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min(row).alias("_first"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(_UNB, -1)), F.lit(0))
+    shift = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+                          (before - F.col("_first") + 1).alias("_shift"))
+    same = part == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return lying.join(shift, same).select(*df.columns, (row + F.col("_shift")).alias(out))

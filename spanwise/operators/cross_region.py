@@ -2,25 +2,27 @@
 
 None of these uses a range self-join or a global sort of raw rows:
 
-* windowed co-occurrence and wave candidates use a *cell* table — starts are
-  bucketed into cells as wide as the window, reduced to ``(region, cell) ->
-  min/max start`` and joined on cell ± 1, so the work is linear in starts x
-  active regions;
+* windowed co-occurrence uses a *cell* table — starts are bucketed into cells as
+  wide as the window, reduced to ``(region, cell) -> min/max start`` and joined on
+  cell ± 1, so the work is linear in starts x active regions;
+* wave candidates come from a running count of regions over begins and ends;
 * correlations work on per-day / per-hour count tables whose size is bounded by
   the time span, not by the row count;
-* the greedy wave chain is followed by pointer doubling from the head of every
-  cluster of candidates (log2 rounds of joins over a shrinking table), so no
-  cluster is ever collected into one task.
+* the greedy wave chain is composed from per-chunk transitions (entry state ->
+  exit state), in a fixed number of jobs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import timecols as tc
-from spanwise.functions.stored import drop_table, write_table
-from spanwise.operators.temporal import active_cells, series_bounds, with_scalars
+from spanwise.functions.scans import next_in_order, running
+from spanwise.functions.stored import write_table
+from spanwise.operators.temporal import active_cells, series_bounds
 
 _UNB = Window.unboundedPreceding
 SALTS = 8  # copies of a time cell's region table in the co-occurrence join
@@ -38,15 +40,17 @@ def _cell_stats(starts: DataFrame, cell_us: int) -> DataFrame:
     )
 
 
-def region_pairs(regions: DataFrame, col: str = "region") -> DataFrame:
-    """All ordered pairs of regions: the matrix index of C1-C3 (regions squared is the result's size).
+def pair_up(left: DataFrame, right: DataFrame, slices: int = 16) -> DataFrame:
+    """All pairs of rows of two dimension tables (regions, days): an equi-join on slices of the right one, so
+    neither a list nor the pairs pass through the driver."""
+    a = left.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    b = right.withColumn("_z", F.pmod(F.xxhash64(*right.columns), F.lit(slices)).cast("int"))
+    return a.join(b, "_z").drop("_z")
+
 
-    The distinct regions meet in one equi-join group per slice of the list, so neither the list
-    nor the pairs pass through the driver."""
-    slices = 16
-    a = regions.select(F.col(col).alias("region_a"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_z"))
-    b = regions.select(F.col(col).alias("region_b"), F.pmod(F.xxhash64(col), F.lit(slices)).cast("int").alias("_z"))
-    return a.join(b, "_z").select("region_a", "region_b")
+def region_pairs(regions: DataFrame, col: str = "region") -> DataFrame:
+    """All ordered pairs of regions: the matrix index of C1-C3 (regions squared is the result's size)."""
+    return pair_up(regions.select(F.col(col).alias("region_a")), regions.select(F.col(col).alias("region_b")))
 
 
 # ---- C1 -----------------------------------------------------------------------
@@ -208,9 +212,7 @@ def _daily_grid(df: DataFrame) -> DataFrame:
     """(date, region, n): dates with at least one start anywhere x regions present, zero-filled."""
     d = df.filter(F.col("region").isNotNull())
     counts = d.groupBy("date", "region").agg(F.count(F.lit(1)).alias("n"))
-    dates = d.select("date").distinct()
-    regs = d.agg(F.collect_set("region").alias("_regs"))  # region dimension, small
-    grid = with_scalars(dates, regs).select("date", F.explode("_regs").alias("region"))
+    grid = pair_up(d.select("region").distinct(), d.select("date").distinct())
     return grid.join(counts, ["date", "region"], "left").select(
         "date", "region", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("x")
     )
@@ -244,24 +246,38 @@ def rank_correlation(df: DataFrame, method: str = "spearman") -> DataFrame:
 
 
 def _kendall(g: DataFrame) -> DataFrame:
-    """tau-b from counts: days per pair of values (xa, xb) of two regions a < b, then concordant minus
-    discordant day pairs from these counts; the days themselves are never paired."""
+    """tau-b by counting inversions over dyadic rank blocks.
+
+    Days are counted per pair of ranks (ra, rb) of two regions a < b.  Two different ranks ra part at exactly
+    one bit: at that level they lie in the lower and the upper half of one block of ranks.  So per level the
+    days of a block's lower half are counted, in order of rb, by a prefix sum, and every entry of the upper half
+    reads off how many of them have a smaller and a larger rb: concordant minus discordant day pairs.
+    A cell is read once per level (log2 of a region's distinct values); cells and days are never paired.
+    """
+    w = Window.partitionBy("region")
+    g = g.withColumn("_r", F.dense_rank().over(w.orderBy("x")) - 1).withColumn("_m", F.max("_r").over(w))
     own = g.groupBy("region", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(
         ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2.0).alias("untied"))
-    a = g.select("date", F.col("region").alias("region_a"), F.col("x").alias("xa"))
-    b = g.select("date", F.col("region").alias("region_b"), F.col("x").alias("xb"))
-    cells = a.join(b, "date").filter(F.col("region_a") < F.col("region_b")).groupBy("region_a", "region_b", "xa", "xb").agg(
-        F.count(F.lit(1)).alias("c"))
-    x, y = cells.alias("x"), cells.alias("y")
-    pairs = x.join(y, ["region_a", "region_b"]).filter(F.col("x.xa") < F.col("y.xa"))
-    s = pairs.groupBy("region_a", "region_b").agg(
-        F.sum(F.col("x.c") * F.col("y.c") * F.signum(F.col("y.xb") - F.col("x.xb"))).alias("_s"))
+    a = g.select("date", F.col("region").alias("region_a"), F.col("_r").alias("ra"), F.col("_m").alias("_m"))
+    b = g.select("date", F.col("region").alias("region_b"), F.col("_r").alias("rb"))
+    cells = a.join(b, "date").filter((F.col("region_a") < F.col("region_b")) & (F.col("_m") > 0)).groupBy(
+        "region_a", "region_b", "_m", "ra", "rb").agg(F.count(F.lit(1)).alias("c"))
+    levels = F.explode(F.sequence(F.lit(0), F.length(F.bin("_m")) - 1))
+    split = cells.select("region_a", "region_b", "ra", "rb", "c", levels.alias("_l"))
+    block, upper_half = F.expr("shiftright(ra, _l + 1)"), F.expr("shiftright(ra, _l) % 2 = 1")
+    halves = split.groupBy("region_a", "region_b", "_l", block.alias("_block"), "rb").agg(
+        F.sum(F.when(~upper_half, F.col("c")).otherwise(0)).alias("c0"), F.sum(F.when(upper_half, F.col("c")).otherwise(0)).alias("c1"))
+    in_block = Window.partitionBy("region_a", "region_b", "_l", "_block")
+    below = F.sum("c0").over(in_block.orderBy("rb").rowsBetween(_UNB, 0)) - F.col("c0")
+    above = F.sum("c0").over(in_block) - below - F.col("c0")
+    s = halves.select("region_a", "region_b", (F.col("c1") * (below - above)).alias("_d")).groupBy("region_a", "region_b").agg(
+        F.sum("_d").alias("_s"))
     regs = own.select("region")
     upper = region_pairs(regs).filter(F.col("region_a") < F.col("region_b")).join(s, ["region_a", "region_b"], "left")
     upper = upper.join(own.select(F.col("region").alias("region_a"), F.col("untied").alias("_na")), "region_a").join(
         own.select(F.col("region").alias("region_b"), F.col("untied").alias("_nb")), "region_b")
     den = F.sqrt(F.col("_na") * F.col("_nb"))
-    value = F.bround(F.when(den > 0, F.coalesce("_s", F.lit(0.0)) / den), 3) + F.lit(0.0)
+    value = F.bround(F.when(den > 0, F.coalesce("_s", F.lit(0)) / den), 3) + F.lit(0.0)
     upper = upper.select("region_a", "region_b", value.alias("value"))
     both = upper.select(F.explode(F.array(
         F.struct("region_a", "region_b", "value"),
@@ -271,88 +287,105 @@ def _kendall(g: DataFrame) -> DataFrame:
 
 # ---- C4 -----------------------------------------------------------------------
 
-def wave_candidates(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0) -> DataFrame:
-    """Distinct start times T whose forward window [T, T + w] holds >= min_regions regions."""
-    w_us = int(round(window_hours * 3600 * 1_000_000))
-    s = _starts(df)
-    cells = _cell_stats(s, w_us)
-    times = s.select(F.col("_us").alias("_t")).distinct().withColumn(
-        "_cell", F.floor(F.col("_t") / F.lit(w_us)).cast("long"))
-    # region r has a start in [T, T + w] iff max_r(c) >= T or min_r(c + 1) <= T + w
-    same = cells.select("region", "_cell", F.col("_max").alias("_m"), F.lit(0).alias("_side"))
-    nxt = cells.select("region", (F.col("_cell") - 1).alias("_cell"), F.col("_min").alias("_m"), F.lit(1).alias("_side"))
-    both = same.unionByName(nxt)
-    ok = F.when(F.col("_side") == 0, F.col("_m") >= F.col("_t")).otherwise(F.col("_m") <= F.col("_t") + w_us)
-    cnt = (
-        times.join(both, "_cell").filter(ok)
-        .groupBy("_t").agg(F.countDistinct("region").alias("_nreg"))
-    )
-    return cnt.filter(F.col("_nreg") >= min_regions).select("_t")
-
-
-def _next_candidate(cands: DataFrame, w_us: int, chunk_us: int) -> DataFrame:
-    """next(T) = first candidate > T + w, as an as-of lookup in two levels (chunk window + carry)."""
-    targets = cands.select(F.col("_t").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_src"))
-    probes = cands.select((F.col("_t") + w_us).alias("_x"), F.lit(0).alias("_kind"), F.col("_t").alias("_src"))
-    stream = targets.unionByName(probes).withColumn("_c", F.floor(F.col("_x") / F.lit(chunk_us)).cast("long")) \
-        .repartition("_c")
-    # descending time, probes before targets at equal time: the earlier rows of a
-    # probe are exactly the targets strictly greater than it
-    w = Window.partitionBy("_c").orderBy(F.col("_x").desc(), F.col("_kind").asc()).rowsBetween(_UNB, -1)
-    nxt_local = stream.withColumn("_n", F.min(F.when(F.col("_kind") == 1, F.col("_x"))).over(w)).filter(
-        F.col("_kind") == 0)
-    chunk_min = stream.filter(F.col("_kind") == 1).groupBy("_c").agg(F.min("_x").alias("_cm"))
-    all_chunks = stream.select("_c").distinct().join(chunk_min, "_c", "left")
-    carry = all_chunks.select(
-        "_c", F.min("_cm").over(Window.orderBy(F.col("_c").desc()).rowsBetween(_UNB, -1)).alias("_carry")
-    )
-    return nxt_local.join(carry, "_c", "left").select(
-        F.col("_src").alias("_t"), F.coalesce(F.col("_n"), F.col("_carry")).alias("_next")
-    )
+CHUNK_WINDOWS = 2  # width of a chunk of the wave chain, in windows
+
+
+def _distinct_starts(df: DataFrame) -> DataFrame:
+    return _starts(df).groupBy("region", "_us").agg(F.first("started_at").alias("started_at"))
 
 
-def _heads(cands: DataFrame, w_us: int, chunk_us: int) -> DataFrame:
-    """Candidates without another one in the w before them: each is chosen, whatever came earlier."""
-    c = cands.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long"))
-    local = c.withColumn("_p", F.lag("_t").over(Window.partitionBy("_c").orderBy("_t")))
-    ends = c.groupBy("_c").agg(F.max("_t").alias("_last")).select(
-        "_c", F.lag("_last").over(Window.orderBy("_c")).alias("_carry"))  # one row per chunk of the span
-    prev = F.coalesce("_p", "_carry")
-    return local.join(ends, "_c").filter(prev.isNull() | (F.col("_t") - prev > w_us)).select("_t")
+def wave_candidates(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0) -> DataFrame:
+    """Distinct start times T whose forward window [T, T + w] holds >= min_regions regions.
+
+    A region with a start s is met from every T in [s - w, s]; of its starts in order, those at
+    most w apart make one such interval.  So a region's intervals begin and end at its gaps, and a running
+    sum over begins and ends, read at the start times, counts the regions: a few rows per gap, no
+    start x region rows.  Both scans run per chunk of time with a carry.
+    """
+    w_us = int(round(window_hours * 3600 * 1_000_000))
+    chunk = F.lit(max(w_us * 8, 86_400_000_000))
+    s = _starts(df).select("region", "_us").distinct().withColumn("_b", F.floor(F.col("_us") / chunk).cast("long"))
+    following = next_in_order(s, ["region"], "_b", "_us", ["_us"])
+    nxt = F.col("_next__us")
+    gaps = following.filter(nxt.isNull() | (nxt - F.col("_us") > w_us))
+    edges = gaps.select(F.explode(F.array(
+        F.struct((F.col("_us") + 1).alias("_x"), F.lit(-1).alias("_d")), F.struct((nxt - w_us).alias("_x"), F.lit(1).alias("_d")))).alias("_e"))
+    firsts = s.groupBy("region").agg(F.min("_us").alias("_us")).select((F.col("_us") - w_us).alias("_x"), F.lit(1).alias("_d"))
+    events = edges.select("_e._x", "_e._d").filter(F.col("_x").isNotNull()).unionByName(firsts).withColumn("_at", F.lit(0))
+    probes = s.select(F.col("_us").alias("_x"), F.lit(0).alias("_d"), F.lit(1).alias("_at"))
+    line = events.unionByName(probes).groupBy("_x").agg(F.sum("_d").alias("_d"), F.max("_at").alias("_at"))
+    line = line.withColumn("_b", F.floor(F.col("_x") / chunk).cast("long"))
+    counted = running(line, [], "_b", [F.asc("_x")], [("_n", "_d", "sum")])
+    return counted.filter((F.col("_at") == 1) & (F.col("_n") >= min_regions)).select(F.col("_x").alias("_t"))
+
+
+def _follow(t: np.ndarray, w_us: int) -> np.ndarray:
+    """Index of the first time after each time's window, len(t) where there is none."""
+    return np.searchsorted(t, t + w_us, side="right")
+
+
+def _transitions(w_us: int, chunk_us: int):
+    """Per chunk: where the chain leaves it, as a step function of the earliest time still allowed on entry.
+
+    A chain that enters at or before ``upto`` (and after the previous row's) next allows ``leave``; one that enters
+    after the last ``upto`` finds no candidate and passes through.  Entries lie in the first window only."""
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy())
+        chunk = int(pdf["_c"].iloc[0])
+        nxt, last = _follow(t, w_us), np.arange(len(t))
+        while (on := nxt[last] < len(t)).any():  # at most chunk / window + 1 rounds
+            last[on] = nxt[last[on]]
+        reached = np.concatenate(([True], t[:-1] < chunk * chunk_us + w_us))
+        upto, leave = t[reached], t[last[reached]] + w_us + 1
+        keep = np.concatenate((leave[1:] != leave[:-1], [True]))
+        return pd.DataFrame({"_c": chunk, "_upto": upto[keep], "_leave": leave[keep]})
+
+    return steps
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry state of every chunk, from the steps of all chunks in order."""
+    pdf = pdf.sort_values(["_c", "_upto"])
+    chunks, first = np.unique(pdf["_c"].to_numpy(), return_index=True)
+    upto, leave = pdf["_upto"].to_numpy(), pdf["_leave"].to_numpy()
+    enter, state = np.empty(len(chunks), dtype=np.int64), np.iinfo(np.int64).min
+    for k, (a, b) in enumerate(zip(first, [*first[1:], len(upto)], strict=True)):
+        enter[k] = state
+        at = a + int(np.searchsorted(upto[a:b], state))
+        state = leave[at] if at < b else state
+    return pd.DataFrame({"_c": chunks, "_enter": enter})
+
+
+def _picks(w_us: int):
+    def chosen(cands: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(cands["_t"].to_numpy())
+        nxt, out = _follow(t, w_us), []
+        at = int(np.searchsorted(t, entry["_enter"].iloc[0])) if len(t) else 0
+        while at < len(t):
+            out.append(t[at])
+            at = int(nxt[at])
+        return pd.DataFrame({"_t": np.array(out, dtype=np.int64)})
+
+    return chosen
 
 
 def greedy_chain(cands: DataFrame, w_us: int, chunk_us: int | None = None) -> DataFrame:
     """Selected wave starts: first candidate, then repeatedly the first candidate > last + w.
 
-    ``next`` is computed for every candidate (as-of lookup).  The head of every cluster (no
-    candidate in the w before it) is selected for certain, so all clusters start at once and
-    pointers that lead to a head are cut.  Pointer doubling then follows the chains: one
-    self-join a round squares the pointers and marks what the selected nodes reach.  A row that
-    is neither selected nor the target of a pointer can never be reached later and is dropped,
-    so the table shrinks as chains merge; rounds end when no pointer is left, after log2 of the
-    longest cluster's chain.  Each round's table is written to the shared folder.
+    The choice inside a chunk of time depends on what came before only through the earliest time still
+    allowed, which lies in the chunk's first window.  So each chunk is reduced to its transitions (entry
+    state -> exit state; chains merge, so they are few), these are composed once over the list of
+    chunks, and each chunk picks its waves from its own entry state.  A fixed number of jobs, whatever
+    the length of the chain.  A chunk's group holds the distinct candidate instants of two windows
+    (3,600 an hour at second resolution, however many rows start then); the composition
+    reads the transitions of the span's chunks, not rows of the data.
     """
-    chunk_us = chunk_us or max(w_us * 8, 86_400_000_000)
-    cands = write_table(cands, "wave-candidates")
-    heads = _heads(cands, w_us, chunk_us).select(F.col("_t").alias("_h"))
-    tab = _next_candidate(cands, w_us, chunk_us).join(heads, F.col("_next") == F.col("_h"), "left").select(
-        "_t", F.when(F.col("_h").isNull(), F.col("_next")).alias("_next"))
-    tab = tab.join(heads, F.col("_t") == F.col("_h"), "left").select("_t", "_next", F.col("_h").isNotNull().cast("int").alias("_in"))
-    tab = write_table(tab, "wave-chain")
-    while tab.agg(F.count("_next")).first()[0]:
-        targets = tab.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_to")).distinct()
-        live = tab.join(targets, F.col("_t") == F.col("_to"), "left").filter((F.col("_in") == 1) | F.col("_to").isNotNull()).drop("_to")
-        live = write_table(live, "wave-chain")
-        j = live.alias("x").join(live.alias("y"), F.col("x._next") == F.col("y._t"), "left")
-        keep = j.select(F.col("x._t").alias("_t"), F.col("y._next").alias("_next"), F.col("x._in").alias("_in"))
-        reached = j.filter((F.col("x._in") == 1) & F.col("y._t").isNotNull()).select(
-            F.col("y._t").alias("_t"), F.lit(None).cast("long").alias("_next"), F.lit(1).alias("_in"))
-        step = keep.unionByName(reached).groupBy("_t").agg(F.max("_next").alias("_next"), F.max("_in").alias("_in"))
-        step = write_table(step, "wave-chain")
-        drop_table(tab)
-        drop_table(live)
-        tab = step
-    return tab.filter(F.col("_in") == 1).select("_t")
+    chunk_us = chunk_us or CHUNK_WINDOWS * w_us
+    cands = write_table(cands.select("_t", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long").alias("_c")), "wave-candidates")
+    steps = cands.groupBy("_c").applyInPandas(_transitions(w_us, chunk_us), "_c long, _upto long, _leave long")
+    entries = steps.groupBy().applyInPandas(_compose, "_c long, _enter long")
+    return cands.groupBy("_c").cogroup(entries.groupBy("_c")).applyInPandas(_picks(w_us), "_t long")
 
 
 def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: str = "Europe/Kyiv") -> DataFrame:
@@ -364,7 +397,7 @@ def waves(df: DataFrame, min_regions: int = 5, window_hours: float = 3.0, tz: st
     over the wave table; waves lie more than the window apart, so it is bounded by the span.
     """
     w_us = int(round(window_hours * 3600 * 1_000_000))
-    s = _starts(df).withColumn("_cell", F.floor(F.col("_us") / F.lit(w_us)).cast("long"))
+    s = _distinct_starts(df).withColumn("_cell", F.floor(F.col("_us") / F.lit(w_us)).cast("long"))
     sel = greedy_chain(wave_candidates(df, min_regions, window_hours), w_us)
     sel = sel.select("_t", F.explode(F.array(
         F.floor(F.col("_t") / F.lit(w_us)).cast("long"), F.floor(F.col("_t") / F.lit(w_us)).cast("long") + 1

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.config import DOW_LONG, DOW_SHORT, Profile
-from spanwise.functions import timecols as tc
-from spanwise.functions.scans import running
+from spanwise.functions.scans import ranked
 from spanwise.operators.temporal import with_scalars
 
 
@@ -17,21 +16,18 @@ def timeline_sample(df: DataFrame, per_region: int | None = None, regions=None,
     in the data).  ``per_region`` keeps the longest so many of each region; nothing depends on the
     total number of rows.
 
-    The rank is a two-level running count (duration buckets inside a region, open episodes by day),
-    so a region with a third of all rows is not sorted in one task.
+    The rank comes from range splitters over (region, duration, start, end), so neither a region
+    with a third of all rows nor many equal durations are sorted in one task.
     """
     d = df.filter(F.col("region").isin(list(regions))) if regions else df
     latest = F.max(F.greatest("started_at", "finished_at")).alias("_latest")
-    d = with_scalars(d, d.agg(latest))
-    day = F.floor(tc.epoch_micros("started_at") / F.lit(86_400_000_000)).cast("long")
-    bucket = F.coalesce(F.floor("duration_min").cast("long"), F.lit(-1_000_000) - day)
-    d = d.withColumn("_b", bucket).withColumn("_one", F.lit(1).cast("long"))
-    order = [F.desc_nulls_last("duration_min"), F.asc("started_at")]
-    ranked = running(d, ["region"], "_b", order, [("rank_in_region", "_one", "sum")], descending=True)
+    d = with_scalars(d, d.agg(latest)).select("region", "started_at", "finished_at", "duration_min", "_latest")
+    order = [F.desc_nulls_last("duration_min"), F.asc("started_at"), F.asc_nulls_last("finished_at")]
+    ranks = ranked(d, ["region"], order, "rank_in_region", "timeline")
     if per_region is not None:
-        ranked = ranked.filter(F.col("rank_in_region") <= per_region)
+        ranks = ranks.filter(F.col("rank_in_region") <= per_region)
     now = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("_latest")
-    return ranked.select("region", "started_at", "finished_at", "duration_min", "rank_in_region",
+    return ranks.select("region", "started_at", "finished_at", "duration_min", "rank_in_region",
                          F.coalesce(F.col("finished_at"), now).alias("plot_end"))
 
 

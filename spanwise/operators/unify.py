@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import timecols as tc
-from spanwise.functions.scans import running
+from spanwise.functions.scans import ranked
 from spanwise.functions.stored import write_table
 
 DEFAULT_CHUNK_SECONDS = 3600
@@ -184,9 +184,8 @@ def with_uncovered(records: DataFrame, cap_seconds: int, key: str = "oblast",
     return base.unionByName(uncovered_fine(fine, base, cap_seconds, key, chunk_seconds))
 
 
-def in_start_order(eps: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
-    """Episodes with their ``position`` (from 1) by start, ties by region, then end (open last): a
-    two-level running count over time chunks, so no task sorts all rows."""
-    d = eps.withColumn("_b", tc.time_bucket("started_at", chunk_seconds)).withColumn("_one", F.lit(1).cast("long"))
+def in_start_order(eps: DataFrame) -> DataFrame:
+    """Episodes with their ``position`` (from 1) by start, ties by region, then end (open last), from
+    range splitters over all three: no task sorts a day, or an instant, of all regions."""
     order = [F.asc("started_at"), F.asc("region"), F.asc_nulls_last("finished_at")]
-    return running(d, [], "_b", order, [("position", "_one", "sum")]).drop("_b", "_one")
+    return ranked(eps, [], order, "position", "episodes-ordered")

@@ -626,7 +626,7 @@ LEFT JOIN cnt c ON c.region = e.region AND c.started_at = e.started_at AND c.fin
 LEFT JOIN tot t ON t.region = e.region""")
 def q_coverage(spark, sf_dir):
     eps = frame(spark, sf_dir).select("region", "started_at", "finished_at", "duration_min")
-    return coverage.episode_unit_coverage(units(spark, sf_dir), eps)
+    return coverage.episode_unit_coverage(units(spark, sf_dir), eps, disjoint=True)
 
 
 # ---- survival -----------------------------------------------------------------

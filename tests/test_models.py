@@ -297,3 +297,106 @@ def test_replaced_input_rebuilds_stored_tables(spark, tmp_path):
     assert before == input_version(spark, path)
     spark.range(5).write.mode("overwrite").parquet(path)
     assert before != input_version(spark, path)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_kendall_with_all_values_distinct(spark, seed):
+    """No two days of a region have one count: as many cells as days, every level of the rank blocks is used."""
+    rng = random.Random(850 + seed)
+    days = 23
+    counts = {r: rng.sample(range(1, 60), days) for r in "abc"}
+    counts["d"] = sorted(counts["a"])
+    rows = [(r, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), dt.date(2024, 1, 1) + dt.timedelta(days=d)) for r, c in counts.items() for d in range(days) for _ in range(c[d])]
+    df = spark.createDataFrame(rows, "region string, started_at timestamp_ntz, date date")
+    out = cross_region.rank_correlation(df, "kendall")
+    got = {(r.region_a, r.region_b): r.value for r in out.collect()}
+    for a in counts:
+        for b in counts:
+            x, y = counts[a], counts[b]
+            s = sum(1 if (x[i] - x[j]) * (y[i] - y[j]) > 0 else -1 for i in range(days) for j in range(i))
+            assert got[a, b] == pytest.approx(round(s / (days * (days - 1) / 2), 3), abs=1.1e-3)
+
+
+@pytest.mark.parametrize("chunk_minutes", [7, 60, 120, 1000, 100_000])
+def test_wave_chain_at_any_chunk_width(spark, chunk_minutes):
+    rng = random.Random(chunk_minutes)
+    times = sorted({rng.randint(0, 3000) for _ in range(250)} | {5000, 5060, 5061, 9000})
+    df = spark.createDataFrame([(t * 60_000_000,) for t in times], "_t long")
+    got = sorted(r._t // 60_000_000 for r in cross_region.greedy_chain(df, 60 * 60_000_000, chunk_minutes * 60_000_000).collect())
+    want = []
+    for t in times:
+        if not want or t > want[-1] + 60:
+            want.append(t)
+    assert got == want
+
+
+def test_wave_chain_without_candidates(spark):
+    assert cross_region.greedy_chain(spark.createDataFrame([], "_t long"), 1000).collect() == []
+
+
+def test_coverage_of_touching_and_empty_intervals(spark):
+    """Zero-length records and episodes, records that touch them, and reversed records."""
+    from spanwise.operators import coverage
+    units = [("u1", 0, 10), ("u1", 10, 20), ("u2", 10, 10), ("u3", 5, 15), ("u3", 6, 14), ("u4", 30, 25), ("u5", 2, 3), ("u5", 40, 41), (None, 0, 50)]
+    eps = [(10, 10), (0, 10), (10, 20), (4, 30), (4, 31), (24, 31), (3, 40), (2, 41), (15, 15), (10, 10)]
+    udf = spark.createDataFrame([("a", u, "raion", ts(s), ts(e)) for u, s, e in units],
+                                "region string, unit_name string, level string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    edf = spark.createDataFrame([("a", ts(s), ts(e)) for s, e in eps], "region string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    got = sorted((mins(r.started_at), mins(r.finished_at), r.unit_count) for r in coverage.episode_unit_coverage(udf, edf).collect())
+    assert got == sorted((s, e, len({u for u, us, ue in units if u and us < e and ue > s})) for s, e in eps)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_coverage_with_an_as_of_time(spark, seed):
+    from spanwise.operators import coverage
+    rng = random.Random(900 + seed)
+    units = [(rng.choice("ab"), rng.choice("uvwxyz"), s := rng.randint(0, 20_000), None if rng.random() < 0.3 else s + rng.randint(0, 400)) for _ in range(120)]
+    merged = model_merge([(r, s, e) for r, _, s, e in units])
+    now = 9_000
+    udf = spark.createDataFrame([(r, u, "raion", ts(s), ts(e)) for r, u, s, e in units],
+                                "region string, unit_name string, level string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    edf = spark.createDataFrame([(r, ts(s), ts(e)) for r, s, e in merged], "region string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    out = coverage.episode_unit_coverage(udf, edf, as_of=ts(now), disjoint=seed > 0)
+    got = sorted(((r.region, mins(r.started_at), mins(r.finished_at), r.unit_count) for r in out.collect()), key=key)
+
+    def count(r, s, e):
+        if e is None:
+            return len({u for rr, u, us, _ in units if rr == r and us >= s})
+        return len({u for rr, u, us, ue in units if rr == r and us < e and (now if ue is None else ue) > s})
+
+    assert [t[3] for t in got] == [count(*t[:3]) for t in sorted(merged, key=key)]
+
+
+def test_ranks_with_all_keys_tied(spark):
+    """Every row equal, or equal but for the key: ranks are 1..n, and the rows are spread over tasks."""
+    from spanwise.functions.scans import ranked
+    from pyspark.sql import functions as F
+    rows = spark.range(0, 4000, 1, 8).select(F.lit("a").alias("region"), F.lit(7.0).alias("x"))
+    out = ranked(rows, ["region"], [F.desc_nulls_last("x")], "n")
+    assert sorted(r.n for r in out.collect()) == list(range(1, 4001))
+    files = [str(n) for n in out.inputFiles()]
+    assert len(files) > 1 and max(spark.read.parquet(f).count() for f in files) < 3000
+    keyed = spark.createDataFrame([(k, v) for k in ("a", "b", None) for v in (3, None, 1, 1, 2)], "region string, x int")
+    got = {}
+    for r in ranked(keyed, ["region"], [F.desc_nulls_last("x")], "n").collect():
+        got.setdefault(r.region, []).append((r.n, r.x))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(1, 3), (2, 2), (3, 1), (4, 1), (5, None)] for k in ("a", "b", None)}
+    assert sorted(r.n for r in ranked(keyed, [], [F.asc("x")], "n").collect()) == list(range(1, 16))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_timeline_and_order_match_sorted_rows(spark, seed):
+    from spanwise.operators import shape
+    rng = random.Random(950 + seed)
+    rows = [(rng.choice(["a", "b", "c"]), rng.randint(0, 30), rng.choice([None, 5, 5, 40])) for _ in range(90)]
+    df = spark.createDataFrame([(r, ts(s), None if d is None else ts(s + d), None if d is None else float(d)) for r, s, d in rows],
+                               "region string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_min double")
+    got = sorted((r.region, r.rank_in_region, mins(r.started_at), r.duration_min) for r in shape.timeline_sample(df).collect())
+    want = []
+    for region in "abc":
+        mine = sorted(((s, d) for r, s, d in rows if r == region), key=lambda t: (t[1] is None, -(t[1] or 0), t[0]))
+        want += [(region, i + 1, s, d) for i, (s, d) in enumerate(mine)]
+    assert got == want
+    placed = sorted((r.position, mins(r.started_at), r.region, mins(r.finished_at)) for r in unify.in_start_order(df).collect())
+    ordered = sorted(rows, key=lambda t: (t[1], t[0], t[2] is None, t[2] or 0))
+    assert placed == [(i + 1, s, r, None if d is None else s + d) for i, (r, s, d) in enumerate(ordered)]
