@@ -2,8 +2,9 @@
 
 A batch's distinct words that are not known yet are marked, sorted (the order of a depth-first walk
 of their trie) and encoded one after another: forward scores and back-pointers of the prefix that a
-word shares with the one before it are reused, and only the rest of the word is computed.  Known
-words are kept in a bounded cache of the process; texts are the concatenation of their words' ids.
+word shares with the one before it are reused, and only the rest of the word is computed, from the pieces
+that an automaton over the vocabulary finds to end there.  Known words are kept in a cache of the process that is
+bounded in bytes; texts are the concatenation of their words' ids, laid out with numpy.
 """
 
 from __future__ import annotations
@@ -11,17 +12,22 @@ from __future__ import annotations
 import os
 from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from spanwise.llm.common import pieces
 from spanwise.llm.token_counts import share
-from spanwise.llm.unigram import LONG_WORD, Vocabulary, mark, units
+from spanwise.llm.unigram import LONG_WORD, MARK, Vocabulary, mark, units
+from spanwise.llm.wordcode import Codes, numbered_words
 
-CACHE_WORDS = 400_000
+CACHE_BYTES = 48 << 20  # known words and their ids, with the objects that hold them
+WORD_BYTES = 180  # of a cached word: its entry, its text and its ids as objects
 ENCODE_BYTES = 4 << 20  # texts encoded together: their new words are held at once
+GATHER_BYTES = 1 << 20  # texts laid out together
 _coders: dict[int, Coder] = {}
 
 
@@ -29,32 +35,37 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.cache: dict[str, bytes] = {}
-        lengths: dict[str, set[int]] = {}
-        for piece in vocabulary.pieces:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {tail: tuple(sorted(x, reverse=True)) for tail, x in lengths.items()}
+        self.automaton = ahocorasick.Automaton()
+        for piece, (score, i) in vocabulary.pieces.items():
+            self.automaton.add_word(piece, (len(piece), score, i))
+        self.automaton.make_automaton()
+        self.longest = max(map(len, vocabulary.pieces), default=1)
+        self.single = {p for p in vocabulary.pieces if len(p) == 1}
+        self.bytes = Codes(vocabulary.by_id, np.uint8)
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (packed as 32-bit integers) of distinct marked words."""
-        find, unknown, lengths = self.vocabulary.pieces.get, self.vocabulary.unknown_score, self.lengths
+        known, find, reach = self.single.issuperset, self.automaton.iter, self.longest - 1
         best, back, ids = [0.0], [0], [0]
         out, before = {}, ""
         for word in sorted(words):
             same = len(os.path.commonprefix((before, word)))
             del best[same + 1 :], back[same + 1 :], ids[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                top, origin, piece_id = float("-inf"), 0, 0
-                for size in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                    if size <= end and (got := find(word[end - size : end])) and best[end - size] + got[0] > top:
-                        top, origin, piece_id = best[end - size] + got[0], end - size, got[1]
-                got = find(word[end - 1])
-                total = best[end - 1] + (got[0] if got else unknown)
-                if total > top:
-                    top, origin, piece_id = total, end - 1, got[1] if got else -1
-                best.append(top)
-                back.append(origin)
-                ids.append(piece_id)
+            if known(word[same:]):  # a piece ends at every position: the longest comes first
+                filled = same
+                for at, (size, score, piece) in find(word, max(0, same - reach)):
+                    if at < same:
+                        continue
+                    total = best[at + 1 - size] + score
+                    if at == filled:
+                        best.append(total)
+                        back.append(at + 1 - size)
+                        ids.append(piece)
+                        filled += 1
+                    elif total > best[at + 1]:
+                        best[at + 1], back[at + 1], ids[at + 1] = total, at + 1 - size, piece
+            else:
+                self._rest(word, same, best, back, ids)
             path, at = [], len(word)
             while at:
                 if ids[at] >= 0:
@@ -62,22 +73,76 @@ class Coder:
                 else:
                     path.extend(self.vocabulary.byte_ids[b] for b in reversed(word[at - 1].encode()))
                 at = back[at]
-            out[word] = array("i", reversed(path)).tobytes()
+            path.reverse()
+            out[word] = array("i", path).tobytes()
             before = word
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [units(t or "") for t in texts]
+    def _rest(self, word: str, same: int, best: list[float], back: list[int], ids: list[int]) -> None:
+        """Positions after ``same`` of a word with characters that are no pieces."""
+        ending: dict[int, list[tuple[int, float, int]]] = {}
+        for at, match in self.automaton.iter(word, max(0, same - self.longest + 1)):
+            ending.setdefault(at, []).append(match)
+        for at in range(same, len(word)):
+            top, origin, piece = float("-inf"), 0, 0
+            for size, score, i in ending.get(at, ()):
+                if best[at + 1 - size] + score > top:
+                    top, origin, piece = best[at + 1 - size] + score, at + 1 - size, i
+            if word[at] not in self.single and best[at] + self.vocabulary.unknown_score > top:
+                top, origin, piece = best[at] + self.vocabulary.unknown_score, at, -1
+            best.append(top)
+            back.append(origin)
+            ids.append(piece)
+
+    def _codes(self, words: list[str]) -> Codes:
+        """Ids of distinct unmarked words, by number."""
         cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
+        got = {mark(w): w for w in words if w not in cache}
+        fresh = {got[m]: x for m, x in self.words(list(got)).items()}
+        codes = Codes([fresh[w] if w in fresh else cache[w] for w in words], np.int32)
+        if (len(cache) + len(fresh)) * WORD_BYTES > CACHE_BYTES:
             cache.clear()
-            new = {w for words in split for w in words}
-        got = self.words([mark(w) for w in new])
-        fresh = {w: got[mark(w)] for w in new}
-        cache.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
-        find = {**fresh, **cache} if any(len(w) > LONG_WORD for w in new) else cache
-        return [np.frombuffer(b"".join(map(find.__getitem__, words)), dtype=np.int32) for words in split]
+        if len(fresh) * WORD_BYTES <= CACHE_BYTES:
+            cache.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
+        return codes
+
+    def encode_column(self, texts: pa.Array, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(ids of all texts, their number per text, whether each decodes to its text)."""
+        plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        odd = pc.or_(pc.match_substring_regex(plain, "^ | $"), pc.match_substring(plain, "  "))
+        words, index, offsets = numbered_words(plain, odd.to_numpy(zero_copy_only=False), units)
+        codes = self._codes(words)
+        ends = np.concatenate(([0], np.cumsum(codes.sizes[index])))[offsets]
+        ids, same = [], []
+        sizes = np.cumsum(pc.binary_length(plain.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(plain):
+            base = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, base + GATHER_BYTES, side="right")))
+            ids.append(codes.gather(index[offsets[start] : offsets[end]]))
+            if check:
+                same.append(self._decodes(ids[-1], ends[start : end + 1] - ends[start], pc.fill_null(texts[start:end], "")))
+            start = end
+        return np.concatenate(ids) if ids else np.empty(0, np.int32), np.diff(ends), np.concatenate(same) if same else None
+
+    def _decodes(self, ids: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Per text: are its bytes those of its ids, but for the mark put in front?"""
+        joined = self.bytes.gather(ids)
+        at = np.concatenate(([0], np.cumsum(self.bytes.sizes[ids])))[ends]
+        raw = texts.cast(pa.binary())
+        sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        right = np.diff(at) == sizes + (sizes > 0)
+        if right.all():
+            rest = np.ones(len(joined), dtype=bool)
+            rest[at[:-1][sizes > 0]] = False
+            if joined[rest].tobytes() == b"".join(raw.to_pylist()):
+                return right
+        whole = joined.tobytes()
+        return np.array([whole[a:b][1:] == x for a, b, x in zip(at, at[1:], raw.to_pylist(), strict=False)], dtype=bool)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, sizes, _ = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.vocabulary.by_id
@@ -91,19 +156,20 @@ def _coder(shared) -> Coder:
     return _coders[shared.id]
 
 
-def _added(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
-    """docs with the new columns (replacing those of their names) from ``make(batch)``.  The words a
-    task has cached are let go at its end, as the Python process serves other operators next."""
+def _added(docs: DataFrame, fields: list[T.StructField], make, column: str | None = None) -> DataFrame:
+    """docs with the new columns (replacing those of their names) from ``make(batch)``, a piece of a batch at a time.
+    The words a task has cached are let go at its end, as the Python process serves other operators next."""
     names = [f.name for f in fields]
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *fields])
 
     def run(batches):
         try:
-            for batch in batches:
+            for batch in pieces(batches, column, ENCODE_BYTES) if column else batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *names])
         finally:
-            _coders.clear()
+            for coder in _coders.values():
+                coder.cache.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -116,22 +182,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
     shared = share(docs.sparkSession, vocabulary or Vocabulary.load())
 
     def make(batch):
-        coder, out, same = _coder(shared), [], []
-        for part in pieces([batch], text_col, ENCODE_BYTES):
-            texts = part.column(text_col).to_pylist()
-            ids = coder.encode(texts)
-            out += ids
-            if check_col:
-                same += [coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-        sizes = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-        values = np.concatenate(out) if out else np.empty(0, np.int32)
-        made = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))]
+        ids, sizes, same = _coder(shared).encode_column(batch.column(text_col), check_col is not None)
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
         return [*made, pa.array(same, pa.bool_())] if check_col else made
 
     fields = [T.StructField(out_col, T.ArrayType(T.IntegerType()))]
     if check_col:
         fields.append(T.StructField(check_col, T.BooleanType()))
-    return _added(docs, fields, make)
+    return _added(docs, fields, make, text_col)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -71,7 +71,7 @@ def test_shared_prefixes_do_not_change_a_word(vocabulary):
 def test_small_caches_change_nothing(vocabulary, monkeypatch):
     texts = random_texts(200)
     whole = [x.tolist() for x in Coder(vocabulary).encode(texts)]
-    monkeypatch.setattr(sentencepiece_codec, "CACHE_WORDS", 10)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 10 * sentencepiece_codec.WORD_BYTES)
     monkeypatch.setattr(token_counts, "CACHE_WORDS", 10)
     coder, counter = Coder(vocabulary), Counter(vocabulary)
     assert [coder.encode([t])[0].tolist() for t in texts] == whole
