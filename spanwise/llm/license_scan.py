@@ -137,8 +137,10 @@ def oracle(table: str = "documents", id_col: str = "doc_id", text_col: str = "te
         names = "[" + ", ".join(f"'{x}'" for x in LICENCES) + "]"
         return ids, f"list_transform(regexp_extract_all({seq}, '#([0-9]+);', 1), lambda x: {names}[CAST(x AS INTEGER) + 1])"
 
-    ends = r"regexp_replace(t, '([.!?;:])[ \t]+', E'\\1\n', 'g')"
-    joined = r"regexp_replace(regexp_replace(regexp_replace(t, E'\n[ \t#*/;-]*\n', E'.\n\n', 'g'), E'([^\n])\n([^\n])', '\1 \2', 'g'), '([.!?;:])[ \t]+', E'\\1\n', 'g')"
+    tag = lambda c: f"regexp_replace({c}, '(?i)(SPDX-License-Identifier)[ \\t]*:[ \\t]*', E'\\n\\\\1 ', 'g')"
+    cut = lambda c: rf"regexp_replace({tag(c)}, '([.!?;:])[ \t]+', E'\\1\n', 'g')"
+    ends = cut("t")
+    joined = cut(r"regexp_replace(regexp_replace(t, E'\n[ \t#*/;-]*\n', E'.\n\n', 'g'), E'([^\n])\n([^\n])', '\1 \2', 'g')")
     (ids, one), (_, two) = found(ends), found(joined)
     return f"""WITH d AS (SELECT {id_col} AS doc_id, coalesce({text_col}, '') AS t FROM {table}),
     f AS (SELECT doc_id, CASE WHEN {has} THEN {ids} ELSE [] END AS sentences, CASE WHEN {has} THEN list_sort(list_distinct(list_concat({one}, {two}))) ELSE [] END AS licences FROM d)

@@ -24,7 +24,7 @@ from spanwise.llm.token_counts import share
 from spanwise.llm.unigram import LONG_WORD, MARK, Vocabulary, mark, units
 from spanwise.llm.wordcode import Codes, numbered_words
 
-CACHE_BYTES = 48 << 20  # known words and their ids, with the objects that hold them
+CACHE_BYTES = 32 << 20  # known words and their ids, with the objects that hold them
 WORD_BYTES = 180  # of a cached word: its entry, its text and its ids as objects
 ENCODE_BYTES = 4 << 20  # texts encoded together: their new words are held at once
 GATHER_BYTES = 1 << 20  # texts laid out together
@@ -94,16 +94,17 @@ class Coder:
             back.append(origin)
             ids.append(piece)
 
-    def _codes(self, words: list[str]) -> Codes:
-        """Ids of distinct unmarked words, by number."""
+    def _codes(self, words: list[str], times: np.ndarray) -> Codes:
+        """Ids of distinct unmarked words, by number.  Words that occur more than once here are kept."""
         cache = self.cache
         got = {mark(w): w for w in words if w not in cache}
         fresh = {got[m]: x for m, x in self.words(list(got)).items()}
         codes = Codes([fresh[w] if w in fresh else cache[w] for w in words], np.int32)
-        if (len(cache) + len(fresh)) * WORD_BYTES > CACHE_BYTES:
+        again = [w for w, n in zip(words, times.tolist(), strict=True) if n > 1 and w in fresh and len(w) <= LONG_WORD]
+        if (len(cache) + len(again)) * WORD_BYTES > CACHE_BYTES:
             cache.clear()
-        if len(fresh) * WORD_BYTES <= CACHE_BYTES:
-            cache.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
+        if len(again) * WORD_BYTES <= CACHE_BYTES:
+            cache.update((w, fresh[w]) for w in again)
         return codes
 
     def encode_column(self, texts: pa.Array, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -111,7 +112,7 @@ class Coder:
         plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
         odd = pc.or_(pc.match_substring_regex(plain, "^ | $"), pc.match_substring(plain, "  "))
         words, index, offsets = numbered_words(plain, odd.to_numpy(zero_copy_only=False), units)
-        codes = self._codes(words)
+        codes = self._codes(words, np.bincount(index, minlength=len(words)))
         ends = np.concatenate(([0], np.cumsum(codes.sizes[index])))[offsets]
         ids, same = [], []
         sizes = np.cumsum(pc.binary_length(plain.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -51,6 +51,12 @@ class Codes:
         self.sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // kind.itemsize
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    @classmethod
+    def of(cls, flat: np.ndarray, sizes: np.ndarray) -> Codes:
+        out = cls.__new__(cls)
+        out.flat, out.sizes, out.starts = flat, sizes, np.cumsum(sizes) - sizes
+        return out
+
     def gather(self, index: np.ndarray) -> np.ndarray:
         """The codes of a sequence of numbers, one after another."""
         sizes = self.sizes[index]

@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 from spanwise.llm import license_scan as scan
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -29,10 +31,15 @@ def brute(text):
                 i += 1
         return out
 
+    def cut(text):
+        parts = re.split(r"(?i)(SPDX-License-Identifier)[ \t]*:[ \t]*", text)  # the tag starts a sentence, its colon ends none
+        tagged = "".join("\n" + p + " " if i % 2 else p for i, p in enumerate(parts))
+        return re.sub(r"([.!?;:])[ \t]+", r"\1\n", tagged)
+
     text = text or ""
-    lines = ids(re.sub(r"([.!?;:])[ \t]+", r"\1\n", text))
+    lines = ids(cut(text))
     joined = re.sub(r"([^\n])\n([^\n])", r"\1 \2", re.sub(r"\n[ \t#*/;-]*\n", ".\n\n", text))
-    return lines, sorted(licences(lines) | licences(ids(re.sub(r"([.!?;:])[ \t]+", r"\1\n", joined))))
+    return lines, sorted(licences(lines) | licences(ids(cut(joined))))
 
 
 TEXTS = [
@@ -55,7 +62,19 @@ def test_against_python(spark):
     for i, t in enumerate(TEXTS):
         ids, licences = brute(t)
         assert got[i] == (ids, licences, len(licences)), t
-    assert got[6][1] == got[7][1] == ["MIT"] and got[10][1] == ["BSD-3-Clause"]
+    assert got[6][1] == got[7][1] == got[8][1] == ["MIT"] and got[10][1] == ["BSD-3-Clause"]
+
+
+def test_oracle_on_odd_texts(spark):
+    texts = [*TEXTS, "/* Copyright 2020 X, SPDX-License-Identifier : Apache-2.0 */", "# spdx-license-identifier:\tMIT\nSPDX-License-Identifier: BSD-3-Clause"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    want = {i: (list(s), list(x), n) for i, s, x, n in con.sql(scan.oracle()).fetchall()}
+    out = scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (list(r.sentences), list(r.licences), r.n_licences) for r in out} == want
+    assert want[len(TEXTS)][1] == ["Apache-2.0"] and want[len(TEXTS) + 1][1] == ["BSD-3-Clause", "MIT"]
 
 
 def test_whole_documents(spark):

@@ -41,8 +41,8 @@ def test_words_give_the_library_s_ids(reference, definition, monkeypatch):
     want = [reference(t) for t in texts]
     assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(texts)] == want
     assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(texts)] == want  # from the cache
-    monkeypatch.setattr(files, "CACHE_WORDS", 5)
-    monkeypatch.setattr(files, "CHUNK_CHARS", 10)
+    monkeypatch.setattr(files, "CACHE_BYTES", 5 * files.WORD_BYTES)
+    monkeypatch.setattr(files, "CHUNK_BYTES", 10)
     small = files.Encoder(definition)
     for t, ids in zip(texts[-300:], want[-300:], strict=True):
         assert np.frombuffer(small.encode([t])[0], small.type).tolist() == ids
