@@ -5,7 +5,8 @@ LINE_WORDS words on average) or filled up to one width.  Paragraphs of at least
 a MinHash signature of their distinct 5-word shingles; BANDS bands of ROWS values are tuned for recall
 (a pair at Jaccard 0.75 collides in some band with probability 0.9986).  Colliding paragraphs are
 joined, verified by exact Jaccard on whole shingle sets (0.75 or more) and clustered by connected
-components; the cluster's first paragraph, by (doc_id, position), stays and the others are removed.
+components; the cluster's first paragraph, by (doc_id, position), stays and the others are removed,
+exact copies and near ones alike.
 
 A repeated passage need not fill a paragraph.  Every window of MIN_WORDS words that an earlier document
 has, wherever its sentences and lines end, is removed, so runs of equal words are cut at their full
@@ -37,6 +38,7 @@ BANDS, ROWS = 12, 3
 LINE_WORDS = 20
 MIN_WORDS = 40
 CONTEXT = 8
+BLOCK_BYTES = 16 << 20  # text a block of keys stands for
 ANCHOR = 20  # words; a window of MIN_WORDS words holds MIN_WORDS - ANCHOR + 1 of them
 _rng = np.random.default_rng(4)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -266,19 +268,23 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc, units): per document the candidates (seq, h), where they reach MIN_WORDS words: sentences by
     number, windows (-1), a mark for windows of its own (-2), paragraphs to remove by their first sentence (-3 - seq)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a block's rows are held in memory
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES)
     types = {"kind": np.int8, "doc": np.int64, "seq": np.int32, "words": np.int32}
     rows = in_blocks(docs, lambda b: (x for p in pieces([b]) for x in _keys(p)), types, buckets, _repeats, "kind byte, h long, doc long, seq int, words int")
     rows = tables.store(rows, "repeats")
     lists = tables.store(rows.where("kind = 1").select("h", "doc").distinct(), "bands")
     several = lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lists = tables.store(lists.join(several, "h", "left_semi"), "lists")
-    wanted = spark.sparkContext.broadcast(bloom_build(lists.select("doc").distinct(), "doc"))
+    # equal paragraphs have one hash: one that occurs again is a cluster of its own
+    copied = rows.where("kind = 1").groupBy("h", "doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
+    wanted = spark.sparkContext.broadcast(bloom_build(lists.select("doc").union(copied).distinct(), "doc"))
     lines = tables.store(_line_rows(docs, wanted), "lines")
     keys = tables.store(lines.where("keys is not null").groupBy("line").agg(F.min("keys").alias("keys")), "keys")
     sets = keys.select(F.col("line").alias("doc"), "keys")
     clusters = linked_components(lists, lambda pairs, name: _verify(pairs, keys, tables, name), tables, sets=sets)
-    member = lines.drop("keys").join(clusters.select(F.col("node").alias("line"), "component"), "line")
+    member = lines.drop("keys").join(clusters.select(F.col("node").alias("line"), "component"), "line", "left")
+    member = member.withColumn("component", F.coalesce("component", "line"))
     first = member.groupBy("component").agg(F.min(F.struct("doc", "seq", (-F.col("last")).alias("last"))).alias("kept"))
     near = member.join(first, "component").where("doc <> kept.doc or seq > -kept.last")  # a block and its lines do not remove each other
     near = near.select("doc", (F.lit(-3) - F.col("seq")).alias("seq"), F.col("line").alias("h"), F.lit(MIN_WORDS).alias("words"))
@@ -292,41 +298,84 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     return out
 
 
-def cut(text: bytes, candidates: set[tuple[int, int]]) -> tuple[str, list[str], int]:
-    """The text without its runs of candidates of MIN_WORDS words or more and its near copies of
-    paragraphs, what was cut out, its words."""
-    u = Units([text])
-    hit = np.fromiter(((q, h) in candidates for q, h in enumerate(u.hash.view(np.int64).tolist())), dtype=bool, count=len(u.hash))
-    hit = np.repeat(hit, u.end - u.first)
+SPACE = b" \t\r\n\v\f"
+
+
+def _own(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes bound to the number of their text."""
+    return textgrams.mix(hashes ^ textgrams.mix(text.astype(np.uint64)))
+
+
+def _cut_words(u: Units, text: np.ndarray, seq: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of what is cut from a run of texts, given its candidates (text number, seq, h): runs
+    of candidates of MIN_WORDS words or more, and near copies of paragraphs."""
+    sentence = seq >= 0
+    at, key = u.text_first[text[sentence]] + seq[sentence], h[sentence]
+    there = at < u.text_first[text[sentence] + 1]
+    at, key = at[there], key[there]
+    unit = np.zeros(len(u.hash), dtype=bool)
+    unit[at[u.hash[at] == key]] = True
+    hit = np.repeat(unit, u.end - u.first)
     first = u.windows()
-    key = u.window_hashes(first)
-    late = np.isin(key.view(np.int64), np.array([h for q, h in candidates if q == -1], dtype=np.int64))
-    first = first[late | _again(first, key, np.zeros(len(first), np.int64))]
+    key, owner = u.window_hashes(first), np.searchsorted(u.offsets, first, side="right") - 1
+    late = np.isin(_own(owner, key), _own(text[seq == -1], h[seq == -1]))
+    first = first[late | _again(first, key, owner)]
     depth = np.zeros(len(hit) + 1, dtype=np.int64)
-    depth[first] += 1
-    depth[first + MIN_WORDS] -= 1
+    np.add.at(depth, first, 1)
+    np.add.at(depth, first + MIN_WORDS, -1)
     hit |= np.cumsum(depth)[:-1] > 0
-    near = np.zeros(len(hit), dtype=bool)
-    for a, b, h in zip(*(x.tolist() for x in (a.view(np.int64) for a in u.paragraphs())), strict=True):
-        if (-3 - int(u.seq[np.searchsorted(u.first, a)]), h) in candidates:
-            near[a:b] = True
+    near = np.zeros(len(hit) + 1, dtype=np.int64)
+    a, b, line = u.paragraphs()
+    i = np.searchsorted(u.first, a)
+    gone = seq <= -3
+    place = lambda t, q, x: _own(t, x ^ textgrams.mix(q.astype(np.uint64)))
+    found = np.isin(place(u.text[i], u.seq[i], line), place(text[gone], -3 - seq[gone], h[gone]))
+    np.add.at(near, a[found], 1)
+    np.add.at(near, b[found], -1)
+    near = np.cumsum(near)[:-1] > 0
+
+    def spans(mask):
+        owner = np.repeat(np.arange(len(u.offsets) - 1), np.diff(u.offsets))
+        on = np.flatnonzero(mask)
+        if not len(on):
+            return on, on
+        new = np.ones(len(on), dtype=bool)
+        new[1:] = (np.diff(on) > 1) | (owner[on[1:]] != owner[on[:-1]])
+        head = np.flatnonzero(new)
+        return on[head], on[np.append(head[1:], len(on)) - 1] + 1
+
     hit |= near
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    for i, j in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-        if j - i < MIN_WORDS:
-            hit[i:j] = near[i:j]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    kept, gone, words, at = [], [], 0, 0
-    for i, j in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-        size = j - i
-        start, end = int(u.words.starts[i]), int(u.words.ends[j - 1])
-        gone.append(text[start:end].decode())
-        words += size
-        kept.append(text[at:start])
-        at = end + len(text[end:]) - len(text[end:].lstrip(b" \t\r\n\v\f"))
-    kept.append(text[at:])
-    whole = b"".join(kept)
-    return (whole.rstrip(b" \t\r\n\v\f") if gone and at == len(text) else whole).decode(), gone, words
+    i, j = spans(hit)
+    short = j - i < MIN_WORDS
+    keep = np.zeros(len(hit) + 1, dtype=np.int64)
+    np.add.at(keep, i[~short], 1)
+    np.add.at(keep, j[~short], -1)
+    return spans((np.cumsum(keep)[:-1] > 0) | near)
+
+
+def cut(texts: list[bytes], text: np.ndarray, seq: np.ndarray, h: np.ndarray) -> list[tuple[str, list[str], int]]:
+    """Per text: what is left of it, what was cut out, its words."""
+    u = Units(texts)
+    first, end = _cut_words(u, text, seq, h)
+    owner = np.searchsorted(u.offsets, first, side="right") - 1
+    base = u.words.offsets
+    starts, ends = u.words.starts[first] - base[owner], u.words.ends[end - 1] - base[owner]
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for k, raw in enumerate(texts):
+        kept, gone, words, position = [], [], 0, 0
+        for i in range(at[k], at[k + 1]):
+            a, b = int(starts[i]), int(ends[i])
+            gone.append(raw[a:b].decode())
+            words += int(end[i] - first[i])
+            kept.append(raw[position:a])
+            position = b
+            while position < len(raw) and raw[position] in SPACE:
+                position += 1
+        kept.append(raw[position:])
+        whole = b"".join(kept)
+        out.append(((whole.rstrip(SPACE) if gone and position == len(raw) else whole).decode(), gone, words))
+    return out
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,16 +398,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StringType())), T.StructField("removed_words", T.LongType())])
 
     def clean(batches):
-        for batch in batches:
-            texts, gone, words = [], [], []
-            for text, units in zip(batch.column(text_col).to_pylist(), batch.column("__units").to_pylist(), strict=True):
-                if units and text:
-                    text, g, n = cut(text.encode(), {(x["seq"], x["h"]) for x in units})
-                else:
-                    g, n = [], 0
-                texts.append(text)
-                gone.append(g)
-                words.append(n)
+        for batch in pieces(batches, text_col, textgrams.SLICE_BYTES):
+            column, units = batch.column(text_col), batch.column("__units")
+            sizes = pc.fill_null(pc.list_value_length(units), 0).to_numpy(zero_copy_only=False)
+            flat = units.flatten()
+            seq, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            asked = (sizes > 0) & (pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False) > 0)
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            number = np.cumsum(asked) - 1
+            of = asked[rows]
+            texts, gone, words = column.to_pylist(), [[]] * batch.num_rows, [0] * batch.num_rows
+            if asked.any():
+                at = np.flatnonzero(asked).tolist()
+                done = cut([texts[i].encode() for i in at], number[rows[of]], seq[of].astype(np.int64), h[of].astype(np.int64).view(np.uint64))
+                for i, (left, out, n) in zip(at, done, strict=True):
+                    texts[i], gone[i], words[i] = left, out, n
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.string())), pa.array(words, pa.int64())], [*names, "removed", "removed_words"])
 
