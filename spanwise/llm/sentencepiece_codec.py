@@ -9,7 +9,6 @@ bounded in bytes; texts are the concatenation of their words' ids, laid out with
 
 from __future__ import annotations
 
-import os
 from array import array
 
 import ahocorasick
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 
 from spanwise.llm.common import pieces
 from spanwise.llm.token_counts import share
-from spanwise.llm.unigram import LONG_WORD, MARK, Vocabulary, mark, units
+from spanwise.llm.unigram import LONG_WORD, MARK, Vocabulary, units
 from spanwise.llm.wordcode import Codes, numbered_words
 
 CACHE_BYTES = 32 << 20  # known words and their ids, with the objects that hold them
@@ -43,76 +42,94 @@ class Coder:
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.bytes = Codes(vocabulary.by_id, np.uint8)
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids (packed as 32-bit integers) of distinct marked words."""
-        known, find, reach = self.single.issuperset, self.automaton.iter, self.longest - 1
-        best, back, ids = [0.0], [0], [0]
-        out, before = {}, ""
-        for word in sorted(words):
-            same = len(os.path.commonprefix((before, word)))
-            del best[same + 1 :], back[same + 1 :], ids[same + 1 :]
-            if known(word[same:]):  # a piece ends at every position: the longest comes first
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, their number per word) of sorted, distinct, marked words."""
+        odd = set("".join(words)) - self.single  # characters that are no pieces
+        find, reach = self.automaton.iter, self.longest - 1
+        best, via = [0.0], [None]  # per position of the word: best score, (size, score, id) of the piece that ends there
+        flat, sizes, before = array("i"), array("q"), ""
+        for word in words:
+            same = 0
+            for x, y in zip(before, word):  # noqa: B905 - words of different length
+                if x != y:
+                    break
+                same += 1
+            del best[same + 1 :], via[same + 1 :]
+            if not odd or odd.isdisjoint(word):  # a piece ends at every position: the longest comes first
                 filled = same
-                for at, (size, score, piece) in find(word, max(0, same - reach)):
+                for at, match in find(word, same - reach if same > reach else 0):
                     if at < same:
                         continue
-                    total = best[at + 1 - size] + score
+                    total = best[at + 1 - match[0]] + match[1]
                     if at == filled:
                         best.append(total)
-                        back.append(at + 1 - size)
-                        ids.append(piece)
+                        via.append(match)
                         filled += 1
                     elif total > best[at + 1]:
-                        best[at + 1], back[at + 1], ids[at + 1] = total, at + 1 - size, piece
+                        best[at + 1], via[at + 1] = total, match
             else:
-                self._rest(word, same, best, back, ids)
+                self._rest(word, same, best, via)
             path, at = [], len(word)
             while at:
-                if ids[at] >= 0:
-                    path.append(ids[at])
+                size, _, piece = via[at]
+                if piece >= 0:
+                    path.append(piece)
                 else:
-                    path.extend(self.vocabulary.byte_ids[b] for b in reversed(word[at - 1].encode()))
-                at = back[at]
+                    path.extend([self.vocabulary.byte_ids[b] for b in reversed(word[at - 1].encode())])
+                at -= size
             path.reverse()
-            out[word] = array("i", path).tobytes()
+            flat.extend(path)
+            sizes.append(len(path))
             before = word
-        return out
+        return np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int64)
 
-    def _rest(self, word: str, same: int, best: list[float], back: list[int], ids: list[int]) -> None:
+    def _rest(self, word: str, same: int, best: list[float], via: list) -> None:
         """Positions after ``same`` of a word with characters that are no pieces."""
         ending: dict[int, list[tuple[int, float, int]]] = {}
         for at, match in self.automaton.iter(word, max(0, same - self.longest + 1)):
             ending.setdefault(at, []).append(match)
         for at in range(same, len(word)):
-            top, origin, piece = float("-inf"), 0, 0
-            for size, score, i in ending.get(at, ()):
-                if best[at + 1 - size] + score > top:
-                    top, origin, piece = best[at + 1 - size] + score, at + 1 - size, i
+            top, found = float("-inf"), None
+            for match in ending.get(at, ()):
+                if best[at + 1 - match[0]] + match[1] > top:
+                    top, found = best[at + 1 - match[0]] + match[1], match
             if word[at] not in self.single and best[at] + self.vocabulary.unknown_score > top:
-                top, origin, piece = best[at] + self.vocabulary.unknown_score, at, -1
+                top, found = best[at] + self.vocabulary.unknown_score, (1, self.vocabulary.unknown_score, -1)
             best.append(top)
-            back.append(origin)
-            ids.append(piece)
+            via.append(found)
 
-    def _codes(self, words: list[str], times: np.ndarray) -> Codes:
-        """Ids of distinct unmarked words, by number.  Words that occur more than once here are kept."""
+    def _codes(self, words: list[str], times: np.ndarray) -> tuple[Codes, np.ndarray]:
+        """Ids of distinct unmarked words, and each word's place among them.  Words that occur more than once are kept."""
         cache = self.cache
-        got = {mark(w): w for w in words if w not in cache}
-        fresh = {got[m]: x for m, x in self.words(list(got)).items()}
-        codes = Codes([fresh[w] if w in fresh else cache[w] for w in words], np.int32)
-        again = [w for w, n in zip(words, times.tolist(), strict=True) if n > 1 and w in fresh and len(w) <= LONG_WORD]
+        old = [i for i, w in enumerate(words) if w in cache]
+        mask = np.ones(len(words), dtype=bool)
+        mask[old] = False
+        new = np.flatnonzero(mask).tolist()
+        marked = [MARK + words[i] for i in new]
+        if " " in "".join(marked):
+            marked = [m.replace(" ", MARK) for m in marked]
+        order = sorted(range(len(new)), key=marked.__getitem__)
+        flat, sizes = self.words([marked[k] for k in order])
+        known = Codes([cache[words[i]] for i in old], np.int32)
+        place = np.empty(len(words), dtype=np.int64)
+        place[old] = np.arange(len(old))
+        ranked = np.array(new, dtype=np.int64)[order] if new else np.empty(0, np.int64)
+        place[ranked] = len(old) + np.arange(len(new))
+        again = [(k, words[i]) for k, i in enumerate(ranked.tolist()) if times[i] > 1 and len(words[i]) <= LONG_WORD]
         if (len(cache) + len(again)) * WORD_BYTES > CACHE_BYTES:
             cache.clear()
         if len(again) * WORD_BYTES <= CACHE_BYTES:
-            cache.update((w, fresh[w]) for w in again)
-        return codes
+            ends = np.cumsum(sizes)
+            cache.update((w, flat[ends[k] - sizes[k] : ends[k]].tobytes()) for k, w in again)
+        return Codes.of(np.concatenate((known.flat, flat)), np.concatenate((known.sizes, sizes))), place
 
     def encode_column(self, texts: pa.Array, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids of all texts, their number per text, whether each decodes to its text)."""
         plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
         odd = pc.or_(pc.match_substring_regex(plain, "^ | $"), pc.match_substring(plain, "  "))
         words, index, offsets = numbered_words(plain, odd.to_numpy(zero_copy_only=False), units)
-        codes = self._codes(words, np.bincount(index, minlength=len(words)))
+        codes, place = self._codes(words, np.bincount(index, minlength=len(words)))
+        index = place[index]
         ends = np.concatenate(([0], np.cumsum(codes.sizes[index])))[offsets]
         ids, same = [], []
         sizes = np.cumsum(pc.binary_length(plain.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64))
