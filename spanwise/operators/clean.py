@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanwise.config import LEVEL_FINE, LEVELS_BASE, RAW_NULL_TOKENS, Profile
@@ -113,7 +113,7 @@ def filter_region_date(df: DataFrame, regions=None, start=None, end=None, tz: st
     return out
 
 
-def dedup_parse(df: DataFrame) -> DataFrame:
+def dedup_parse(df: DataFrame, seen: Observation | None = None) -> DataFrame:
     """P3 + P4: distinct raw text rows, then instants parsed per row; rows without a start dropped.
 
     The dedup is a plain hash aggregate on the six text columns (map-side combine
@@ -123,11 +123,17 @@ def dedup_parse(df: DataFrame) -> DataFrame:
     parallel over the shuffle partitions.  As a bare projection, the filters would
     be pushed below the aggregate into the source projection (parsing every raw
     copy in one oversized expression, and splitting the scan per consumer).
+
+    ``seen`` observes raw rows, distinct rows and distinct rows without a readable start as they pass.
     """
     g = df.groupBy(*RAW_KEY).agg(F.count(F.lit(1)).alias("_copies"))
     kept = F.col("_copies") > 0
     # applying the zone offset never turns a parsed value into NULL: filter on the cheap cast
-    g = g.filter(F.when(kept, F.col("started_at").try_cast("timestamp_ntz")).isNotNull())
+    readable = F.when(kept, F.col("started_at").try_cast("timestamp_ntz")).isNotNull()
+    if seen is not None:
+        g = g.observe(seen, F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_raw"), F.count(F.lit(1)).alias("n_distinct"),
+                      F.count_if(~readable).alias("n_bad_start"))
+    g = g.filter(readable)
     return g.select(
         *[F.when(kept, F.col(c)).alias(c) for c in ("oblast", "raion", "hromada", "level")],
         F.when(kept, tc.parse_instant("started_at")).alias("started_at"),
@@ -135,15 +141,27 @@ def dedup_parse(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_records(raw: DataFrame, profile: Profile) -> DataFrame:
-    """S1 output -> parsed, capped records (P1-P5), all levels."""
+def prepare_records(raw: DataFrame, profile: Profile, seen: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """S1 output -> parsed, capped records (P1-P5), all levels.  ``seen``: observations of what is deduplicated
+    and dropped, and of what is capped; ``ingest_report`` reads them after the records were written."""
     df = require_columns(normalise_headers(raw), RAW_REQUIRED, "load")
-    return cap_duration(dedup_parse(df), profile.cap_seconds)
+    rows = dedup_parse(df, seen and seen[0])
+    if seen is not None:
+        long = tc.micros_between("started_at", "finished_at") > F.lit(int(profile.cap_seconds) * 1_000_000)
+        rows = rows.observe(seen[1], F.count_if(F.coalesce(long, F.lit(False))).alias("n_capped"))
+    return cap_duration(rows, profile.cap_seconds)
+
+
+def ingest_report(seen: tuple[Observation, Observation]) -> dict[str, int]:
+    """P3-P5 counters of the load that wrote the records: raw rows, distinct rows, distinct rows without a readable
+    start (dropped), and kept rows whose end was cut to start + cap."""
+    return {k: int(v) for o in seen for k, v in o.get.items()}
 
 
 def ingest_counts(raw: DataFrame, profile: Profile) -> DataFrame:
     """P3-P5 counters, one row: raw rows, distinct rows, distinct rows without a readable start
-    (dropped), and kept rows whose end was cut to start + cap."""
+    (dropped), and kept rows whose end was cut to start + cap.  For raw rows that are not loaded; a load reports them
+    itself (``ingest_report``)."""
     g = normalise_headers(raw).groupBy(*RAW_KEY).agg(F.count(F.lit(1)).alias("_copies"))
     start = tc.parse_instant("started_at")
     long = tc.micros_between(start, tc.parse_instant("finished_at")) > F.lit(profile.cap_seconds * 1_000_000)

@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.config import DOW_LONG
+from spanwise.config import DOW_LONG, DOW_SHORT
+from spanwise.functions.matrix import to_matrix
 from spanwise.functions.stored import drop_table, input_version, write_table
 from spanwise.operators import (clean, coverage, cross_region, describe, quality, reconcile, seasonal, shape,
                                 survival, temporal, unify)
@@ -72,8 +73,13 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spanwise-files/{name}-{uuid.uuid4().hex}"
 
 
+COUNTERS = ["n_raw", "n_distinct", "n_bad_start", "n_capped"]
+_COUNTS: dict[tuple, dict[str, int]] = {}
+
+
 def units_plan(spark, sf_dir) -> DataFrame:
-    return pipeline.unit_records(raw(spark, sf_dir), PROFILE)
+    counts = _COUNTS[spark.sparkContext.applicationId, sf_dir.rstrip("/")] = {}
+    return pipeline.unit_records(raw(spark, sf_dir), PROFILE, report=counts)
 
 
 def units(spark, sf_dir) -> DataFrame:
@@ -105,6 +111,18 @@ def q_scan_alerts(spark, sf_dir):
     return files.read_alerts_csv(spark, path)
 
 
+@register("scan_alerts_by_name", """
+SELECT oblast, raion, hromada, level, started_at, finished_at FROM raw""")
+def q_scan_by_name(spark, sf_dir):
+    """One folder of files whose columns come in three orders, one without the optional column."""
+    path = _scratch(spark, "alerts-mixed")
+    rows = raw_alerts_from_events(pipeline.read_table(spark, sf_dir, "events"))
+    third = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    for i, columns in enumerate((rows.columns, rows.columns[::-1], [c for c in rows.columns[2:] + rows.columns[:2] if c != "source"])):
+        files.write_csv(rows.where(third == i).select(*columns), path, mode="append")
+    return files.read_alerts_csv(spark, path).select(*clean.RAW_KEY)
+
+
 @register("feature_dimension", f"""
 , f AS ({FEATURES_SQL})
 SELECT coalesce(CASE name WHEN 'Kiev' THEN 'Київська' WHEN 'Kiev City' THEN 'м. Київ' END, a.canonical, name_uk) AS region,
@@ -142,7 +160,10 @@ p AS (SELECT copies, TRY_CAST(started_at AS TIMESTAMPTZ) AS s, TRY_CAST(finished
 SELECT CAST(sum(copies) AS BIGINT) AS n_raw, count(*) AS n_distinct, count(*) FILTER (WHERE s IS NULL) AS n_bad_start,
        count(*) FILTER (WHERE e - s > INTERVAL 3 HOUR) AS n_capped FROM p""")
 def q_ingest_counts(spark, sf_dir):
-    return clean.ingest_counts(raw(spark, sf_dir), PROFILE)
+    """Counters of the load that wrote the unit table: no pass of their own over the raw rows."""
+    units(spark, sf_dir)
+    counts = _COUNTS[spark.sparkContext.applicationId, sf_dir.rstrip("/")]
+    return spark.createDataFrame([tuple(counts[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
 
 
 @register("dedup_alerts", f"SELECT {RECORD_COLS} FROM dedup")
@@ -394,6 +415,23 @@ def q_hour_dow(spark, sf_dir):
     return seasonal.hour_dow_rate(frame(spark, sf_dir))
 
 
+_HOUR_DOW = REGISTRY["hour_dow"][1]
+
+
+def _wide(long_sql: str, row: str, column: str, value: str, cells: list[tuple[str, str]]) -> str:
+    """SQL of a matrix: a column per (SQL literal, name)."""
+    picks = ", ".join(f'max(CASE WHEN {column} = {v} THEN {value} END) AS "{n}"' for v, n in cells)
+    return f"SELECT {row}, {picks} FROM ({long_sql}) GROUP BY {row}"
+
+
+@register("hour_dow_matrix", None)
+def q_hour_dow_matrix(spark, sf_dir):
+    return to_matrix(seasonal.hour_dow_rate(frame(spark, sf_dir)), "hour", "dow", "rate", range(7), lambda d: DOW_SHORT[d])
+
+
+REGISTRY["hour_dow_matrix"] = (q_hour_dow_matrix, _wide(_HOUR_DOW, "hour", "dow", "rate", [(str(i), n) for i, n in enumerate(DOW_SHORT)]))
+
+
 @register("year_month", """
 , c AS (SELECT year, month, count(*) AS n FROM af GROUP BY 1, 2),
 g AS (SELECT y.year, CAST(unnest(generate_series(1, 12)) AS INTEGER) AS month FROM (SELECT DISTINCT year FROM af) y)
@@ -402,6 +440,15 @@ def q_year_month(spark, sf_dir):
     return seasonal.year_month_counts(frame(spark, sf_dir))
 
 
+@register("year_month_matrix", None)
+def q_year_month_matrix(spark, sf_dir):
+    return to_matrix(seasonal.year_month_counts(frame(spark, sf_dir)), "year", "month", "n", range(1, 13))
+
+
+REGISTRY["year_month_matrix"] = (q_year_month_matrix, _wide(REGISTRY["year_month"][1], "year", "month", "n", [(str(i), str(i)) for i in range(1, 13)]))
+MATRIX_REGIONS = [r for r in PROFILE.region_names if r not in PROFILE.excluded]
+
+
 _HOUR_REGION = """
 , c AS (SELECT hour, region, count(*) AS n FROM af WHERE region IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT r.region, h.hour FROM (SELECT DISTINCT region FROM af WHERE region IS NOT NULL) r,
@@ -415,6 +462,15 @@ def q_hour_region(spark, sf_dir):
     return seasonal.hour_region(frame(spark, sf_dir))
 
 
+@register("hour_region_matrix", None)
+def q_hour_region_matrix(spark, sf_dir):
+    return to_matrix(seasonal.hour_region(frame(spark, sf_dir)), "hour", "region", "n", MATRIX_REGIONS)
+
+
+_REGION_CELLS = [(f"'{r}'", r) for r in MATRIX_REGIONS]
+REGISTRY["hour_region_matrix"] = (q_hour_region_matrix, _wide(REGISTRY["hour_region"][1], "hour", "region", "n", _REGION_CELLS))
+
+
 @register("hour_region_share", _HOUR_REGION + """
 SELECT hour, region, n / CASE WHEN sum(n) OVER (PARTITION BY region) = 0 THEN 1 ELSE sum(n) OVER (PARTITION BY region) END AS share FROM x""")
 def q_hour_region_share(spark, sf_dir):
@@ -534,6 +590,15 @@ def q_spearman(spark, sf_dir):
     return cross_region.rank_correlation(frame(spark, sf_dir), "spearman")
 
 
+@register("corr_spearman_matrix", None)
+def q_spearman_matrix(spark, sf_dir):
+    """The region x region matrix as its readers get it: a row and a column per region of the dimension."""
+    return to_matrix(cross_region.rank_correlation(frame(spark, sf_dir), "spearman"), "region_a", "region_b", "value", MATRIX_REGIONS)
+
+
+REGISTRY["corr_spearman_matrix"] = (q_spearman_matrix, _wide(REGISTRY["corr_spearman"][1], "region_a", "region_b", "value", _REGION_CELLS))
+
+
 @register("corr_pearson", _DAILY + _PEARSON_SELECT.format(src="g"))
 def q_pearson(spark, sf_dir):
     return cross_region.rank_correlation(frame(spark, sf_dir), "pearson")
@@ -841,6 +906,18 @@ def q_quality(spark, sf_dir):
     return quality.quality_report(episodes(spark, sf_dir), PROFILE)
 
 
+@register("quality_report_schema", None)
+def q_quality_schema(spark, sf_dir):
+    """The report on a table without one of the required columns: V1 fails, the checks on it have nothing to count."""
+    return quality.quality_report(episodes(spark, sf_dir).drop("duration_min"), PROFILE)
+
+
+REGISTRY["quality_report_schema"] = (q_quality_schema, f"""
+SELECT position, "check", severity, CASE "check" WHEN 'schema' THEN 1 WHEN 'negative_duration' THEN 0 WHEN 'zero_duration' THEN 0 ELSE n_bad END AS n_bad,
+       CASE "check" WHEN 'schema' THEN false WHEN 'negative_duration' THEN true WHEN 'zero_duration' THEN true ELSE passed END AS passed
+FROM ({REGISTRY["quality_report"][1]})""")
+
+
 # ---- reconciliation -----------------------------------------------------------
 
 def second(spark, sf_dir):

@@ -7,20 +7,25 @@ written to the shared folder and read back.  The rest is lazy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from spanwise.config import Profile
 from spanwise.functions.stored import write_table
 from spanwise.operators import clean, temporal, unify
 
 
-def unit_records(raw: DataFrame, profile: Profile, chunk_seconds: int = unify.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def unit_records(raw: DataFrame, profile: Profile, chunk_seconds: int = unify.DEFAULT_CHUNK_SECONDS,
+                 report: dict[str, int] | None = None) -> DataFrame:
     """Per-unit records before the union.
 
     Columns: oblast, raion, hromada, level, started_at, finished_at, region, unit_name.
+    ``report`` is filled with the load's counters (P3-P5), taken as the records are written.
     """
     # one scan and one dedup shuffle of the raw rows; P7 reads the written records several times
-    records = write_table(clean.prepare_records(raw, profile), "records")
+    seen = (Observation(), Observation())
+    records = write_table(clean.prepare_records(raw, profile, seen), "records")
+    if report is not None:
+        report.update(clean.ingest_report(seen))
     # Base rows + uncovered fine rows
     units = unify.with_uncovered(records, profile.cap_seconds, key="oblast", chunk_seconds=chunk_seconds)
     units = clean.canonical_region(units, profile.aliases)  # P9

@@ -6,6 +6,8 @@ in, parsing happens in ``operators.clean`` per row.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,24 +22,54 @@ def _text_schema(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
+def _headers(spark: SparkSession, path: str, threads: int = 16) -> dict[str, list[str]]:
+    """Header line -> files that begin with it, of the files Spark reads under ``path`` (the first line of each
+    is fetched, through any of Spark's file systems; empty files are left out)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(uri: str) -> tuple[str, str | None]:
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+            source = codec.createInputStream(stream) if codec is not None else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        return file.toString(), line
+
+    found: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for file, line in pool.map(first_line, sorted(spark.read.text(path).inputFiles())):
+            if line is not None:
+                found.setdefault(line, []).append(file)
+    return found
+
+
 def _scan_csv(spark: SparkSession, path: str, required, where: str, multi_line: bool) -> DataFrame:
-    """Header CSV files with one header, all columns as text, NA markers -> NULL.
+    """Header CSV files, columns by name, all as text, NA markers -> NULL.
 
-    Spark assigns CSV columns by position.  With ``enforceSchema`` off it compares every file's
-    header with the declared columns, so a file with other or reordered columns raises instead of
-    landing in the wrong columns.  Quotes inside a quoted field are doubled.
+    Spark assigns CSV columns by position.  So files are grouped by their header (other orders, other
+    extra columns), every group is scanned with its own columns, and the groups are united by name; an extra column
+    that a file lacks is NULL in its rows, a required one raises.  ``enforceSchema`` off compares each file's header
+    with the declared columns again as it is read.  Quotes inside a quoted field are doubled.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multi_line)
-    header = reader.csv(path).columns
-    names = [c.strip().lower() for c in header]
-    df = reader.option("enforceSchema", False).option("ignoreLeadingWhiteSpace", False).schema(_text_schema(header)).csv(path)
-    df = df.toDF(*names)
-    clean.require_columns(df, required, where)
-    return clean.null_tokens(df)
+    def reader():
+        return spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multi_line)
+
+    groups, out = _headers(spark, path), None
+    for line in sorted(groups) or [None]:
+        part = groups[line] if len(groups) > 1 else path
+        header = reader().csv(groups[line][:1]).columns if line is not None else []
+        df = reader().option("enforceSchema", False).option("ignoreLeadingWhiteSpace", False).schema(_text_schema(header)).csv(part)
+        df = df.toDF(*[c.strip().lower() for c in header])
+        clean.require_columns(df, required, where if line is None else f"{where}: {groups[line][0]}")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return clean.null_tokens(out)
 
 
 def read_alerts_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Interval records; extra columns are fine, missing required ones raise.
+    """Interval records; columns in any order, extra ones are fine, missing required ones raise.
 
     ``multi_line``: fields may hold line breaks (a file is then one task)."""
     return _scan_csv(spark, path, clean.RAW_REQUIRED, "load", multi_line)
@@ -48,9 +80,9 @@ def read_second_source_csv(spark: SparkSession, path: str, multi_line: bool = Fa
     return _scan_csv(spark, path, ["region", "started_at"], "second source", multi_line)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Text columns as header CSV files that ``read_alerts_csv`` reads back (NULL as an empty field)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 FEATURE_SCHEMA = T.StructType([

@@ -59,12 +59,41 @@ def _csv(folder, name, text):
 HEAD = "oblast,raion,hromada,level,started_at,finished_at\n"
 
 
-def test_reordered_file_raises_instead_of_shifting_columns(spark):
+def test_columns_are_found_by_name_across_files(spark):
     d = scratch()
-    _csv(d, "a.csv", HEAD + "A,,,oblast,2024-01-01 10:00:00,\n")
-    _csv(d, "b.csv", "started_at,oblast,raion,hromada,level,finished_at\n2024-01-01 10:00:00,A,,,oblast,\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        files.read_alerts_csv(spark, d).collect()
+    _csv(d, "a.csv", HEAD + "A,r,h,oblast,2024-01-01 10:00:00,2024-01-01 11:00:00\n")
+    _csv(d, "b.csv", " Started_At ,oblast,raion,hromada,LEVEL,finished_at,note\n2024-01-01 10:00:00,A,r,h,oblast,2024-01-01 11:00:00,n\n")
+    _csv(d, "c d%20.csv", HEAD + "A,r,h,oblast,2024-01-01 10:00:00,2024-01-01 11:00:00\n")
+    _csv(d, "empty.csv", "")
+    rows = files.read_alerts_csv(spark, d).collect()
+    assert len({tuple(r[c] for c in HEAD.strip().split(",")) for r in rows}) == 1 and len(rows) == 3
+    assert sorted(str(r.note) for r in rows) == ["None", "None", "n"]
+    _csv(d, "e.csv", "oblast,level\nA,oblast\n")  # a file without a required column
+    with pytest.raises(ValueError, match="e.csv"):
+        files.read_alerts_csv(spark, d)
+
+
+def test_counters_come_with_the_load(spark):
+    from spanwise.plans import pipeline as plan
+    rows = [("A", None, None, "oblast", s, e) for s, e in (
+        ("2024-01-01 10:00:00", "2024-01-01 11:00:00"), ("2024-01-01 10:00:00", "2024-01-01 11:00:00"), ("bad", None), ("bad", None),
+        ("2024-01-02 10:00:00", "2024-01-05 10:00:00"), ("2024-01-03 10:00:00", None))]
+    raw = spark.createDataFrame(rows, "oblast string, raion string, hromada string, level string, started_at string, finished_at string")
+    counts = {}
+    plan.unit_records(raw, DEFAULT, report=counts)
+    assert counts == {"n_raw": 6, "n_distinct": 4, "n_bad_start": 1, "n_capped": 1}
+    plan.unit_records(raw.limit(0), DEFAULT, report=counts)
+    assert counts == {"n_raw": 0, "n_distinct": 0, "n_bad_start": 0, "n_capped": 0}
+
+
+def test_matrices(spark):
+    from spanwise.functions.matrix import to_matrix, transposed
+    long = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 2, 7.0), ("b", 9, 8.0)], "r string, c int, v double")
+    wide = to_matrix(long, "r", "c", "v", [1, 2, 3])
+    assert wide.columns == ["r", "1", "2", "3"]
+    assert sorted(map(tuple, wide.collect())) == [("a", 5.0, 6.0, None), ("b", None, 7.0, None)]
+    back = transposed(wide, "r", ["a", "b"], "c")
+    assert sorted(map(tuple, back.collect())) == [("1", 5.0, None), ("2", 6.0, 7.0), ("3", None, None)]
 
 
 def test_doubled_quotes_and_line_breaks(spark):
@@ -160,8 +189,10 @@ def test_quality_report_flags(spark):
     assert rep["coverage_start"][1] == 4
     with pytest.raises(ValueError):
         quality.assert_valid(quality.quality_report(eps_df(spark, rows), DEFAULT))
-    with pytest.raises(ValueError):
-        quality.quality_report(spark.createDataFrame([(1,)], "region int"), DEFAULT)
+    short = quality.quality_report(spark.createDataFrame([("Сумська",)], "region string"), DEFAULT)
+    assert short.filter("check = 'schema'").first().n_bad == 3
+    with pytest.raises(ValueError, match="schema=3"):
+        quality.assert_valid(short)
 
 
 def test_zero_duration_only_warns(spark):
