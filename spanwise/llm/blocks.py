@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.llm.common import give_back
 from spanwise.llm.textgrams import mix
 
 
@@ -66,6 +67,8 @@ def in_blocks(df: DataFrame, make: Callable, types: dict[str, type], buckets: in
             order = np.argsort(part["key"], kind="stable")
             part = {c: x[order] for c, x in part.items()}
             yield from finish(part.pop("key"), part, part.pop("shared"), False)
+            del part, order
+        give_back()
 
     sent = "bucket long, aside boolean, key binary, " + "".join(f"{c} binary, " for c in types) + "shared binary"
     return df.mapInArrow(send, sent).repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(receive, schema)

@@ -32,11 +32,11 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept per process."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES * 5 // 4)
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[kind] = have
     return have[:n]
 

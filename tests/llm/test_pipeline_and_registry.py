@@ -64,6 +64,25 @@ def test_run_is_the_stages_in_order(spark, fixture):
     assert all(r.round_trip and r.n_tokens == len(r.ids) > 0 for r in out)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Different texts of one id are documents of their own; a copy goes, the other text of its id stays."""
+    rng = random.Random(21)
+    m, n, q, o = (prose(rng, 60, "the") for _ in range(4))
+    cases = [
+        ([(7, m), (7, n), (8, q)], [(7, m), (7, n), (8, q)]),
+        ([(5, m), (7, m), (7, n)], [(5, m), (7, n)]),
+        ([(None, m), (None, m), (None, n), (3, n)], [(3, n), (None, m)]),
+        ([(1, m), (1, m), (1, None), (1, None), (2, o)], [(1, None), (1, m), (2, o)]),
+        ([(1, m), (2, m), (3, n)], [(1, m), (3, n)]),
+    ]
+    for rows, want in cases:
+        docs = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)], SCHEMA)
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark, fixture, tmp_path):
     folder, _, _ = fixture
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
@@ -73,7 +92,7 @@ def test_empty_table(spark, fixture, tmp_path):
 
 def test_registry():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "substring_dedup", "decontamination", "sentencepiece"]
