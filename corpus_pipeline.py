@@ -8,7 +8,8 @@
 
 All stages but the last return the columns of ``documents``.  Empty tables, null ids, null and empty
 texts and repeated rows pass as the operators define; a row without any letter is rejected by the
-first stage, and rows that repeat an id leave the second stage once.
+first stage; the second keeps one of the rows that are equal in id and text, and treats different texts of one id,
+and rows without an id, as documents of their own.
 """
 
 from __future__ import annotations
@@ -33,13 +34,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+ODD = 1 << 62  # keys from here on stand for rows that have no id of their own
+
+
+def own_keys(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: the id, or, where the id is null or several rows have it, a hash of id and text."""
+    odd = Tables(spark, "pipeline-keys").store(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "odd")
+    key = F.col("doc_id").cast("long")
+    if odd.isEmpty():
+        return docs.withColumn("__key", key)
+    own = F.lit(ODD) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ODD))
+    twice = odd.select(F.col("doc_id").alias("__twice"))
+    maybe = docs.withColumn("__maybe", maybe_in(spark.sparkContext.broadcast(bloom_build(odd, "doc_id")), F.col("doc_id")))
+    plain = maybe.where("not __maybe").withColumn("__key", F.coalesce(key, own))
+    some = maybe.where("__maybe").join(twice, F.col("doc_id") == F.col("__twice"), "left")
+    some = some.withColumn("__key", F.when(F.col("__twice").isNull(), key).otherwise(own)).drop("__twice")
+    return plain.unionByName(some).drop("__maybe")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; each id once."""
-    found = Tables(spark, "pipeline-groups").store(ngram_join.jaccard_components(docs), "groups")
-    kept = without(docs, found.where("doc_id <> component_id").select("doc_id"))
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    maybe = kept.withColumn("__maybe", maybe_in(spark.sparkContext.broadcast(bloom_build(twice, "doc_id")), F.col("doc_id")))
-    return maybe.where("not __maybe").unionByName(maybe.where("__maybe").dropDuplicates(["doc_id"])).drop("__maybe")
+    """One document of each group of near duplicates.  Rows that share an id are documents of their own as
+    long as their texts differ; of rows equal in id and text the least one stays."""
+    keyed = own_keys(spark, docs)
+    found = Tables(spark, "pipeline-groups").store(ngram_join.jaccard_components(keyed, id_col="__key"), "groups")
+    kept = without(keyed, found.where("doc_id <> component_id").select("doc_id"), "__key")
+    several = kept.where(F.col("__key") >= ODD)
+    least = several.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.where(F.col("__key") < ODD).select(*docs.columns).unionByName(least)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
