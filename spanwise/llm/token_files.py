@@ -30,15 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import Tables, pieces, tidy
-from spanwise.llm.wordcode import Codes, numbered_words
 
 END_ID = 2
 SHARD_BYTES = 64 << 20  # about this much text in a shard
-CACHE_BYTES = 40 << 20  # known words and their ids, with the objects that hold them
-WORD_BYTES = 180
+CACHE_WORDS = 700_000
 LONG_WORD = 64
-CHUNK_BYTES = 1 << 19
+CHUNK_CHARS = 1 << 19
 _SEEK_MAGIC, _INDEX_MAGIC, _SEEK_FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
+_ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -57,77 +56,57 @@ class Encoder:
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # byte-level: one character stands for one byte
         self.cache: dict[str, bytes] = {}  # word after a space -> ids
+        self.first: dict[str, bytes] = {}  # first word of a text -> ids
         self.space = self._ids([" "])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of ' ' + word of all words, their number per word), many words in one call of the library."""
-        if not words:
-            return np.empty(0, self.type), np.empty(0, np.int64)
-        length = pc.binary_length(pa.array(words, pa.string()).cast(pa.binary())).to_numpy().astype(np.int64) + 1
-        total = np.cumsum(length)
-        flat, sizes, start = [], [], 0
-        while start < len(words):
-            base = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, base + CHUNK_BYTES, side="right")))
-            part = words[start:end]
+    def _spaced(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids of ' ' + word), many words in one call of the library."""
+        start = size = 0
+        for i in range(len(words) + 1):
+            if i < len(words) and (size < CHUNK_CHARS or i == start):
+                size += len(words[i]) + 1
+                continue
+            part = words[start:i]
+            if not part:
+                break
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.type)
-            at, ends = np.cumsum(self.length[ids]), total[start:end] - base
+            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string()).cast(pa.binary())).to_numpy().astype(np.int64) + 1)
+            at = np.cumsum(self.length[ids])
             cut = np.searchsorted(at, ends) + 1
             if cut[-1] == len(ids) and np.array_equal(at[cut - 1], ends):
-                sizes.append(np.diff(cut, prepend=0))
+                raw, places = ids.tobytes(), (cut * self.type.itemsize).tolist()
+                for w, a, b in zip(part, [0, *places], places, strict=False):
+                    yield w, raw[a:b]
             else:  # the tokenizer's cuts are not at spaces
-                each = self._ids([" " + w for w in part])
-                ids = np.frombuffer(b"".join(each), dtype=self.type)
-                sizes.append(np.array([len(x) // self.type.itemsize for x in each], dtype=np.int64))
-            flat.append(ids)
-            start = end
-        return np.concatenate(flat), np.concatenate(sizes)
-
-    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts without end ids, their number per text)."""
-        blank = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(blank, " [\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]").to_numpy(zero_copy_only=False)
-        words, index, offsets = numbered_words(blank, odd, _CUT.split)
-        first = offsets[:-1][np.diff(offsets) > 0]
-        heads = [words[i] for i in index[first].tolist()]
-        rest = np.ones(len(index), dtype=bool)
-        rest[first] = False
-        times = np.bincount(index[rest], minlength=len(words))
-        # codes in this order: words known from before, new words, first words of texts, the empty word
-        cache = self.cache
-        number, old, new = np.zeros(len(words), dtype=np.int64), [], []
-        for i in np.flatnonzero(times).tolist():
-            if words[i]:
-                (old if words[i] in cache else new).append(i)
-        number[old] = np.arange(len(old))
-        number[new] = np.arange(len(old), len(old) + len(new))
-        fresh, sizes = self._spaced([words[i] for i in new])
-        place = {w: len(old) + len(new) + k for k, w in enumerate(dict.fromkeys(heads))}
-        number[[i for i, w in enumerate(words) if not w]] = len(old) + len(new) + len(place)
-        index = number[index]
-        index[first] = [place[w] for w in heads]
-        other = Codes([cache[words[i]] for i in old], self.type)
-        ends = Codes([*(self._ids(list(place)) if place else []), self.space], self.type)
-        codes = Codes.of(np.concatenate((other.flat, fresh, ends.flat)), np.concatenate((other.sizes, sizes, ends.sizes)))
-        self._keep([words[i] for i in new], times[new], fresh, sizes)
-        return codes.gather(index), np.diff(np.concatenate(([0], np.cumsum(codes.sizes[index])))[offsets])
-
-    def _keep(self, words: list[str], times: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Words that occur again and again go into the cache, which is bounded in bytes."""
-        again = np.flatnonzero(times > 1).tolist()
-        if (len(self.cache) + len(again)) * WORD_BYTES > CACHE_BYTES:
-            self.cache.clear()
-        if len(again) * WORD_BYTES <= CACHE_BYTES:
-            ends = np.cumsum(sizes)
-            self.cache.update((words[i], ids[ends[i] - sizes[i] : ends[i]].tobytes()) for i in again if len(words[i]) <= LONG_WORD)
+                yield from zip(part, self._ids([" " + w for w in part]), strict=True)
+            start, size = i, len(words[i]) + 1 if i < len(words) else 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text, without an end id."""
-        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
-        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
+        """Ids of each text, without an end id."""
+        split = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
+        cache, first = self.cache, self.first
+        used: set[str] = set()
+        for words in split:
+            used.update(words[1:])
+        new = used - cache.keys()
+        new.discard("")
+        if len(cache) + len(new) > CACHE_WORDS:  # words that this batch has stay: the frequent ones
+            self.cache = cache = {w: cache[w] for w in used - new if w}
+        heads = list({words[0] for words in split if words} - first.keys())
+        if len(first) + len(heads) > CACHE_WORDS:
+            first.clear()
+            heads = list({words[0] for words in split if words})
+        first.update(zip(heads, self._ids(heads), strict=True))
+        cache.update(self._spaced(list(new)))
+        cache[""] = self.space
+        out = [b"".join([first[words[0]], *map(cache.__getitem__, words[1:])]) if words else b"" for words in split]
+        for known in (cache, first):
+            for w in [w for w in new if len(w) > LONG_WORD] + [w for w in heads if len(w) > LONG_WORD]:
+                known.pop(w, None)
+        return out
 
 
 def _encoder(definition: str) -> Encoder:
@@ -224,10 +203,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         def documents():
             for source in ([first], batches):
                 for batch in pieces(source):
-                    ids, sizes = encoder.encode_column(batch.column("text"))
-                    ends = np.cumsum(sizes)
-                    for name, a, b in zip(batch.column("doc_id").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                        yield name, ids[a:b].tobytes() + end
+                    yield from zip(batch.column("doc_id").to_pylist(), (x + end for x in encoder.encode(batch.column("text").to_pylist())), strict=True)
 
         with fs.open_output_stream(part) as sink:
             n, tokens = write_file(sink, documents(), encoder.type.itemsize)
