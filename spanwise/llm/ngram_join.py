@@ -7,7 +7,7 @@ n-grams first (by a fixed-size count sketch; it only steers cost, links are exac
 * *prefix*: linked sets share an n-gram among the first ``n - ceil(0.75 n) + 1`` of each;
 * *position*: with ``a = ceil(3 (n1 + n2) / 7)`` shared n-grams needed, the first shared one is at a
   position of at most ``n - a`` in either set;
-* *accumulated overlap*: shared prefix n-grams plus what the rest can still add must reach ``a``.
+* *accumulated overlap*: n-grams shared so far plus what the rest can still add must reach ``a``.
 
 Prefix incidence is shuffled in n-gram blocks (packed columns).  A task sends an n-gram at most once
 per batch into its block, so a block's list is bounded by batches, not by documents; blocks drop
@@ -15,6 +15,12 @@ n-grams of a single document.  Lists are then compared in two passes: every memb
 head, and after connecting those links, only members outside the list's main component with
 members of other components.  So a large group of near copies costs its size, not its square, and
 every pair that could join two components is still verified on whole sets.
+
+Overlaps are entries of the sparse product of the incidence matrix with its transpose (``reaches``).  Only
+entries that the lists name are computed, as all entries of a group would be all its pairs.  A task takes
+a block of them and multiplies it in blocks of n-grams, in the global order: counts accumulate from
+block to block and a pair leaves the product as soon as the accumulated overlap rules it out.  Rows are the
+prefixes first, the whole sets of the survivors then.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from spanwise.llm.common import Tables, bloom_build, bloom_has, encode, pieces,
 SKETCH_BITS = 22  # slots of the rarity estimate: a table of four megabytes reaches the executors
 LEAST_LOCAL = 4  # a task reports the slots that it met this often
 LEVEL_SHIFT = np.uint64(58)
+COLUMNS = 1 << 15  # n-grams in a block of the product
+PRODUCT_BYTES = 2 << 20  # of rows multiplied at a time
 NUM, DEN = 75, 100  # Jaccard threshold as a fraction
 
 
@@ -133,39 +141,72 @@ def _near(a: str, b: str):
     return (F.col(f"{a}.n") - F.col(f"{a}.pos") >= need) & (F.col(f"{b}.n") - F.col(f"{b}.pos") >= need)
 
 
-def _paired(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
-    """Pairs (a, b) whose sets pass ``test(n_a, keys_a, n_b, keys_b)``."""
-
-    def run(batches):
-        for batch in pieces(batches, "ka"):
-            a, b, na, nb, ka, kb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ka", "kb"))
-            ok = [test(w, np.frombuffer(x, np.uint64), z, np.frombuffer(y, np.uint64)) for w, x, z, y in zip(na, ka, nb, kb, strict=True)]
-            at = [i for i, x in enumerate(ok) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), pa.array([b[i] for i in at], pa.int64())], ["a", "b"])
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a column of packed sets, side by side, and the number of each row's keys."""
+    rows = [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+    return np.concatenate([np.empty(0, np.uint64), *rows]), np.array([len(x) for x in rows], dtype=np.int64)
 
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
+def reaches(na: np.ndarray, ka: pa.Array, nb: np.ndarray, kb: pa.Array) -> np.ndarray:
+    """Which pairs may reach the overlap that a link needs, by the keys at hand.
 
-def _may_link(na, pa_, nb, pb) -> bool:
+    ``ka``, ``kb``: packed ascending first keys of sets of ``na`` and ``nb`` keys; if all keys are there, the
+    answer is exact.  Rows of the left matrix that several pairs name are held once.
+    """
     need = _needed(na + nb)
-    if min(na, nb) < need:
-        return False
-    if pa_[-1] > pb[-1]:
-        na, pa_, nb, pb = nb, pb, na, pa_
-    both = len(np.intersect1d(pa_, pb, assume_unique=True))
-    return both + min(na - len(pa_), nb - int(np.searchsorted(pb, pa_[-1], side="right"))) >= need
+    alive = np.minimum(na, nb) >= need
+    coded = ka.dictionary_encode()
+    row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    left, sizes = _rows(coded.dictionary)
+    right, lens = _rows(kb)
+    if not len(left) or not len(right):
+        return alive & (need == 0)
+    start, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    pair = np.repeat(np.arange(len(lens)), lens)
+    limit = np.minimum(left[np.maximum(end - 1, 0)][row], right[np.maximum(np.cumsum(lens) - 1, 0)])  # both sides are known up to here
+    names, column = np.unique(left, return_inverse=True)
+    width = len(names)
+    cells = np.repeat(np.arange(len(sizes)), sizes) * width + column  # the left matrix, ascending
+    inside = right <= limit[pair]
+    at, pair = np.searchsorted(names, right[inside]), pair[inside]
+    shared = (at < width) & (names[np.minimum(at, width - 1)] == right[inside])
+    top = np.searchsorted(names, limit, side="right")
+
+    def seen(upto: np.ndarray) -> np.ndarray:  # left keys in columns before ``upto``
+        return np.searchsorted(cells, row * width + upto) - start[row]
+
+    both, passed = np.zeros(len(na), dtype=np.int64), np.zeros(len(na), dtype=np.int64)
+    block = at // COLUMNS  # right keys between two names go with the later one
+    order = np.argsort(block, kind="stable")
+    edges = np.searchsorted(block[order], np.arange(width // COLUMNS + 2))
+    for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        now = order[x:y]
+        passed += np.bincount(pair[now], minlength=len(na))
+        now = now[shared[now] & alive[pair[now]]]
+        cell = row[pair[now]] * width + at[now]
+        hit = cells[np.minimum(np.searchsorted(cells, cell), len(cells) - 1)] == cell
+        both += np.bincount(pair[now[hit]], minlength=len(na))
+        alive &= both + np.minimum(na - seen(np.minimum(top, (k + 1) * COLUMNS)), nb - passed) >= need
+    return alive
+
+
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose overlap may reach what a link needs (``reaches``)."""
 
+    def run(batches):
+        for batch in pieces(batches, "ka", PRODUCT_BYTES):
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+            ok = pa.array(reaches(na, batch.column("ka"), nb, batch.column("kb")))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
-def _linked(na, ka, nb, kb) -> bool:
-    both = len(np.intersect1d(ka, kb, assume_unique=True))
-    return DEN * both >= NUM * (na + nb - both)
+    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, levels, tables: Tables, name: str) -> DataFrame:
     """Exact links among candidate pairs: prefix overlap first, whole sets of the survivors then."""
-    close = tables.store(_paired(pairs, sets.withColumnRenamed("prefix", "keys"), _may_link).distinct(), f"{name}-close")
+    close = tables.store(_paired(pairs, sets.withColumnRenamed("prefix", "keys")).distinct(), f"{name}-close")
     ids = close.select(F.col("a").alias("doc")).union(close.select("b"))
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_build(ids, "doc"))
 
@@ -183,7 +224,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, levels, tables:
 
     full = docs.mapInArrow(whole, "doc long, n long, keys binary")
     full = tables.store(full.join(ids.distinct(), "doc", "left_semi"), f"{name}-full")
-    links = tables.store(_paired(close, full, _linked).distinct(), f"{name}-links")
+    links = tables.store(_paired(close, full).distinct(), f"{name}-links")
     tables.free(f"{name}-full", f"{name}-close")
     return links
 

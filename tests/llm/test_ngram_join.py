@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from spanwise.llm import textgrams
+from spanwise.llm import ngram_join, textgrams
 from spanwise.llm.ngram_join import jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +94,34 @@ def test_hashing_is_the_same_in_any_slice(monkeypatch):
     monkeypatch.setattr(textgrams, "SLICE_BYTES", 50)
     assert [s.tolist() for s in textgrams.shingle_sets(texts)] == whole
     assert np.array_equal(textgrams.word_hashes([b"Ab", b"aB c"])[0], textgrams.word_hashes([b"x ab ab c"])[0][1:])
+
+
+@pytest.mark.parametrize("columns", [1, 3, 1 << 15])
+def test_product_against_sets(monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    rng = random.Random(columns)
+    sets = []
+    for _ in range(25):
+        base = rng.sample(range(10**6), rng.randrange(1, 25))
+        sets += [sorted({x if rng.random() < 0.93 else rng.randrange(10**6) for x in base}) for _ in range(4)]
+    pairs = [(4 * g + i, 4 * g + j) for g in range(25) for i in range(4) for j in range(4)] + [tuple(rng.sample(range(100), 2)) for _ in range(200)]
+    packed = [np.array(s, dtype=np.uint64) for s in sets]
+
+    def ask(cut):
+        na, nb = (np.array([len(sets[p[k]]) for p in pairs]) for k in (0, 1))
+        ka, kb = (pa.array([packed[p[k]][: cut(len(packed[p[k]]))].tobytes() for p in pairs], pa.binary()) for k in (0, 1))
+        return ngram_join.reaches(na, ka, nb, kb).tolist()
+
+    linked = [100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]}) for a, b in pairs]
+    assert 50 < sum(linked) < len(linked) - 50
+    assert ask(lambda n: n) == linked
+    may = ask(ngram_join._prefix_len)
+    assert all(m for m, x in zip(may, linked, strict=True) if x) and not all(may)
+
+
+def test_a_list_that_most_documents_are_in(spark):
+    rng = random.Random(8)
+    crowd = near_copies(8, 40, 700, 3)  # far edits fall out, so the list holds several components
+    texts = crowd + [c + " " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 30))) for c in crowd[:150]]
+    rows = list(enumerate(texts))
+    assert found(spark, rows) == brute(rows)
