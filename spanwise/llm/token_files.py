@@ -8,8 +8,9 @@ then the number of frames, a flag byte and the magic number.  Any zstandard read
 through; a reader with the seek table fetches, checks and decompresses only the documents it wants.
 
 Tokenising is the byte-level BPE of the ``tokenizers`` library.  Its splitting rule always cuts before
-a space that is followed by a non-space, so texts are cut there and each distinct word is given to
-the library once per process (bounded cache); a document's ids are the concatenation.
+a space that is followed by a non-space, so texts are cut there, words are numbered by Arrow, and each
+distinct word is given to the library once per process: words and ids that are known lie side by side
+in Arrow and numpy arrays (bounded; the words met again stay).  A document's ids are the concatenation.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import Tables, pieces, tidy
+from spanwise.llm.wordcode import Codes
 
 END_ID = 2
 SHARD_BYTES = 64 << 20  # about this much text in a shard
-CACHE_WORDS = 700_000
-LONG_WORD = 64
-CHUNK_CHARS = 1 << 19
+CACHE_WORDS = 1_500_000  # some 50 bytes each
+LONG_WORD = 64  # bytes; longer words are not kept
+CHUNK_CHARS = 1 << 19  # bytes of words given to the library at once
+ENCODE_BYTES = 8 << 20  # texts whose words are numbered together
 _SEEK_MAGIC, _INDEX_MAGIC, _SEEK_FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_ODD = re.compile(r" \s")
+_ODD = r" [\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # a space and what Python takes as one
 _CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -55,58 +58,111 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # byte-level: one character stands for one byte
-        self.cache: dict[str, bytes] = {}  # word after a space -> ids
-        self.first: dict[str, bytes] = {}  # first word of a text -> ids
         self.space = self._ids([" "])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())  # words after a space
+        self.codes = Codes([], self.type)  # their ids
+        self.round = 0
+        self.last = np.empty(0, np.int32)  # round that met a known word last
+        self.again = np.empty(0, bool)  # met in several rounds
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids of ' ' + word), many words in one call of the library."""
-        start = size = 0
-        for i in range(len(words) + 1):
-            if i < len(words) and (size < CHUNK_CHARS or i == start):
-                size += len(words[i]) + 1
-                continue
-            part = words[start:i]
-            if not part:
-                break
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.type)
-            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string()).cast(pa.binary())).to_numpy().astype(np.int64) + 1)
-            at = np.cumsum(self.length[ids])
+    def _spaced(self, words: pa.Array) -> Codes:
+        """Ids of ' ' + word for each word, many words in one call of the library."""
+        flat, sizes = [], []
+        lengths = pc.binary_length(words.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        total = np.cumsum(lengths)
+        start = 0
+        while start < len(words):
+            base = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, base + CHUNK_CHARS, side="right")))
+            part = words[start:end]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, dtype=self.type)
+            ends, at = total[start:end] - base, np.cumsum(self.length[ids])
             cut = np.searchsorted(at, ends) + 1
             if cut[-1] == len(ids) and np.array_equal(at[cut - 1], ends):
-                raw, places = ids.tobytes(), (cut * self.type.itemsize).tolist()
-                for w, a, b in zip(part, [0, *places], places, strict=False):
-                    yield w, raw[a:b]
+                flat.append(ids)
+                sizes.append(np.diff(cut, prepend=0))
             else:  # the tokenizer's cuts are not at spaces
-                yield from zip(part, self._ids([" " + w for w in part]), strict=True)
-            start, size = i, len(words[i]) + 1 if i < len(words) else 0
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+                own = Codes(self._ids([" " + w for w in part.to_pylist()]), self.type)
+                flat.append(own.flat)
+                sizes.append(own.sizes)
+            start = end
+        return Codes.of(np.concatenate([self.codes.flat[:0], *flat]), np.concatenate([self.codes.sizes[:0], *sizes]))
+
+    def _coded(self, words: pa.Array) -> tuple[Codes, np.ndarray]:
+        """Codes, and the place of each of the distinct words among them; new words are kept."""
+        self.round += 1
+        at = pc.index_in(words, value_set=self.known)
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = place < 0
+        old, new = place[~fresh], words.filter(pa.array(fresh))
+        self.last[old], self.again[old] = self.round, True
+        made = self._spaced(new)
+        codes = Codes.of(np.concatenate((self.codes.flat, made.flat)), np.concatenate((self.codes.sizes, made.sizes)))
+        place[fresh] = len(self.known) + np.arange(len(new))
+        short = pc.less_equal(pc.binary_length(new.cast(pa.binary())), LONG_WORD).to_numpy(zero_copy_only=False)
+        keep = np.concatenate((np.ones(len(self.known), bool), short))
+        last = np.concatenate((self.last, np.full(len(new), self.round, np.int32)))
+        again = np.concatenate((self.again, np.zeros(len(new), bool)))
+        if keep.sum() > CACHE_WORDS:  # half of them stay: words met in several rounds first, then those met last
+            order = np.lexsort((last, again & keep, keep))[::-1][: min(CACHE_WORDS // 2, int(keep.sum()))]
+            keep[:] = False
+            keep[order] = True
+            again[:] = False
+        words = pa.concat_arrays([self.known, new])
+        if keep.all():
+            self.known, self.codes, self.last, self.again = words, codes, last, again
+        else:
+            rows = np.flatnonzero(keep)
+            self.known, self.codes = words.take(pa.array(rows)), Codes.of(codes.gather(rows), codes.sizes[rows])
+            self.last, self.again = last[rows], again[rows]
+        return codes, place
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their number per text), without end ids."""
+        blank = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(blank, _ODD)
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(blank, " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        sizes, starts = np.diff(offsets), offsets[:-1] - offsets[0]
+        if len(at):  # their words follow those of the others
+            cuts = [_CUT.split(t) for t in blank.filter(odd).to_pylist()]
+            sizes[at] = list(map(len, cuts))
+            starts[at] = len(words) + np.cumsum(sizes[at]) - sizes[at]
+            words = pa.concat_arrays([words, pa.array([w for c in cuts for w in c], pa.string())])
+        first = words.take(pa.array(starts)).dictionary_encode()
+        coded = words.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        index = index[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        rest = np.ones(len(index), dtype=bool)
+        rest[ends - sizes] = False
+        met = np.zeros(len(coded.dictionary), dtype=bool)
+        met[index[rest]] = True
+        empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+        asked = np.flatnonzero(met & ~empty)
+        codes, place = self._coded(coded.dictionary.take(pa.array(asked)))
+        table = np.full(len(met), len(codes.sizes), dtype=np.int64)  # the empty word: a space
+        table[asked] = place
+        heads = Codes([self.space, *self._ids(first.dictionary.to_pylist())], self.type)
+        index = table[index]
+        index[ends - sizes] = len(codes.sizes) + 1 + first.indices.to_numpy(zero_copy_only=False)
+        every = Codes.of(np.concatenate((codes.flat, heads.flat)), np.concatenate((codes.sizes, heads.sizes)))
+        upto = np.concatenate(([0], np.cumsum(every.sizes[index])))
+        return every.gather(index), upto[ends] - upto[ends - sizes]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text, without an end id."""
-        split = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
-        cache, first = self.cache, self.first
-        used: set[str] = set()
-        for words in split:
-            used.update(words[1:])
-        new = used - cache.keys()
-        new.discard("")
-        if len(cache) + len(new) > CACHE_WORDS:  # words that this batch has stay: the frequent ones
-            self.cache = cache = {w: cache[w] for w in used - new if w}
-        heads = list({words[0] for words in split if words} - first.keys())
-        if len(first) + len(heads) > CACHE_WORDS:
-            first.clear()
-            heads = list({words[0] for words in split if words})
-        first.update(zip(heads, self._ids(heads), strict=True))
-        cache.update(self._spaced(list(new)))
-        cache[""] = self.space
-        out = [b"".join([first[words[0]], *map(cache.__getitem__, words[1:])]) if words else b"" for words in split]
-        for known in (cache, first):
-            for w in [w for w in new if len(w) > LONG_WORD] + [w for w in heads if len(w) > LONG_WORD]:
-                known.pop(w, None)
-        return out
+        ids, sizes = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), np.cumsum(sizes) * self.type.itemsize
+        return [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 def _encoder(definition: str) -> Encoder:
@@ -202,8 +258,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
 
         def documents():
             for source in ([first], batches):
-                for batch in pieces(source):
-                    yield from zip(batch.column("doc_id").to_pylist(), (x + end for x in encoder.encode(batch.column("text").to_pylist())), strict=True)
+                for batch in pieces(source, size=ENCODE_BYTES):
+                    yield from zip(batch.column("doc_id").to_pylist(), (x + end for x in encoder.encode(batch.column("text"))), strict=True)
 
         with fs.open_output_stream(part) as sink:
             n, tokens = write_file(sink, documents(), encoder.type.itemsize)

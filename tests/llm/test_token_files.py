@@ -48,6 +48,26 @@ def test_words_give_the_library_s_ids(reference, definition, monkeypatch):
         assert np.frombuffer(small.encode([t])[0], small.type).tolist() == ids
 
 
+def test_words_met_again_outlive_a_full_cache(definition, monkeypatch):
+    monkeypatch.setattr(files, "CACHE_WORDS", 12)
+    encoder = files.Encoder(definition)
+    often = "x alpha beta gamma"
+    want = encoder.encode([often])
+    assert encoder.encode([often]) == want
+    encoder.encode([f"x {' '.join(f'new{i}' for i in range(20))}"])  # more than the cache holds, and none of them
+    given = []
+    library = encoder.tokenizer.encode_batch_fast
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library(texts, **options)
+
+    encoder.tokenizer = Watched()
+    assert encoder.encode([often]) == want
+    assert not any("alpha" in t for t in given)
+
+
 def expected(rows, reference):
     out, start = [], 0
     for i, t in rows:
