@@ -14,15 +14,30 @@ and rows without an id, as documents of their own.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm import decontaminate, language_id, ngram_join, paragraph_dedup, sentencepiece_codec
-from spanwise.llm.common import Tables, bloom_build, maybe_in, without
+from spanwise.llm.common import BATCH_BYTES, Tables, bloom_build, maybe_in, without
 
 LEAST_SCORE = 0.5
 
 
+def lean(stage):
+    """The stage with its tables handed to Python in record batches of about BATCH_BYTES, the size of which texts are
+    worked on anyway: stages follow one another in the same executors, where larger ones would be held on both sides."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@lean
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; a null ``lang`` is filled with the prediction."""
     rows = docs.where(~language_id.held_out()).select("text", "lang", F.col("doc_id").alias("key"))
@@ -52,6 +67,7 @@ def own_keys(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return plain.unionByName(some).drop("__maybe")
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates.  Rows that share an id are documents of their own as
     long as their texts differ; of rows equal in id and text the least one stays."""
@@ -63,6 +79,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.where(F.col("__key") < ODD).select(*docs.columns).unionByName(least)
 
 
+@lean
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; ``n_chars`` follows the text."""
     clean = paragraph_dedup.drop_repeats(docs).where("not (removed_words > 0 and text = '')")
@@ -70,12 +87,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return clean.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.select("doc_id"))
 
 
+@lean
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and whether they decode to the text."""
     both = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"), check_col="round_trip")

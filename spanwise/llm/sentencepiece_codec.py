@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spanwise.llm.common import pieces
+from spanwise.llm.common import give_back, pieces
 from spanwise.llm.token_counts import share
 from spanwise.llm.unigram import LONG_WORD, MARK, Vocabulary, units
 from spanwise.llm.wordcode import Codes, numbered_words
@@ -176,7 +176,7 @@ def _coder(shared) -> Coder:
 
 def _added(docs: DataFrame, fields: list[T.StructField], make, column: str | None = None) -> DataFrame:
     """docs with the new columns (replacing those of their names) from ``make(batch)``, a piece of a batch at a time.
-    The words a task has cached are let go at its end, as the Python process serves other operators next."""
+    A task's automaton and cached words are let go at its end, as the Python process waits or serves other operators next."""
     names = [f.name for f in fields]
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *fields])
@@ -186,8 +186,8 @@ def _added(docs: DataFrame, fields: list[T.StructField], make, column: str | Non
             for batch in pieces(batches, column, ENCODE_BYTES) if column else batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *names])
         finally:
-            for coder in _coders.values():
-                coder.cache.clear()
+            _coders.clear()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -5,9 +5,11 @@ import random
 import __spark_entry__ as entry
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece  # noqa: F401
 from spanwise.llm import queries
+from spanwise.llm.common import BATCH_BYTES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,3 +99,30 @@ def test_registry():
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "substring_dedup", "decontamination", "sentencepiece"]
     assert public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_stages_hand_python_small_batches_and_leave_nothing_behind(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    rows = spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 400) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    def coders(batches):
+        from spanwise.llm import sentencepiece_codec
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sentencepiece_codec._coders)], pa.int64())], ["n"])
+
+    try:
+        assert dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, str(tmp_path)).count() == 4000
+        assert dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, str(tmp_path)).where("round_trip").count() == 4000
+        got = [r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 2 * BATCH_BYTES and max(got) < 2 * BATCH_BYTES
+        assert {r.n for r in spark.range(64, numPartitions=16).mapInArrow(coders, "n long").collect()} == {0}
+    finally:
+        spark.conf.set(key, old)
