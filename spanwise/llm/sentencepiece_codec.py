@@ -174,6 +174,13 @@ def _coder(shared) -> Coder:
     return _coders[shared.id]
 
 
+def _let_go() -> None:
+    """Drop the process's coder.  A function of the module: what is nested in ``_added`` is sent to the tasks by value,
+    with a ``_coders`` of its own."""
+    _coders.clear()
+    give_back()
+
+
 def _added(docs: DataFrame, fields: list[T.StructField], make, column: str | None = None) -> DataFrame:
     """docs with the new columns (replacing those of their names) from ``make(batch)``, a piece of a batch at a time.
     A task's automaton and cached words are let go at its end, as the Python process waits or serves other operators next."""
@@ -186,8 +193,7 @@ def _added(docs: DataFrame, fields: list[T.StructField], make, column: str | Non
             for batch in pieces(batches, column, ENCODE_BYTES) if column else batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *names])
         finally:
-            _coders.clear()
-            give_back()
+            _let_go()
 
     return docs.mapInArrow(run, schema)
 
