@@ -23,15 +23,16 @@ from spanwise.llm import decontaminate, language_id, ngram_join, paragraph_dedup
 from spanwise.llm.common import BATCH_BYTES, Tables, bloom_build, maybe_in, without
 
 LEAST_SCORE = 0.5
+TOKEN_BYTES = 1 << 20  # texts encoded together: their words, ids and decoded bytes take many times their size
 
 
-def lean(stage):
-    """The stage with its tables handed to Python in record batches of about BATCH_BYTES, the size of which texts are
-    worked on anyway: stages follow one another in the same executors, where larger ones would be held on both sides."""
+def lean(stage, size: int = BATCH_BYTES):
+    """The stage with its tables handed to Python in record batches of about ``size`` bytes, by default that of which texts
+    are worked on anyway: stages follow one another in the same executors, where larger ones would be held on both sides."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
         return stage(spark, docs, sf_dir)
 
     return run
@@ -94,7 +95,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(docs, found.select("doc_id"))
 
 
-@lean
+@functools.partial(lean, size=TOKEN_BYTES)
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and whether they decode to the text."""
     both = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"), check_col="round_trip")

@@ -124,7 +124,9 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("__p", predict(F.col(f"`{text_col}`")))
+    # called non-deterministic, or a filter on the result is pushed below the column and predicts every text a second time,
+    # in Python processes of its own
+    out = docs.drop("lang_pred", "score").withColumn("__p", predict.asNondeterministic()(F.col(f"`{text_col}`")))
     return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
 
 

@@ -126,3 +126,30 @@ def test_stages_hand_python_small_batches_and_leave_nothing_behind(spark, tmp_pa
         assert {r.n for r in spark.range(64, numPartitions=16).mapInArrow(coders, "n long").collect()} == {0}
     finally:
         spark.conf.set(key, old)
+
+
+def test_language_is_predicted_once_for_every_text(spark, fixture, capsys):
+    folder, _, _ = fixture
+    out = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("EvalPython") == 1
+
+
+def test_tokenize_takes_smaller_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    rows = spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 400) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    try:
+        corpus_pipeline.tokenize(spark, docs, str(tmp_path))
+        got = [r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 8 << 20 and max(got) < 2 << 20
+    finally:
+        spark.conf.set(key, old)
