@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm import decontaminate, language_id, ngram_join, paragraph_dedup, sentencepiece_codec
-from spanwise.llm.common import BATCH_BYTES, Tables, bloom_build, maybe_in, without
+from spanwise.llm.common import Tables, bloom_build, maybe_in, without
 
 LEAST_SCORE = 0.5
-TOKEN_BYTES = 1 << 20  # texts encoded together: their words, ids and decoded bytes take many times their size
+STAGE_BYTES = 1 << 20  # of a record batch; Python and the JVM each hold some of them for every task
+TOKEN_BYTES = 1 << 19  # texts encoded together: their words, ids and decoded bytes take many times their size
 
 
-def lean(stage, size: int = BATCH_BYTES):
-    """The stage with its tables handed to Python in record batches of about ``size`` bytes, by default that of which texts
-    are worked on anyway: stages follow one another in the same executors, where larger ones would be held on both sides."""
+def lean(stage, size: int = STAGE_BYTES):
+    """The stage with its tables handed to Python in record batches of about ``size`` bytes: stages follow one another
+    in the same executors, where larger ones would be held on both sides."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,6 @@ def test_tokenize_takes_smaller_batches(spark, tmp_path):
     try:
         corpus_pipeline.tokenize(spark, docs, str(tmp_path))
         got = [r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
-        assert sum(got) > 8 << 20 and max(got) < 2 << 20
+        assert sum(got) > 8 << 20 and max(got) < 1 << 20
     finally:
         spark.conf.set(key, old)
