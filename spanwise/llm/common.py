@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20  # texts handled together inside a task
+FILE_BYTES = 4 << 20  # texts that a file of an intermediate table stands for
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +38,21 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.files: int | None = None
+
+    def fit(self, size: int) -> None:
+        """From now on tables get a file per FILE_BYTES of the ``size`` bytes of text that the operator reads, or per core, at
+        most.  Many shuffle partitions over little data made hundreds of files of a few rows of every table; where the shared
+        folder is a mounted disk, an executor's JVM starts three processes for each file, and its memory counts twice meanwhile."""
+        self.files = max(self.spark.sparkContext.defaultParallelism, size // FILE_BYTES)
+
+    def fitted(self, df: DataFrame) -> DataFrame:
+        """The same rows, in as many partitions as files are wanted; a task then goes through several of the old ones, one by one."""
+        return df.coalesce(self.files) if self.files else df
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        self.fitted(df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:

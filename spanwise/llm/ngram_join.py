@@ -39,6 +39,7 @@ from spanwise.llm.common import Tables, bloom_build, bloom_has, encode, pieces,
 SKETCH_BITS = 22  # slots of the rarity estimate: a table of four megabytes reaches the executors
 LEAST_LOCAL = 4  # a task reports the slots that it met this often
 LEVEL_SHIFT = np.uint64(58)
+GRAM_BYTES = 8  # of text for each n-gram: a word and its space, about
 COLUMNS = 1 << 15  # n-grams in a block of the product
 PRODUCT_BYTES = 2 << 20  # of rows multiplied at a time
 NUM, DEN = 75, 100  # Jaccard threshold as a fraction
@@ -241,6 +242,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tables = Tables(spark, "ngram-join")
     levels = spark.sparkContext.broadcast(rarity(docs))
     own = tables.store(shingled(docs, levels), "sets")
+    tables.fit(GRAM_BYTES * (own.agg(F.sum("n")).first()[0] or 0))
     key = ["n", "f1", "f2"]
     classes = tables.store(own.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc")), "classes")
     one = own.join(classes.select(*key, F.col("doc").alias("doc_id"), "doc"), [*key, "doc_id"])
@@ -253,5 +255,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tables.free("postings", "reps")
 
     of_class = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(*key, F.coalesce("component", "doc").alias("component"))
-    out = own.select("doc_id", *key).join(of_class, key, "left")
+    out = tables.fitted(own.select("doc_id", *key).join(of_class, key, "left"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -269,6 +269,7 @@ def removals(docs: DataFrame, tables: Tables) -> DataFrame:
     number, windows (-1), a mark for windows of its own (-2), paragraphs to remove by their first sentence (-3 - seq)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a block's rows are held in memory
+    tables.fit(size)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES)
     types = {"kind": np.int8, "doc": np.int64, "seq": np.int32, "words": np.int32}
     rows = in_blocks(docs, lambda b: (x for p in pieces([b]) for x in _keys(p)), types, buckets, _repeats, "kind byte, h long, doc long, seq int, words int")
@@ -420,4 +421,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = marked.where("not __maybe").drop("__maybe").withColumns({"removed": F.array().cast("array<string>"), "removed_words": F.lit(0).cast("long")})
     changed = marked.where("__maybe").drop("__maybe")
     changed = changed.join(found.select(F.col("doc").alias("__doc"), F.col("units").alias("__units")), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    return same.unionByName(changed.mapInArrow(clean, new))
+    return same.unionByName(tables.fitted(changed.mapInArrow(clean, new)))

@@ -1,6 +1,8 @@
 """The pipeline on a fixture with known decisions, and the registered queries."""
 
 import random
+from collections import Counter
+from pathlib import Path
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece  # noqa: F401
 from spanwise.llm import queries
-from spanwise.llm.common import BATCH_BYTES
+from spanwise.llm.common import BATCH_BYTES, FILE_BYTES, Tables, shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -153,3 +155,49 @@ def test_tokenize_takes_smaller_batches(spark, tmp_path):
         assert sum(got) > 8 << 20 and max(got) < 1 << 20
     finally:
         spark.conf.set(key, old)
+
+
+def test_many_shuffle_partitions_make_few_files(spark):
+    """Tables of little data take a file per core at most, whatever the number of shuffle partitions; rows stay the same."""
+    rng = random.Random(31)
+    texts = [prose(rng, 60, "the") for _ in range(90)]
+    passage = prose(rng, 60, "the")
+    near = [" ".join(w if i != k % 50 else "edited" for i, w in enumerate(t.split(" "))) for k, t in enumerate(texts[:40])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + near + [f"{t}\n{passage}" for t in texts[60:]])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+
+    def run():
+        out = {}
+        for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages):
+            found = stage(spark, docs, "")
+            out[stage.__name__] = sorted(map(tuple, found.collect()))
+        return out, found.rdd.getNumPartitions()
+
+    want, _ = run()
+    cores = spark.sparkContext.defaultParallelism
+    many = {"spark.sql.shuffle.partitions": str(cores + 5), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in (*many, "spark.sql.execution.arrow.maxBytesPerBatch")}
+    before = set(folder.rglob("part-*.parquet"))
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got, parts = run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want and len(want["drop_near_duplicates"]) < len(rows)
+    files = Counter(p.parent for p in folder.rglob("part-*.parquet") if p not in before)
+    assert len(files) > 10 and max(files.values()) <= cores
+    assert parts < cores + 5 + docs.rdd.getNumPartitions()
+
+
+def test_tables_of_much_text_take_more_files(spark):
+    tables, df = Tables(spark, "t"), spark.range(0, 100, numPartitions=40)
+    assert tables.store(df, "plain").count() == 100 and tables.fitted(df).rdd.getNumPartitions() == 40
+    tables.fit(30 * FILE_BYTES)
+    assert tables.fitted(df).rdd.getNumPartitions() == 30
+    tables.fit(3000 * FILE_BYTES)
+    assert tables.fitted(df).rdd.getNumPartitions() == 40
+    tables.fit(0)
+    assert tables.fitted(df).rdd.getNumPartitions() == min(40, spark.sparkContext.defaultParallelism)
